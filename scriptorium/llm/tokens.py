@@ -8,16 +8,26 @@ any other text goes to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: The pre-token pattern of byte_bpe_50k.json, written out for COMMON characters.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
 UNCOMMON = re.compile(rf"[^\t\n\r\x20-\x7e{LETTER}]")
 #: Words of one memo; it starts anew beyond this.
-MEMO = 400_000
+MEMO = 600_000
+
+
+class Memo(dict):
+    """Pre-token to the bytes of its ids, asked of the library at first sight."""
+
+    def __init__(self, tok):
+        self.encode = tok.encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 class Encoder:
@@ -28,38 +38,20 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = Memo(self.tok)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        plain: list[tuple[int, list[str]]] = []
-        odd: list[tuple[int, str]] = []
-        need: set[str] = set()
-        for i, t in enumerate(texts):
-            out.append(b"")
+        memo = self.memo
+        for t in texts:
             if not t:
-                continue
-            if UNCOMMON.search(t):
-                odd.append((i, t))
+                out.append(b"")
+            elif UNCOMMON.search(t):
+                out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes())
             else:
-                words = PRETOKEN.findall(t)
-                need.update(words)
-                plain.append((i, words))
-        memo = self.memo
+                out.append(b"".join([memo[w] for w in PRETOKEN.findall(t)]))
         if len(memo) > MEMO:
             memo.clear()
-        need.difference_update(memo.keys())
-        if need:
-            new = list(need)
-            memo.update(zip(new, self._direct(new), strict=True))
-        get = memo.__getitem__
-        for i, words in plain:
-            out[i] = b"".join(map(get, words))
-        for (i, _), ids in zip(odd, self._direct([t for _, t in odd]), strict=True):
-            out[i] = ids
         return out
 
 
