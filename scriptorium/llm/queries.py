@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm.langid import language_id
 from scriptorium.llm.ogg import ogg_texts
 from scriptorium.llm.packing import pack
 from scriptorium.llm.records import tokens_to_records
 from scriptorium.llm.tokens import default_tokenizer
+from scriptorium.llm.toxicity import toxicity
 from scriptorium.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_to_records(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -23,9 +29,15 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_ogg_media": op8_ogg_media,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
