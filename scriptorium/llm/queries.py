@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm.decontaminate import contamination
 from scriptorium.llm.langid import language_id
 from scriptorium.llm.ogg import ogg_texts
 from scriptorium.llm.packing import pack
 from scriptorium.llm.records import tokens_to_records
+from scriptorium.llm.secrets import scan
 from scriptorium.llm.tokens import default_tokenizer
 from scriptorium.llm.toxicity import toxicity
 from scriptorium.session import table
@@ -25,6 +27,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2, capacity=1024)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_texts(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,29 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_ogg_media": op8_ogg_media,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, and every run of ten words, against the windows of the items.
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+i as (
+  select cast(item_id as varchar) as item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+iw as (
+  select distinct item, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as win
+  from (select item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct n from iw),
+dw as (
+  select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+m as (select doc_id, k, dw.n, item from dw join iw on dw.n = iw.n and dw.win = iw.win),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as s from (select distinct doc_id, item from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(t.s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id""",
+}
