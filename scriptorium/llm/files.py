@@ -20,7 +20,7 @@ class Committed:
         self.fs, self.path = opened(uri)
         self.part = f"{self.path}.{attempt}.part"
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -40,7 +40,7 @@ class Committed:
 
 def read_whole(uri: str) -> bytes:
     f, path = opened(uri)
-    with f.open_input_stream(path) as s:
+    with f.open_input_stream(path, compression=None) as s:
         return s.read()
 
 

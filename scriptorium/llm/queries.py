@@ -8,10 +8,12 @@ from scriptorium.llm.decontaminate import contamination
 from scriptorium.llm.langid import language_id
 from scriptorium.llm.ogg import ogg_texts
 from scriptorium.llm.packing import pack
+from scriptorium.llm.preferences import preferences
 from scriptorium.llm.records import tokens_to_records
 from scriptorium.llm.secrets import scan
 from scriptorium.llm.tokens import default_tokenizer
 from scriptorium.llm.toxicity import toxicity
+from scriptorium.llm.warc import archive
 from scriptorium.session import table
 
 
@@ -31,6 +33,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +45,10 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences(table(spark, sf_dir, "conversations"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -48,12 +58,50 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_ogg_media": op8_ogg_media,
+    "op9_preferences": op9_preferences,
     "op10_language_id": op10_language_id,
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
+f as (select digest, min(page_id) as first from p where n >= 100 group by digest)
+select page_id, n as payload_bytes, p.digest as payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first = page_id then null else first end as refers_to
+from p left join f on p.digest = f.digest""",
+    "op9_preferences": """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+c as (
+  select conv_id, list(struct_pack(role := role, text := text) order by turn, role, text) as turns,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0) as written from t group by conv_id),
+lead as (
+  select turns[1] as head, arg_min(conv_id, (-written, conv_id)) as chosen_id, count(*) as n from c group by turns[1] having count(*) > 1),
+ends as (
+  select conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) as last from c),
+pairs as (
+  select 'same_prompt' as made, l.chosen_id, r.conv_id as rejected_id, ch.turns as chosen, r.turns as rejected
+  from c r join lead l on r.turns[1] = l.head join c ch on ch.conv_id = l.chosen_id where r.turns <> ch.turns
+  union all
+  select 'other_reply', a.conv_id, b.conv_id, a.turns[1:a.last], list_concat(a.turns[1:a.last - 1], [struct_pack(role := 'assistant', text := b.turns[b.last].text)])
+  from ends a join ends b on b.conv_id = a.conv_id + 1 where a.last is not null and b.last is not null and a.turns[a.last].text <> b.turns[b.last].text),
+cut as (
+  select *, cast(coalesce(list_min(list_filter(range(1, 1 + least(len(chosen), len(rejected))), lambda i: chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected))) as integer) as prompt_turns from pairs),
+parts as (
+  select *, chosen[prompt_turns + 1:] as cr, rejected[prompt_turns + 1:] as rr from cut)
+select made, chosen_id, rejected_id, prompt_turns,
+  array_to_string(list_transform(chosen[1:prompt_turns], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') as prompt,
+  array_to_string(list_transform(cr, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') as chosen_completion,
+  array_to_string(list_transform(list_filter(range(1, len(cr) + 1), lambda i: cr[i].role = 'assistant'), lambda i:
+    cast(list_sum(list_transform(cr[1:i], lambda x: length(x.role) + 5)) + coalesce(list_sum(list_transform(cr[1:i - 1], lambda x: length(x.text) + 8)), 0) as bigint) || ':' ||
+    cast(list_sum(list_transform(cr[1:i], lambda x: length(x.role) + 5 + length(x.text) + 8)) as bigint)), ',') as chosen_mask,
+  array_to_string(list_transform(rr, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') as rejected_completion,
+  array_to_string(list_transform(list_filter(range(1, len(rr) + 1), lambda i: rr[i].role = 'assistant'), lambda i:
+    cast(list_sum(list_transform(rr[1:i], lambda x: length(x.role) + 5)) + coalesce(list_sum(list_transform(rr[1:i - 1], lambda x: length(x.text) + 8)), 0) as bigint) || ':' ||
+    cast(list_sum(list_transform(rr[1:i], lambda x: length(x.role) + 5 + length(x.text) + 8)) as bigint)), ',') as rejected_mask
+from parts""",
     "op7_decontamination": r"""
 with d as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
