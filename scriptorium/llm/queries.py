@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.decontaminate import contamination
 from scriptorium.llm.langid import language_id
+from scriptorium.llm.ngram_join import jaccard_components
 from scriptorium.llm.ogg import ogg_texts
 from scriptorium.llm.packing import pack
 from scriptorium.llm.preferences import preferences
@@ -25,6 +27,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_to_records(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2, capacity=1024)
 
@@ -56,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
@@ -63,6 +70,7 @@ QUERIES = {
     "op8_ogg_media": op8_ogg_media,
     "op9_preferences": op9_preferences,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
