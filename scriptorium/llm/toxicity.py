@@ -64,9 +64,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Limits:
     """Bounds of the fit."""
 
-    positives: int = 3000
-    negatives: int = 5000
-    features: int = 40_000
+    positives: int = 2000
+    negatives: int = 4000
+    features: int = 30_000
 
 
 @dataclass(frozen=True)
@@ -109,14 +109,16 @@ def unit(column: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1 << 30)) / float(1 << 30)
 
 
-def fit(labelled: DataFrame, limits: Limits = Limits()) -> Model:
-    """labelled: doc_id, text, label (0 or 1)."""
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn, limits: Limits = Limits()) -> Model:
+    """Learn `label` (0 or 1) from the rows for which learn(doc_id) holds; the sampled ids, bounded by limits, are broadcast."""
+    one = labels.where(F.col(label).isin(0, 1) & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where(F.col("label") == F.col("_most"))
+    counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (counts.get(0) and counts.get(1)):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     share = F.when(F.col("label") == 1, min(1.0, limits.positives / counts[1])).otherwise(min(1.0, limits.negatives / counts[0]))
-    sample = labelled.where(unit(F.col("doc_id"), "toxicity") < share)
-    rows = distinct_words(sample).collect()
+    sample = one.where(unit(F.col("doc_id"), "toxicity") < share).select(F.col("doc_id").alias("_id"), "label")
+    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = distinct_words(labelled).collect()
     unlike = sorted({(r["label"], bytes(r["words"])) for r in rows})  # copies would count twice
     return train([np.frombuffer(w, np.uint64) for _, w in unlike], np.array([y for y, _ in unlike], float), limits.features)
 
@@ -197,12 +199,6 @@ def _descend(row, column, y, weight, swaps, size, l1, pair, steps, ridge=1e-5):
     return w, b
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """doc_id, text, label of the documents to learn from; one row for each document and text."""
-    one = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where(F.col("label") == F.col("_most")).select(F.col("doc_id").alias("_id"), "label")
-    return docs.select("doc_id", "text").where(learn & F.col("text").isNotNull()).join(one, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-
-
 def held_out_third(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -224,4 +220,4 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
 def toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Learn from the labelled documents that are not held out, then score all."""
     ship(docs.sparkSession)
-    return score_documents(docs, fit(labelled_rows(docs, labels, "toxic", ~held_out_third(F.col("doc_id"))), limits))
+    return score_documents(docs, fit(docs, labels, "toxic", lambda doc_id: ~held_out_third(doc_id), limits))
