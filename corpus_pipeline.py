@@ -15,11 +15,12 @@ from scriptorium.session import new_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, for which no language can be told, go; `lang` stays as it is given."""
+    """Documents for which no language can be told (without a letter) go; a null `lang` becomes the predicted one."""
     model = langid.fit(docs.where(~langid.held_out_quarter(F.col("doc_id"))))
-    plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    told = langid.predict(plain.select("row", "text"), model).where(F.col("lang_pred") != langid.UND)
-    return told.select("row.*")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    told = langid.predict(docs.select(rest, "text"), model).where(F.col("lang_pred") != langid.UND)
+    filled = told.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")))
+    return filled.select(*[F.col(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scriptorium.llm.textbytes import slices
 from scriptorium.session import ship
@@ -216,11 +217,11 @@ def fit(docs: DataFrame, per_language: int = 700) -> Hierarchy:
 
 
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
-    """All columns of docs, with lang_pred and score."""
+    """All columns of docs, with lang_pred and lang_score (in place of any of these names)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    schema = StructType([docs.schema[c] for c in rest]).add("lang_pred", "string").add("lang_score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +230,7 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*rest, lettered.alias("_lettered")).mapInArrow(work, f"{kinds}, lang_pred string, lang_score double")
+    return docs.select(*rest, lettered.alias("_lettered")).mapInArrow(work, schema)
 
 
 def language_id(docs: DataFrame, per_language: int = 700) -> DataFrame:
