@@ -1,4 +1,6 @@
 """Catalogue of queries by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from scriptorium.plans import sequences, state  # noqa: F401  they register their queries
+from scriptorium.plans.texts import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
