@@ -28,7 +28,7 @@ def implode(rows: DataFrame, key: str, pos: str, value: str, out: str, sep: str
     return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x[value]), sep).alias(out))
 
 
-def parse_transcript(docs: DataFrame, key: str, text: str, long_minutes: bool = False) -> DataFrame:
+def parse_transcript(docs: DataFrame, key: str, text: Column, long_minutes: bool = False) -> DataFrame:
     """key, seq, time_sec, text of the stamped lines; long_minutes also takes minutes of three digits."""
     pattern = F.lit(LONG_STAMP if long_minutes else STAMP)
     both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("at"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("said"))
@@ -38,7 +38,7 @@ def parse_transcript(docs: DataFrame, key: str, text: str, long_minutes: bool =
     return rows.select(key, "seq", seconds.alias("time_sec"), strip(F.col("s.said")).alias("text"))
 
 
-def parse_slides(docs: DataFrame, key: str, text: str) -> DataFrame:
+def parse_slides(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, slide_pos, slide_num, title, body of marked slides."""
     marks = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
     bodies = F.split(text, MARKER, -1)
