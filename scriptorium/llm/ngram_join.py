@@ -9,24 +9,29 @@ Work on classes, not copies: equal sets have one digest, which stands for all th
 
 1. n-grams that stand in the prefixes of two classes or more are found by an aggregate with partial sums, and
    only their postings are kept;
-2. each such n-gram's classes are paired with one leader (large groups: with different leaders for different
-   n-grams), pairs that fail exact length, position and bitmap bounds are dropped, and the rest is verified;
-3. the links found so far are contracted to components, and of what still shares a prefix n-gram only pairs
-   of different components that pass the same bounds are verified. Nothing else could join two components.
+2. each such n-gram's classes are paired with two leaders, each class is verified against the two whose bitmaps
+   are nearest, after exact length and bitmap bounds, and the links found give first components;
+3. an n-gram with BLOCK classes or more, still of different components, puts them into a block, named by its
+   least class, so that the n-grams of a group mostly name one block. The classes outside the block's largest
+   component are held against all of it, in buckets, and only links that join components are kept;
+4. for n-grams with fewer classes, pairs of different components that pass the length, position and bitmap
+   bounds are verified. Nothing else could join two components.
 
 So a group of k near copies costs about k verified pairs and not k squared, yet every link that matters to a
-component is tested, without caps. Verification builds, for each set, a trie of its partners' sets, frequent
-n-grams first; walking it counts a shared beginning once, and a subtree is left when what is counted plus what
-remains on the shorter side cannot reach the threshold.
+component is tested, without caps. Verification builds a trie of sets, frequent n-grams first, and walks it
+with each set to be held against them: a beginning that sets share is counted once, and a subtree is left when
+what is counted plus what remains on the probe's side cannot reach the threshold. Both sides of a comparison
+are dealt in buckets of BUCKET sets, so that no task holds a whole group.
 
-The bitmap bound: each set has 512 parity bits; two sets differ in at least as many elements as their bitmaps
-do in bits.
+The bitmap bound: each set has parity bits, two to four for an element and 512 at least; two sets differ in at
+least as many elements as their bitmaps do in bits. A bitmap folds to fewer bits, so joins look at 512 of them
+first, and only pairs that are left meet with all.
 
 Defined results: a null text or a text without words has no set, n_shingles 0, and is its own component; fewer
 words than n make one n-gram of the whole sequence; repeated rows are copies; components are named by their
 least doc_id (rows with null doc_id: null, unless linked to others); an empty table gives no rows; only doc_id
 and text are read by `jaccard_components`, and all columns pass through `keep_one`. Sets are compared by
-56-bit and classes by 64-bit hashes; a chance collision could add a link, at odds far below one in a million
+40-bit hashes beside their frequency level (in joins: 56-bit) and classes by 64-bit hashes; a chance collision could add a link, at odds far below one in a million
 for a billion classes compared pairwise by their prefixes.
 """
 
@@ -52,6 +57,12 @@ CHUNK = 4096
 SIG_WORDS = 8
 BLOOM_BITS = 1 << 23
 BROADCAST_ROWS = 300_000
+#: Leaders that a class is verified against first, and sets on either side of a comparison in one bucket.
+LEADERS = 2
+BUCKET = 256
+#: Classes of an n-gram that are held against each other as a block.
+BLOCK = 256
+WANTED = ("block", "bucket", "side", "node", "comp")
 GAP = np.zeros(256, bool)
 GAP[[32, *range(9, 14)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,10 +96,25 @@ def digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(s: np.ndarray) -> list[int]:
-    """Parity of the count of elements at each of 512 places, as signed 64-bit words."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * SIG_WORDS - 1), minlength=64 * SIG_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the count of elements at each of 512 places or more, two to four for each element."""
+    places = 64 * SIG_WORDS
+    while places < 2 * len(s):
+        places *= 2
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (as 64-bit words) on fewer places."""
+    return bits if len(bits) == size else np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """In how many places two bitmaps differ, on the places of the smaller: no more than their sets do in elements."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")  # unsigned: signed numbers are counted by magnitude
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum())
 
 
 def coded(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -101,7 +127,7 @@ def _prefix(n: int) -> int:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-NODES = "doc_id bigint, node bigint, n int, chunk int, counts binary, " + ", ".join(f"s{k} bigint" for k in range(SIG_WORDS))
+NODES = "doc_id bigint, key bigint, node bigint, n int, chunk int, counts binary, bits binary, " + ", ".join(f"s{k} bigint" for k in range(SIG_WORDS))
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -111,24 +137,25 @@ def _nodes(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             rows, cells = [], []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2)), strict=True):
                 if len(s):
                     cells.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                    rows.append((doc_id, digest(s), len(s), None, None, *bitmap(s)))
+                    bits = bitmap(s)
+                    rows.append((doc_id, key, digest(s), len(s), None, None, bits, *folded(np.frombuffer(bits, "<i8"), SIG_WORDS).tolist()))
                 else:
-                    rows.append((doc_id, None, 0, None, None, *([0] * SIG_WORDS)))
+                    rows.append((doc_id, key, None, 0, None, None, None, *([0] * SIG_WORDS)))
             if cells:
                 counts += np.bincount(np.concatenate(cells), minlength=1 << SKETCH_BITS)
             yield _batch(rows)
         filled = np.minimum(counts, (1 << 32) - 1).astype("<u4")
         if filled.any():
-            yield _batch([(None, None, None, k, filled[k * CHUNK : (k + 1) * CHUNK].tobytes(), *([None] * SIG_WORDS)) for k in range((1 << SKETCH_BITS) // CHUNK)])
+            yield _batch([(None, None, None, None, k, filled[k * CHUNK : (k + 1) * CHUNK].tobytes(), None, *([None] * SIG_WORDS)) for k in range((1 << SKETCH_BITS) // CHUNK)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, NODES)
+    return docs.select("doc_id", "key", "text").mapInArrow(work, NODES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *([pa.int64()] * SIG_WORDS)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *([pa.int64()] * SIG_WORDS)]
     names = [x.split()[0] for x in NODES.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -225,29 +252,44 @@ def _postings(docs: DataFrame, sketch, only=None) -> DataFrame:
     return docs.select("text").mapInArrow(work, "token bigint, node bigint, n int, pos int")
 
 
-def _sets(docs: DataFrame, sketch, wanted) -> DataFrame:
-    """node, codes of the classes that a Bloom filter lets through."""
+def packed(codes: np.ndarray) -> bytes:
+    """The upper six bytes of each code."""
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(np.uint64).ravel()
+
+
+def _shipped(rows: DataFrame, sketch) -> DataFrame:
+    """rows of text and wanted (array of WANTED structs): a row of the text's set for each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, have, seen = sketch.value, wanted.value, set()
+        levels = sketch.value
         for batch in batches:
-            nodes, blobs = [], []
-            for s in shingle_sets(batch.column(0)):
-                d = digest(s) if len(s) else None
-                if d is None or d in seen or not _passes(have, np.array([d], np.int64))[0]:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(d)
-                nodes.append(d)
-                blobs.append(coded(s, levels).tobytes())
-                if len(nodes) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "codes"])
-                    nodes, blobs = [], []
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "codes"])
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                rows, blobs = [], []
+                for s, wanted in zip(shingle_sets(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    blob = packed(coded(s, levels))
+                    for w in wanted:
+                        rows.append(tuple(w[c] for c in WANTED))
+                        blobs.append(blob)
+                        if len(blobs) * len(blob) > 4 << 20:
+                            yield _set_rows(rows, blobs)
+                            rows, blobs = [], []
+                if rows:
+                    yield _set_rows(rows, blobs)
+
+    return rows.select("text", "wanted").mapInArrow(work, "block bigint, bucket int, side int, node bigint, comp bigint, codes binary")
+
 
-    return docs.select("text").mapInArrow(work, "node bigint, codes binary")
+def _set_rows(rows: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(blobs, pa.binary())], names=[*WANTED, "codes"])
 
 
 def need(n, m):
@@ -260,8 +302,7 @@ def bounded(a: str, b: str, positions: bool) -> Column:
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     least = F.expr(f"({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN}")
     ok = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
-    differ = F.expr(" + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(SIG_WORDS)))
-    ok &= differ <= n + m - 2 * least
+    ok &= F.expr(" + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(SIG_WORDS))) <= n + m - 2 * least
     if positions:
         i, j = F.col(f"{a}.pos"), F.col(f"{b}.pos")
         ok &= F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= least
@@ -315,41 +356,67 @@ class Trie:
         return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The similar ones of pairs (x, y), as u, v."""
-    a = pairs.join(sets.select(F.col("node").alias("y"), F.col("codes").alias("cy")), "y")
-    a = a.join(sets.select(F.col("node").alias("x"), F.col("codes").alias("cx")), "x").select("x", "y", "cx", "cy")
+class Joined:
+    """Components that links seen so far have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """Links (u, v) of shipped rows that join components; within a block and bucket the probes (side 0) come before the sets of the trie."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, probes, joined = None, [], Joined()
         for batch in batches:
-            xs, ys, cx, cy = (batch.column(k) for k in range(4))
-            xs, ys = xs.to_pylist(), ys.to_pylist()
+            block, bucket, side, node, comp = (batch.column(k).to_pylist() for k in range(5))
+            codes = batch.column(5)
             us, vs, k = [], [], 0
-            while k < len(xs):  # rows of one x stand together, as the join leaves them
-                end = k
-                trie = Trie(np.zeros(0, np.uint64), 1 << 31)
-                while end < len(xs) and xs[end] == xs[k]:
-                    trie.insert(np.frombuffer(cy[end].as_buffer(), np.uint64)[::-1], end)
+            while k < len(node):
+                here = (block[k], bucket[k])
+                if here != place:
+                    place, probes, joined = here, [], Joined()
+                if side[k] == 0:
+                    probes.append((node[k], comp[k], unpacked(codes[k].as_buffer())[::-1]))
+                    k += 1
+                    continue
+                trie, end = Trie(np.zeros(0, np.uint64), 1 << 31), k
+                while end < len(node) and (block[end], bucket[end]) == here and end - k < BUCKET:
+                    trie.insert(unpacked(codes[end].as_buffer())[::-1], end)
                     end += 1
-                for hit in trie.similar(np.frombuffer(cx[k].as_buffer(), np.uint64)[::-1]):
-                    us.append(xs[k])
-                    vs.append(ys[hit])
+                for name, own, probe in probes:
+                    for hit in trie.similar(probe):
+                        if joined.joins(own, comp[hit]):
+                            us.append(name)
+                            vs.append(node[hit])
                 k = end
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return a.mapInArrow(work, "u bigint, v bigint")
+    return rows.mapInArrow(work, "u bigint, v bigint")
 
 
 def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, node, n) of all documents, and comp of the nodes that are linked."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # key names a document in joins, so that one of each class is read again; rows that share a key are only read twice.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null"), "text")).alias("key"), "text")
     rows = materialize(_nodes(docs), "nodes")
     sketch = spark.sparkContext.broadcast(_sketch(rows))
     nodes = rows.where(F.col("chunk").isNull())
     sigs = [f"s{k}" for k in range(SIG_WORDS)]
-    classes = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in sigs])
+    classes = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), *[F.first(s).alias(s) for s in sigs])
+    classes = materialize(classes, "classes")
 
     # 1. N-grams in the prefixes of two classes or more, and two leaders of each: the least and the greatest class
     # under one of four orders, so that the n-grams of one large group do not all name the same leaders.
@@ -359,37 +426,97 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialize(_postings(docs, sketch, bloom(size, "token")).join(size, "token"), "shared")
 
     # 2. Leaders.
-    pairs = shared.select("node", F.explode_outer(F.array("low", "high")).alias("leader")).where("node <> leader")
-    pairs = pairs.select(F.greatest("node", "leader").alias("x"), F.least("node", "leader").alias("y")).distinct()
-    both = pairs.join(classes.alias("b"), F.col("y") == F.col("b.node")).join(classes.alias("a"), F.col("x") == F.col("a.node")).where(bounded("a", "b", False)).select("x", "y")
-    links = _verify_all(docs, materialize(both, "pairs"), sketch)
-    comp = materialize(components(links), "components") if not links.isEmpty() else None
-
-    # 3. Pairs of different components.
+    pairs = shared.select(F.col("node").alias("x"), F.explode_outer(F.array("low", "high")).alias("y")).where("x <> y")
+    pairs = _bounded_pairs(pairs.distinct(), classes)
+    best = pairs.groupBy("x").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y"))), 1, LEADERS).alias("best"))
+    pairs = materialize(best.select("x", F.explode_outer("best").alias("b")).select(F.greatest("x", "b.y").alias("x"), F.least("x", "b.y").alias("y")).distinct(), "pairs")
+    links = _verified(docs, classes, _stars(pairs), None, sketch)
+    comp = None if links.isEmpty() else materialize(components(links), "components")
     members = shared.select("token", "node", "pos")
-    if comp is not None:
-        members = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        members = members.withColumn("comp", F.col("node"))
-    mixed = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    members = members.join(mixed, "token", "left_semi").join(classes, "node")
-    members = materialize(members, "members")
-    a, b = members.alias("a"), members.alias("b")
+    members = members.withColumn("comp", F.col("node")) if comp is None else _with_comp(members, comp)
+
+    # 3. and 4. What still shares an n-gram but no component: blocks, and pairs.
+    groups = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("block"), F.count("*").alias("k"))
+    groups = groups.where("low <> high").select("token", "block", (F.col("k") >= BLOCK).alias("many"))
+    members = materialize(members.join(groups, "token"), "members")
+    few = materialize(members.where("not many").join(classes.drop("bits"), "node"), "few")
+    a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & bounded("a", "b", True))
-    cross = materialize(cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct(), "cross")
-    more = _verify_all(docs, cross, sketch)
-    if not more.isEmpty():
-        comp = components((links if comp is not None else more).unionByName(more))
+    cross = cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
+    cross = materialize(_bounded_pairs(cross, classes).select("x", "y"), "cross")
+    found = _verified(docs, classes, _stars(cross).unionByName(_blocks(members.where("many"))), comp, sketch)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        comp = components(links)
     return nodes.select("doc_id", "node", "n"), comp
 
 
-def _verify_all(docs: DataFrame, pairs: DataFrame, sketch) -> DataFrame:
-    """Verified links of pairs (x, y); only the sets that they name are built again and shuffled."""
-    if pairs.isEmpty():
-        return pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    wanted = bloom(pairs.select(F.explode_outer(F.array("x", "y")).alias("node")), "node")
-    sets = _sets(docs, sketch, wanted).groupBy("node").agg(F.first("codes").alias("codes"))
-    return materialize(_verified(pairs, materialize(sets, "sets")), "links")
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """x, y, d of the pairs (x, y) that the length and bitmap bounds leave; d: places of the bitmaps that differ."""
+    a, b = classes.alias("a"), classes.alias("b")
+    both = pairs.join(a, F.col("a.node") == pairs["x"]).join(b, F.col("b.node") == F.col("y")).where(bounded("a", "b", False))
+    both = both.select("x", "y", F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.bits").alias("bx"), F.col("b.bits").alias("by"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            d = np.array([unlike(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int32)
+            ok = pa.array(d <= n + m - 2 * need(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(d).filter(ok)], names=["x", "y", "d"])
+
+    return both.mapInArrow(work, "x bigint, y bigint, d int")
+
+
+def _dealt(probes: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows (block, bucket, side, node) of blocks whose probes and others (block, node) meet; both are dealt into buckets of about BUCKET."""
+
+    def share(rows: DataFrame, n: str) -> DataFrame:
+        return rows.groupBy("block").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias(n))
+
+    size = share(probes, "pn").join(share(others, "tn"), "block")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
+    p = probes.join(size, "block").select("block", "node", "tn", own("pn").alias("p"), every("tn").alias("t"))
+    t = others.join(size, "block").select("block", "node", "tn", own("tn").alias("t"), every("pn").alias("p"))
+    rows = p.withColumn("side", F.lit(0)).unionByName(t.withColumn("side", F.lit(1)))
+    return rows.select("block", (F.col("p") * F.col("tn") + F.col("t")).alias("bucket"), "side", "node")
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Rows (block, bucket, side, node) of pairs (x, y): the member with more partners is the probe of a block of its own."""
+    ends = pairs.select(F.explode_outer(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
+    a, b = ends.select(F.col("node").alias("x"), F.col("deg").alias("dx")), ends.select(F.col("node").alias("y"), F.col("deg").alias("dy"))
+    first = F.struct("dy", "y") >= F.struct(F.col("dx").alias("dy"), F.col("x").alias("y"))
+    turned = pairs.join(a, "x").join(b, "y").select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("node"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("block")).distinct()
+    return _dealt(turned.select("block", F.col("block").alias("node")).distinct(), turned.select("block", "node"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows (block, bucket, side, node) that hold the classes outside a block's largest component against all of the block."""
+    rows = materialize(members.select("block", "node", "comp").distinct(), "blocks")
+    top = rows.groupBy("block", "comp").agg(F.count("*").alias("k")).groupBy("block").agg(F.max(F.struct("k", "comp")).alias("top"))
+    outside = rows.join(top.select("block", F.col("top.comp").alias("most")), "block").where("comp <> most")
+    return _dealt(outside.select("block", "node"), rows.select("block", "node"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFrame | None, sketch) -> DataFrame:
+    """Links (u, v) between components that the rows (block, bucket, side, node) find.
+
+    One document of each class is read again, and its set goes where it is wanted. What is wanted is broadcast to
+    the documents if a count has shown it small, else texts and lists are shuffled.
+    """
+    rows = rows.withColumn("comp", F.col("node")) if comp is None else _with_comp(rows, comp)
+    wanted = rows.join(classes.select("node", "key"), "node").groupBy("key").agg(F.collect_list(F.struct(*WANTED)).alias("wanted"))
+    wanted = materialize(wanted, "wanted")
+    few = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
+    sets = _shipped(docs.select("key", "text").join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, "key"), sketch)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = sets.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket", "side")
+    return materialize(_similar(ordered), "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
