@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import formulas, latex, text
@@ -29,10 +31,22 @@ SCALAR: dict[str, tuple[str, object]] = {
 }
 
 
+_PIECE = re.compile(r"'(?:[^'\\]|\\.)*'|(?<![\w`])(and|or|[=<>!+*/%&|^-]+)(?=\()")
+
+
+def as_sql(column: Column) -> str:
+    """A column as SQL text: the column's own rendering, with operators in prefix form quoted as function names."""
+    return _PIECE.sub(lambda m: f"`{m[1]}`" if m[1] else m[0], column._jc.node().sql())
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Make them callable in spark.sql: `apply_scalar` adds columns by name, and formula conversion is a function."""
+    """Make the scalar operators callable in spark.sql as temporary functions, and formula conversion as an Arrow UDF."""
+    done = []
+    for name, (kind, function) in SCALAR.items():
+        spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {as_sql(function(F.col('t')))}")
+        done.append(name)
     spark.udf.register("omml_to_latex", F.udf(formulas.to_latex, "string", useArrow=True))
-    return ["omml_to_latex"]
+    return [*done, "omml_to_latex"]
 
 
 def apply_scalar(df, name: str, column: str, out: str):

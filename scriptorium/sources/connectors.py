@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import clean_answer
+
 Tool = Callable[[bytes], str | None]
 OUT = "md5 string, result string, error string, attempted boolean"
 _tools: dict[str, Tool] = {}
@@ -185,3 +187,69 @@ def download(url: str, attempts: int = 3, seconds: int = 7200) -> bytes:
             if k == attempts - 1:
                 raise
     raise RuntimeError("no attempt was made")
+
+
+@register("slide_raster")
+def slide_raster(content: bytes) -> str:
+    """Slides of a presentation as a PDF, in base 64."""
+    import base64
+    import pathlib
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        path = pathlib.Path(d, "slides.pptx")
+        path.write_bytes(content)
+        command(["soffice", "--headless", "--convert-to", "pdf", "--outdir", d, str(path)], None, 120)
+        return base64.b64encode(path.with_suffix(".pdf").read_bytes()).decode()
+
+
+@register("page_raster")
+def page_raster(content: bytes) -> str:
+    """Pages of a PDF as PNG at 200 dots an inch: a JSON array of base 64."""
+    import base64
+    import json
+
+    pages = need("fitz").open(stream=content, filetype="pdf")
+    return json.dumps([base64.b64encode(p.get_pixmap(dpi=200).tobytes("png")).decode() for p in pages])
+
+
+@register("formula_ocr")
+def formula_ocr(content: bytes) -> str:
+    """A formula's picture as LaTeX; the model is loaded once for each worker."""
+    if "model" not in _loaded:
+        _loaded["model"] = need("pix2tex.cli").LatexOCR()
+    return _loaded["model"](need("PIL.Image").open(BytesIO(content)))
+
+
+_loaded: dict = {}
+
+
+def answers(rows: DataFrame, prompt: str, skeleton: str, call: Callable[[str], str] | None = None, attempts: int = 3, wait: float = 20.0) -> DataFrame:
+    """Adds answer and error: a model's cleaned answer to each prompt, or the skeleton where there is no model or it fails.
+
+    An error that names 429 or 529 is tried again after wait x attempt seconds.
+    """
+    if call is None:
+        return rows.withColumns({"answer": F.col(skeleton), "error": F.lit(None).cast("string")})
+
+    @F.pandas_udf("answer string, error string")
+    def ask(prompts):
+        import time
+
+        import pandas as pd
+
+        out = []
+        for p in prompts:
+            for k in range(1, attempts + 1):
+                try:
+                    out.append((call(p), None))
+                    break
+                except Exception as e:  # noqa: BLE001  a remote failure is a result here
+                    if k == attempts or not any(code in str(e) for code in ("429", "529")):
+                        out.append((None, str(e)[:500]))
+                        break
+                    time.sleep(wait * k)
+        return pd.DataFrame(out, columns=["answer", "error"])
+
+    d = rows.withColumn("_a", ask(F.col(prompt)))
+    return d.withColumns({"answer": F.coalesce(clean_answer(F.col("_a.answer")), F.col(skeleton)), "error": F.col("_a.error")}).drop("_a")

@@ -47,7 +47,7 @@ def new_lessons(found: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def texts(files: DataFrame) -> DataFrame:
     """Adds text to text files: UTF-8 with broken bytes dropped, RTF as plain text; blank files go."""
-    raw = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "\ufffd", "")
+    raw = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     d = files.where("kind = 'text'").withColumn("text", strip_rtf(raw))
     return d.where(F.trim("text") != "")
 

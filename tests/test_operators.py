@@ -147,7 +147,7 @@ def test_docx(spark):
 
 def test_normalize(spark):
     rows = [("a", "Lezione", "[00:00] teorema uno\n[01:00] dimostrazione", "--- SLIDE 1: A ---\nIl teorema\n--- SLIDE 2 ---\nAltro", "Il documento $x^2$", None, None),
-            ("b", "Vuota", "", "", "PARTE PRIMA ALFA\ntesto lungo abbastanza per contare\n\ntesto lungo abbastanza per contare", "fisica", "CTX")]
+            ("b", "Vuota", "", "", "PARTE PRIMA ALFA\nTesto lungo abbastanza per contare\n\nTesto lungo abbastanza per contare", "fisica", "CTX")]
     d = spark.createDataFrame(rows, "k string, title string, transcript string, slides string, extra string, hint string, context string")
     got = {r["k"]: r for r in normalize(d, "k").collect()}
     assert got["a"]["subject"] == "matematica" and got["b"]["subject"] == "fisica"
@@ -155,3 +155,29 @@ def test_normalize(spark):
     assert got["a"]["formulas"] == ["$x^2$"] and "Formule estratte" not in got["a"]["prompt"]
     assert got["b"]["prompt"].startswith("CTX\n\nTIPO DI CORSO: fisica\n\n# Vuota")
     assert [s["heading"] for s in got["b"]["sections"]] == ["", "Parte Prima Alfa"]
+
+
+def test_sql_functions(spark):
+    from scriptorium.functions import sql
+
+    names = sql.register(spark)
+    d = spark.createDataFrame([("[00:01] Uno % due $x$\n\ntre {a}\nè qui",), ("",), (None,)], "t string")
+    d.createOrReplaceTempView("texts_of_test")
+    for name in sql.SCALAR:
+        assert name in names
+        by_sql = [r[0] for r in spark.sql(f"select {name}(t) from texts_of_test").collect()]
+        assert by_sql == [r["x"] for r in sql.apply_scalar(d, name, "t", "x").collect()]
+    assert spark.sql(f"select omml_to_latex('{RUN.format('π')}')").first()[0] == r"\pi"
+
+
+def test_answers_fall_back(spark):
+    d = spark.createDataFrame([(1, "p1", "skeleton"), (2, "bad", "skeleton")], "k int, prompt string, skeleton string")
+
+    def call(prompt):
+        if prompt == "bad":
+            raise RuntimeError("no answer")
+        return f"```latex\n\\section{{{prompt}}}\n```"
+
+    got = {r["k"]: (r["answer"], r["error"]) for r in connectors.answers(d, "prompt", "skeleton", call).collect()}
+    assert got == {1: (r"\section{p1}", None), 2: ("skeleton", "no answer")}
+    assert [r["answer"] for r in connectors.answers(d, "prompt", "skeleton").collect()] == ["skeleton"] * 2
