@@ -148,7 +148,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, features: int, l1: float = 2e-3
         new[left] = np.arange(len(left))
         on = new[column] >= 0
         kept = [(new[a], new[c], n) for a, c, n in swaps if new[a] >= 0 and new[c] >= 0]
-        w, b = _descend(row[on], new[column[on]], y, weight, kept, len(left), 0.0, pair, steps, ridge=2e-4)
+        w, b = _descend(row[on], new[column[on]], y, weight, kept, len(left), 0.0, pair, 4 * steps, ridge=2e-5)
         vocab = vocab[left]
     return Model(vocab[: len(w)], w, float(b))
 
