@@ -66,12 +66,29 @@ def formula_map() -> dict[str, str]:
     return out | {c: rf"\boldsymbol{{{plain}}}" if bold else plain for c, (plain, bold) in letters().items()}
 
 
+def ranges(table: dict[str, str], gap: int = 8) -> str:
+    """The inside of a character class that holds a table's keys, as few ranges: beyond ASCII, neighbours may be in it too."""
+    out = "".join("\\" + c if c in "\\^[]&-" else c for c in table if c < "\x80")
+    far = sorted(ord(c) for c in table if c >= "\x80")
+    start = last = far[0]
+    for c in [*far[1:], None]:
+        if c is None or c - last > gap:
+            out += rf"\x{{{start:X}}}-\x{{{last:X}}}"
+            start = c
+        last = c
+    return out
+
+
 def _mapped(text: Column, table: dict[str, str]) -> Column:
-    """Each character through a table at once, so no replacement is replaced again; texts without such characters pass."""
-    keys = "[" + "".join("\\" + c if c in "\\^[]&-" else c for c in table) + "]"
+    """Each character through a table at once, so no replacement is replaced again; texts without such characters pass.
+
+    A text is cut into characters of the table and the runs between them, so what lies between is looked up once.
+    """
+    inner = ranges(table)
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    one = lambda c: F.when(c.rlike(keys), F.element_at(pairs, c)).otherwise(c)
-    return F.when(text.rlike(keys), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+    one = lambda c: F.when(F.length(c) == 1, F.coalesce(F.element_at(pairs, c), c)).otherwise(c)
+    runs = F.regexp_extract_all(text, F.lit(f"[{inner}]|[^{inner}]+"), F.lit(0))
+    return F.when(text.rlike(f"[{inner}]"), F.array_join(F.transform(runs, one), "")).otherwise(text)
 
 
 def escape(text: Column) -> Column:

@@ -36,6 +36,9 @@ BUDGET = {"CARNE": 200_000, "SCHELETRO": 160_000, "SUPPORTO": 80_000, "CONTORNO"
 SPARSE = 80
 FOOTER = r"^\s*(?:[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}|https?://\S+|\d{1,4}\s*/\s*\d{1,4})\s*$"
 COMMAND = r"\\[a-zA-Z]+"
+#: The characters that Windows-1252 has where Latin-1 has controls.
+LATIN_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS_LETTERS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
 
 def remove_noise(text: Column) -> Column:
@@ -70,7 +73,7 @@ def clean(text: Column) -> Column:
 def repair_doubled(text: Column) -> Column:
     """Characters all written twice, by some fonts, become single where pairs are over 0.4 of what is visible."""
     seen = F.regexp_replace(text, r"(?U)\s", "")
-    pairs = F.size(F.regexp_extract_all(seen, F.lit(r"(?d)(.)\1"), F.lit(1)))
+    pairs = F.length(seen) - F.length(F.regexp_replace(seen, r"(?d)(.)\1", "$1"))  # each pair shrinks by one
     return F.when((F.length(seen) > 0) & (pairs / F.length(seen) > 0.40), F.regexp_replace(text, r"(?d)(.)\1", "$1")).otherwise(text)
 
 
@@ -153,7 +156,7 @@ def strip_rtf(raw: Column) -> Column:
     for pattern, to in ((r"\\\n", "\n"), (r"\\par\b", "\n"), (r"\\line\b", "\n"), (r"\\\\\s?", ""), (r"\\[a-z]+\-?\d*\s?", ""), (r"\{[^{}]{0,200}\}", ""), (r"[{}]", "")):
         t = F.regexp_replace(t, pattern, to)
     coded = F.split(t, r"\\'(?=[0-9a-f]{2})")
-    decoded = F.transform(coded, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.decode(F.unhex(F.substring(p, 1, 2)), "windows-1252"), F.substring(p, 3, 1 << 30))))
+    decoded = F.transform(coded, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.translate(F.char(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), LATIN_CONTROLS, WINDOWS_LETTERS), F.substring(p, 3, 1 << 30))))
     return F.when(raw.rlike(r"(?U)^\s*\{\\rtf"), strip(squeeze_blank(F.array_join(decoded, "")))).otherwise(raw)
 
 
