@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; a longer text is handled alone.
-SLICE = 2 << 20
+#: Bytes handled at once, some hundred bytes of memory each; a longer text is handled alone.
+SLICE = 1 << 18
 
 
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
