@@ -439,7 +439,7 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("block"), F.count("*").alias("k"))
     groups = groups.where("low <> high").select("token", "block", (F.col("k") >= BLOCK).alias("many"))
     members = materialize(members.join(groups, "token"), "members")
-    few = materialize(members.where("not many").join(classes.drop("bits"), "node"), "few")
+    few = members.where("not many").select("token", "node", "pos", "comp").join(classes.drop("bits", "key"), "node")
     a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & bounded("a", "b", True))
     cross = cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
@@ -457,9 +457,11 @@ def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """x, y, d of the pairs (x, y) that the length and bitmap bounds leave; d: places of the bitmaps that differ."""
-    a, b = classes.alias("a"), classes.alias("b")
+    a, b = classes.drop("bits", "key").alias("a"), classes.drop("bits", "key").alias("b")
     both = pairs.join(a, F.col("a.node") == pairs["x"]).join(b, F.col("b.node") == F.col("y")).where(bounded("a", "b", False))
-    both = both.select("x", "y", F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.bits").alias("bx"), F.col("b.bits").alias("by"))
+    both = both.select("x", "y", F.col("a.n").alias("n"), F.col("b.n").alias("m"))  # whole bitmaps meet only what is left
+    both = both.join(classes.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x").join(classes.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y")
+    both = both.select("x", "y", "n", "m", "bx", "by")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
