@@ -20,8 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where the session does not say: texts are long, and a worker holds a batch at a time.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, once per application (needed where executors lack the repository)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
