@@ -147,7 +147,9 @@ def clean_answer(text: Column, compat: bool = False) -> Column:
 
 
 def truncate_context(text: Column, limit: int = 6000) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n[...]"))).otherwise(text)
+    """The beginning of the chapter before, as context of the next one."""
+    t = strip(text)
+    return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("\n% ... [troncato per brevità] ..."))).otherwise(t)
 
 
 def strip_rtf(raw: Column) -> Column:

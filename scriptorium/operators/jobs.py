@@ -45,10 +45,12 @@ def orphans(outputs: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
 
 
 def status_view(jobs: DataFrame, progress: DataFrame, key: str) -> DataFrame:
-    """Jobs with their latest progress; without one the step is named after the status."""
-    d = jobs.join(progress, key, "left")
-    step = F.when(F.col("status") == "queued", "In coda").when(F.col("status") == "running", "In esecuzione").when(F.col("status") == "done", "Completato").otherwise("Errore")
-    return d.withColumn("progress", F.coalesce("progress", F.when(F.col("status") == "done", 100).otherwise(0))).withColumn("current_step", F.coalesce("current_step", step))
+    """Jobs with their latest progress, which counts while they run and when they are done; else the status gives the step."""
+    live = F.col("status").isin("running", "done")
+    d = jobs.join(progress.withColumnsRenamed({"progress": "_p", "current_step": "_s"}), key, "left")
+    step = F.when(F.col("status") == "done", "Completato").when(F.col("status") == "queued", "In coda").when(F.col("status") == "error", "Errore").otherwise("")
+    done = F.when(F.col("status") == "done", 100).otherwise(0)
+    return d.withColumns({"progress": F.coalesce(F.when(live, F.col("_p")), done), "current_step": F.coalesce(F.when(live, F.col("_s")), step)}).drop("_p", "_s")
 
 
 def listing(jobs: DataFrame, done_only: bool = False) -> DataFrame:

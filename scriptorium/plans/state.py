@@ -122,8 +122,8 @@ def job_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("job_status_view", f"""
 with j as (select user_id, max_by({STATUS}, (ts, event_id)) as status from events group by user_id), p as (select user_id, cast(count(*) % 100 as integer) as progress, 'Passo ' || count(*) as current_step from events where event_type = 'click' group by user_id)
-select j.user_id, status, coalesce(progress, case when status = 'done' then 100 else 0 end) as progress,
-  coalesce(current_step, case status when 'queued' then 'In coda' when 'running' then 'In esecuzione' when 'done' then 'Completato' else 'Errore' end) as current_step from j left join p on j.user_id = p.user_id""")
+select j.user_id, status, coalesce(case when status in ('running', 'done') then progress end, case when status = 'done' then 100 else 0 end) as progress,
+  coalesce(case when status in ('running', 'done') then current_step end, case status when 'queued' then 'In coda' when 'running' then '' when 'done' then 'Completato' else 'Errore' end) as current_step from j left join p on j.user_id = p.user_id""")
 def job_status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = jobs.latest_state(_jobs(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", "status")
     p = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy("user_id").agg((F.count("*") % 100).cast("int").alias("progress"), F.concat(F.lit("Passo "), F.count("*").cast("string")).alias("current_step"))

@@ -16,7 +16,7 @@ MAGIC = (
     ("FFF2", (".mp3",)), ("52494646", (".wav",)), ("4F676753", (".ogg", ".webm")), ("1A45DFA3", (".webm", ".mkv")), ("7B5C727466", (".rtf", ".txt")),
 )
 FTYP = (".mp4", ".m4a", ".m4v", ".mov")
-HOSTS = r"sharepoint\.com|microsoftstream\.com|teams\.microsoft\.com|office\.com|microsoft\.com"
+HOSTS = r"teams\.microsoft\.com|sharepoint\.com|svc\.ms|microsoftstream\.com|api\.teams\.skype\.com"
 
 
 def scan_folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
