@@ -74,6 +74,17 @@ QUERIES = {
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 75 * (p.n + q.n - k)),
+b as (select x, y from e union all select y, x from e),
+r as (select doc_id as node, doc_id as root from d union select b.y, r.root from r join b on r.node = b.x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id
+from d left join n on d.doc_id = n.doc_id join (select node, min(root) as component_id from r group by node) m on m.node = d.doc_id""",
     "op6_warc": """
 with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages),
 f as (select digest, min(page_id) as first from p where n >= 100 group by digest)
