@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices
 from scriptorium.session import ship
 
@@ -140,7 +141,7 @@ def shares(docs: DataFrame) -> DataFrame:
                     counts.append(n.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "cells", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(work, "lang string, cells binary, counts binary")
+    return docs.select("lang", "text").mapInArrow(trimmed(work), "lang string, cells binary, counts binary")
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> Hierarchy:
@@ -230,7 +231,7 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "lang_score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*rest, lettered.alias("_lettered")).mapInArrow(work, schema)
+    return docs.select(*rest, lettered.alias("_lettered")).mapInArrow(trimmed(work), schema)
 
 
 def language_id(docs: DataFrame, per_language: int = 700) -> DataFrame:

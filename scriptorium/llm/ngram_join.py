@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components
+from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices, splitmix, words
 from scriptorium.session import materialize, ship
 
@@ -151,7 +152,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
         if filled.any():
             yield _batch([(None, None, None, None, k, filled[k * CHUNK : (k + 1) * CHUNK].tobytes(), None, *([None] * SIG_WORDS)) for k in range((1 << SKETCH_BITS) // CHUNK)])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(work, NODES)
+    return docs.select("doc_id", "key", "text").mapInArrow(trimmed(work), NODES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -203,7 +204,7 @@ def bloom(df: DataFrame, column: str):
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.bitwise_or.reduceat(bits, first) if len(w) else bits)], names=["w", "bits"])
 
     out = np.zeros(BLOOM_BITS // 64, np.int64)
-    rows = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(cells, "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    rows = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(trimmed(cells), "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits"))
     for r in rows.collect():
         out[r["w"]] = r["bits"]
     return df.sparkSession.sparkContext.broadcast(out)
@@ -249,7 +250,7 @@ def _postings(docs: DataFrame, sketch, only=None) -> DataFrame:
             for at in range(0, out.num_rows, 65_536):
                 yield out.slice(at, 65_536)
 
-    return docs.select("text").mapInArrow(work, "token bigint, node bigint, n int, pos int")
+    return docs.select("text").mapInArrow(trimmed(work), "token bigint, node bigint, n int, pos int")
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -284,7 +285,7 @@ def _shipped(rows: DataFrame, sketch) -> DataFrame:
                 if rows:
                     yield _set_rows(rows, blobs)
 
-    return rows.select("text", "wanted").mapInArrow(work, "block bigint, bucket int, side int, node bigint, comp bigint, codes binary")
+    return rows.select("text", "wanted").mapInArrow(trimmed(work), "block bigint, bucket int, side int, node bigint, comp bigint, codes binary")
 
 
 def _set_rows(rows: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
@@ -402,7 +403,7 @@ def _similar(rows: DataFrame) -> DataFrame:
                 k = end
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(work, "u bigint, v bigint")
+    return rows.mapInArrow(trimmed(work), "u bigint, v bigint")
 
 
 def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -470,7 +471,7 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = pa.array(d <= n + m - 2 * need(n, m))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(d).filter(ok)], names=["x", "y", "d"])
 
-    return both.mapInArrow(work, "x bigint, y bigint, d int")
+    return both.mapInArrow(trimmed(work), "x bigint, y bigint, d int")
 
 
 def _dealt(probes: DataFrame, others: DataFrame) -> DataFrame:
@@ -528,7 +529,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         named = nodes.withColumn("comp", F.col("node"))
     else:
         named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Written first: a join with an aggregate in its plan cannot split a component that holds many documents.
+    least = materialize(named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = named.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.memory import trimmed
 from scriptorium.llm.tokens import encoder
 from scriptorium.session import materialize, ship
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                         at, no, size = at + size, no + 1, capacity
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(cut), PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,7 +132,7 @@ def _round(open_pieces: DataFrame, number: int, tasks: int, capacity: int, last:
         t = t.append_column("sequence_id", pa.array(base + 2 * bins, pa.int64(), mask=~keep[bins])).append_column("offset", pa.array(offset, pa.int64()))
         yield from t.to_batches(max_chunksize=10_000)
 
-    return open_pieces.repartition(tasks).mapInArrow(pack, f"{PIECES}, sequence_id bigint, offset bigint")
+    return open_pieces.repartition(tasks).mapInArrow(trimmed(pack), f"{PIECES}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.crc32c import crc32c, crc32c_one, masked
 from scriptorium.llm.files import Committed, attempt_name, opened, read_whole
+from scriptorium.llm.memory import trimmed
 from scriptorium.llm.tokens import encoder
 from scriptorium.session import new_dir, ship
 
@@ -139,7 +140,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "records": pa.array([len(index)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "first_id": pa.array([first], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(write, MANIFEST)
+    return ordered.mapInArrow(trimmed(write), MANIFEST)
 
 
 def read_records(spark: SparkSession, manifest: list) -> DataFrame:
@@ -165,7 +166,7 @@ def read_records(spark: SparkSession, manifest: list) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in got.items()} | {"shard": pa.array([shard] * len(got["start"]), pa.int32())})
 
     files = spark.createDataFrame(rows, "shard int, path string, start bigint")
-    return files.repartition(max(1, len(rows)), "shard").mapInArrow(read, schema) if rows else spark.createDataFrame([], schema)
+    return files.repartition(max(1, len(rows)), "shard").mapInArrow(trimmed(read), schema) if rows else spark.createDataFrame([], schema)
 
 
 def tokens_to_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0) -> DataFrame:

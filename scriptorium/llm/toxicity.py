@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices, word_hash, words
 from scriptorium.session import ship
 
@@ -101,7 +102,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                 blobs += [np.unique(found[x:y]).tobytes() for x, y in zip(before[:-1], before[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["label", "words"])
 
-    return docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(work, "label int, words binary")
+    return docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(trimmed(work), "label int, words binary")
 
 
 def unit(column: Column, salt: str) -> Column:
@@ -214,7 +215,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_third(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(work, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(work), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.files import Committed, attempt_name, opened
+from scriptorium.llm.memory import trimmed
 from scriptorium.session import new_dir, ship
 
 CHUNK = 64 << 10
@@ -85,7 +86,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
             out.__exit__(None, None, None)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
-    return records.select("page_id", "url", "html", "n", "digest", "first").mapInArrow(write, "path string, records bigint")
+    return records.select("page_id", "url", "html", "n", "digest", "first").mapInArrow(trimmed(write), "path string, records bigint")
 
 
 class _Plain:
@@ -174,7 +175,7 @@ def read_warc(spark: SparkSession, paths: list[str], keep: bool = False) -> Data
                     yield batch(rows)
 
     files = spark.createDataFrame([(p,) for p in paths], "path string")
-    return files.repartition(max(1, len(paths)), "path").mapInArrow(read, schema) if paths else spark.createDataFrame([], schema)
+    return files.repartition(max(1, len(paths)), "path").mapInArrow(trimmed(read), schema) if paths else spark.createDataFrame([], schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
