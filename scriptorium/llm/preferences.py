@@ -20,6 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import materialize
+
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 300_000
 #: The markup of a turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -76,7 +80,9 @@ def same_prompt(c: DataFrame) -> DataFrame:
     c = c.select("conv_id", "turns", F.sha2(F.to_json(F.slice("turns", 1, 1)), 256).alias("first"), written.alias("written"), F.sha2(F.to_json("turns"), 256).alias("whole"))
     best = F.min(F.struct((-F.col("written")).alias("w"), F.col("conv_id"), F.col("whole")))
     leaders = c.groupBy("first").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("first", F.col("best.conv_id").alias("chosen_id"), F.col("best.whole").alias("chosen_whole"))
-    pairs = c.join(leaders, "first").where(F.col("whole") != F.col("chosen_whole")).select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
+    leaders = materialize(leaders, "leaders")
+    few = leaders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond, the join shuffles and splits hot prompts
+    pairs = c.join(F.broadcast(leaders) if few else leaders, "first").where(F.col("whole") != F.col("chosen_whole")).select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
     return pairs.join(c.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")), "chosen_id").select("chosen_id", "rejected_id", "chosen", "rejected")
 
 
