@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -64,3 +65,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver's JVM happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
