@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.components import components
 from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices, splitmix, words
-from scriptorium.session import materialize, ship
+from scriptorium.session import materialize, settle, ship
 
 #: The threshold as a fraction, and the words of an n-gram.
 NUM, DEN = 3, 4
@@ -424,7 +424,9 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.xxhash64(F.lit("order"), F.pmod("token", F.lit(4)))
     size = _postings(docs, sketch).select("token", F.col("node").bitwiseXOR(order).alias("z")).groupBy("token").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     size = materialize(size.where("low <> high").select("token", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high")), "tokens")
+    settle(spark)  # the largest shuffle of all is done with
     shared = materialize(_postings(docs, sketch, bloom(size, "token")).join(size, "token"), "shared")
+    settle(spark)
 
     # 2. Leaders.
     pairs = shared.select(F.col("node").alias("x"), F.explode_outer(F.array("low", "high")).alias("y")).where("x <> y")
@@ -436,15 +438,19 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = shared.select("token", "node", "pos")
     members = members.withColumn("comp", F.col("node")) if comp is None else _with_comp(members, comp)
 
+    settle(spark)
+
     # 3. and 4. What still shares an n-gram but no component: blocks, and pairs.
     groups = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("block"), F.count("*").alias("k"))
     groups = groups.where("low <> high").select("token", "block", (F.col("k") >= BLOCK).alias("many"))
     members = materialize(members.join(groups, "token"), "members")
+    settle(spark)
     few = members.where("not many").select("token", "node", "pos", "comp").join(classes.drop("bits", "key"), "node")
     a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & bounded("a", "b", True))
     cross = cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
     cross = materialize(_bounded_pairs(cross, classes).select("x", "y"), "cross")
+    settle(spark)
     found = _verified(docs, classes, _stars(cross).unionByName(_blocks(members.where("many"))), comp, sketch)
     if not found.isEmpty():
         links = links.unionByName(found)
