@@ -4,8 +4,9 @@ Features are the distinct words of a whole text and their beginnings of PREFIXES
 compounded forms share (64-bit hashes, so unlike words do not collide). The loss is
 balanced logistic loss, an L1 term that leaves weight on few words, and a counterfactual term: for a labelled
 text with an identity term, the squared change of its logit when that term is swapped for the others of its
-group. The swap must not move the score, so the weights of a group are drawn together and towards that of its
-neutral member, whatever the labels of the texts that mention a group.
+group. A term counts with all its features, the word and its beginnings; a feature without a weight counts as 0.
+The swap must not move the score, so the logits of a group are drawn together and towards that of its neutral
+member, whatever the labels of the texts that mention a group.
 
 Fitting takes a bounded sample (`Limits`): at most so many labelled texts of each label, chosen by a hash of
 doc_id, and at most so many features. Everything else covers all rows: each text is scored whole, from a
@@ -139,8 +140,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, features: int, l1: float = 2e-3
         keep &= lift >= np.sort(lift[keep])[-features]
     at = np.cumsum(keep) - 1
     use = keep[column]
-    row, column, vocab = row[use], at[column[use]], vocab[keep]
-    swaps = counterfactuals(row, column, vocab, len(docs))
+    found, vocab = vocab, vocab[keep]
+    row, column = row[use], at[column[use]]
+    swaps = counterfactuals(found, df / len(docs), vocab)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = _descend(row, column, y, weight, swaps, len(vocab), l1, pair, steps)
     left = np.flatnonzero(w)
@@ -148,37 +150,76 @@ def train(docs: list[np.ndarray], y: np.ndarray, features: int, l1: float = 2e-3
         new = np.full(len(vocab), -1)
         new[left] = np.arange(len(left))
         on = new[column] >= 0
-        kept = [(new[a], new[c], n) for a, c, n in swaps if new[a] >= 0 and new[c] >= 0]
-        w, b = _descend(row[on], new[column[on]], y, weight, kept, len(left), 0.0, pair, 4 * steps, ridge=2e-5)
         vocab = vocab[left]
+        swaps = counterfactuals(found, df / len(docs), vocab)
+        w, b = _descend(row[on], new[column[on]], y, weight, swaps, len(left), 0.0, pair, 4 * steps, ridge=2e-5)
     return Model(vocab[: len(w)], w, float(b))
 
 
-def counterfactuals(row: np.ndarray, column: np.ndarray, vocab: np.ndarray, n: int) -> list[tuple[int, int, float]]:
-    """(feature in a text, feature swapped in, share of labelled texts) for the identity terms that the features hold."""
-    out = []
+@dataclass(frozen=True)
+class Swaps:
+    """Identity terms (numbered) and their features, and the swaps between the terms of a group."""
+
+    term: np.ndarray  # of each pair of a term and one of its features
+    feature: np.ndarray
+    source: np.ndarray  # of each swap: the term in a text, the term put in its place, the share of labelled texts
+    target: np.ndarray
+    share: np.ndarray
+    terms: int
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the sum of squared changes of the logit, weighted by share."""
+        z = np.bincount(self.term, w[self.feature], self.terms)
+        d = 2 * self.share * (z[self.source] - z[self.target])
+        z = np.bincount(self.source, d, self.terms) - np.bincount(self.target, d, self.terms)
+        return np.bincount(self.feature, z[self.term], len(w))
+
+    def curvature(self) -> float:
+        """A bound of the largest curvature of that sum."""
+        size = np.bincount(self.term, minlength=self.terms)
+        d = 2 * self.share * (size[self.source] + size[self.target])
+        z = np.bincount(self.source, d, self.terms) + np.bincount(self.target, d, self.terms)
+        return float(np.bincount(self.feature, z[self.term]).max(initial=0))
+
+
+def counterfactuals(found: np.ndarray, share: np.ndarray, vocab: np.ndarray) -> Swaps:
+    """Swaps of the identity terms in the labelled texts.
+
+    found, share: hashes of all features of those texts, ascending, and the share of texts that have each; vocab:
+    the hashes that have weights, ascending. What a term has outside vocab counts as weight 0.
+    """
+    term, feature, source, target, shares, terms = [], [], [], [], [], 0
     for group in IDENTITY:
-        known = []
-        for term in group:
-            h = np.uint64(word_hash(term))
-            k = int(np.searchsorted(vocab, h))
-            if k < len(vocab) and vocab[k] == h:
-                known.append((k, float((column == k).sum()) / n))
-        out += [(a, c, share) for a, share in known if share for c, _ in known if c != a]
-    return out
+        held = []
+        for word in group:
+            data = np.frombuffer(word.encode(), np.uint8)
+            hashes = np.unique(features(data, np.array([0, len(data)]))[0])
+            hashes = hashes[hashes != 0]
+            place = np.searchsorted(vocab, hashes)
+            known = place[np.isin(hashes, vocab)]
+            term += [terms] * len(known)
+            feature += known.tolist()
+            k = int(np.searchsorted(found, np.uint64(word_hash(word))))
+            held.append((terms, float(share[k]) if k < len(found) and found[k] == word_hash(word) else 0.0))
+            terms += 1
+        for a, part in held:
+            others = [c for c, _ in held if part and c != a]
+            source += [a] * len(others)
+            target += others
+            shares += [part] * len(others)
+    whole = lambda x: np.array(x, np.int64)
+    return Swaps(whole(term), whole(feature), whole(source), whole(target), np.array(shares, float), terms)
 
 
 def _descend(row, column, y, weight, swaps, size, l1, pair, steps, ridge=1e-5):
     n = len(y)
-    a, c, share = (np.array(x) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
     def gradient(w, b):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], n) + b, -40, 40)))
         e = weight * (p - y)
         g = np.bincount(column, e[row], size) + ridge * w
-        if len(a):
-            d = 2 * pair * share * (w[a] - w[c])
-            g += np.bincount(a, d, size) - np.bincount(c, d, size)
+        if pair and len(swaps.source):
+            g += pair * swaps.gradient(w)
         return g, e.sum()
 
     x, norm = np.full(size, 1.0), 1.0
@@ -186,7 +227,7 @@ def _descend(row, column, y, weight, swaps, size, l1, pair, steps, ridge=1e-5):
         z = np.bincount(column, (weight * np.bincount(row, x[column], n))[row], size)
         norm = float(np.linalg.norm(z)) / max(float(np.linalg.norm(x)), 1e-12)
         x = z / max(float(np.linalg.norm(z)), 1e-12)
-    rate = 1 / (0.25 * (norm + 1) + ridge + 4 * pair)
+    rate = 1 / (0.25 * (norm + 1) + ridge + pair * swaps.curvature())
     w, b, t = np.zeros(size), 0.0, 1.0
     v, vb = w, b
     for _ in range(steps):

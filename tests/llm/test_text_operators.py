@@ -7,6 +7,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,29 @@ def test_counterfactuals_draw_identity_terms_together():
 
     free, held = gap(0.0), gap(5.0)
     assert free[0] > 1 and abs(held[0]) < 0.3 * free[0] and held[1] > 1
+
+
+@pytest.mark.parametrize("partners", [("christian", "believer"), ("f1", "f2")])
+def test_swapped_terms_keep_the_score_by_default(partners):
+    """Words with their beginnings and the default pair and l1; with f1 and f2 no partner of the term is in the texts."""
+    rng = random.Random(4)
+    texts, y = [], []
+    for i in range(600):
+        words = rng.sample([f"f{k}" for k in range(60)], 8) + ["insult"] * (i % 2 and rng.random() < 0.6)
+        words.append(rng.choices(["muslim", *partners], [8, 1, 1] if i % 2 else [1, 4, 5])[0])
+        texts.append(" ".join(words))
+        y.append(float(i % 2))
+    arrow = lambda ts: pa.array(ts, pa.large_string())
+    docs = []
+    for _, _, data, offsets in toxicity.slices(arrow(texts)):
+        found, before = toxicity.features(data, offsets)
+        docs += [np.unique(found[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+
+    def logits(**kw):
+        p = toxicity.train(docs, np.array(y), 1000, **kw).score(arrow([f"{w} f7 f8" for w in ("muslim", "christian", "hindu", "insult")]))
+        return np.log(p / (1 - p))
+
+    free, held = logits(pair=0.0), logits()
+    for other in (1, 2):
+        assert free[0] - free[other] > 3 and abs(held[0] - held[other]) < 0.15 * (free[0] - free[other])
+    assert held[3] - held[1] > 3
