@@ -100,7 +100,7 @@ def skeleton(title: Column, objects: Column, image: Column) -> Column:
 
 def page_skeleton(page: Column, image: Column, sections: Column, stem: Column) -> Column:
     """LaTeX of a page: its first title as heading, else its number; a figure; later titles below."""
-    label = F.concat(F.lit("\\label{subsec:"), stem, F.lit("-pag"), F.lpad(page.cast("string"), 3, "0"), F.lit("}\n"))
+    label = F.concat(F.lit("\\label{subsec:"), stem, F.lit("-pag"), F.lpad(page.cast("string"), F.greatest(F.lit(3), F.length(page.cast("string"))), F.lit("0")), F.lit("}\n"))
     first = F.try_element_at(sections, F.lit(1))
     titled = F.coalesce(first.heading, F.lit("")) != ""
     head = F.when(titled, F.concat(F.lit("\n\\subsection{"), latex.escape(first.heading), F.lit("}"), label)).otherwise(F.concat(F.lit("\n\\subsection*{Pagina "), page.cast("string"), F.lit("}"), label))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.formulas import MATH, convert, to_latex
 from scriptorium.operators import context, jobs, merge, render, sequence
+from scriptorium.plans import state
 from scriptorium.plans.normalize import normalize
 from scriptorium.sources import connectors, files
 
@@ -181,3 +182,11 @@ def test_answers_fall_back(spark):
     got = {r["k"]: (r["answer"], r["error"]) for r in connectors.answers(d, "prompt", "skeleton", call).collect()}
     assert got == {1: (r"\section{p1}", None), 2: ("skeleton", "no answer")}
     assert [r["answer"] for r in connectors.answers(d, "prompt", "skeleton").collect()] == ["skeleton"] * 2
+
+
+def test_every_page_has_a_label_of_its_own(spark):
+    """All pages of a table with numbers of four digits, which stay whole."""
+    got = {r["page_id"]: r["tex"] for r in state.page_skeleton(spark, "/root/testdata/sf0.1").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id").collect()
+    assert set(got) == {r["page_id"] for r in pages} and max(got) > 999
+    assert all(f"-pag{k:03d}}}\n" in tex for k, tex in got.items())
