@@ -22,10 +22,11 @@ def reload(jobs: DataFrame, status: str = "status", drop: tuple[str, ...] = ("st
 
 
 def evict(jobs: DataFrame, status: str, created: list[str], cap: int = CAP) -> DataFrame:
-    """At most `cap` jobs: the oldest finished ones go, active ones never. Ranks only the finished; the count is an aggregate."""
-    over = jobs.agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("_over"))
-    gone = jobs.where(F.col(status).isin(*FINISHED)).orderBy(*created).limit(int(over.first()["_over"]))
-    return jobs.join(gone.select(*created), created, "left_anti")
+    """At most `cap` jobs: the oldest finished ones go, active ones never. The active ones leave room for `cap` finished
+    ones at most, so the newest of these are taken, however many jobs there are; a null time counts as oldest."""
+    finished = F.coalesce(F.col(status).isin(*FINISHED), F.lit(False))
+    room = max(0, cap - jobs.where(~finished).count())
+    return jobs.where(~finished).unionByName(jobs.where(finished).orderBy(*[F.col(c).desc() for c in created]).limit(room))
 
 
 def expired(status: Column, modified: Column, now: Column, days: Column) -> Column:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,19 @@ def test_every_page_has_a_label_of_its_own(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id").collect()
     assert set(got) == {r["page_id"] for r in pages} and max(got) > 999
     assert all(f"-pag{k:03d}}}\n" in tex for k, tex in got.items())
+
+
+def test_eviction_over_all_jobs(spark):
+    """Against sorting in Python: all events, jobs of equal and of null time; no step takes more rows than the cap."""
+    e = state._jobs(spark, "/root/testdata/sf0.01").select("event_id", "ts", "status")
+    rows = [tuple(r) for r in e.collect()]
+    active = {i for i, _, s in rows if s not in jobs.FINISHED}
+    old = sorted((t, i) for i, t, s in rows if s in jobs.FINISHED)
+    for cap in (200, len(active) + 77):
+        got = [r["event_id"] for r in jobs.evict(e, "status", ["ts", "event_id"], cap).collect()]
+        assert sorted(got) == sorted(active | {i for _, i in old[len(rows) - cap :]}) and len(rows) > 1000
+    d = spark.createDataFrame([(None if i < 3 else i // 2, "done" if i < 290 else "running") for i in range(300)], "created int, status string")
+    left = jobs.evict(d, "status", ["created"])
+    assert left.count() == 200 and left.where("created is null").count() == 0
+    taken = re.findall(r"TakeOrderedAndProject\(limit=(\d+)|(?:Collect|Local|Global)Limit (\d+)", jobs.evict(e, "status", ["ts", "event_id"], len(active) + 77)._jdf.queryExecution().executedPlan().toString())
+    assert taken and all(int(a or b) <= 77 for a, b in taken)
