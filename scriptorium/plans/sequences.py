@@ -130,7 +130,7 @@ with r as (select source, doc_id, row_number() over (partition by source order b
 select source, cast((p - 1) // 7 as integer) as chunk, min(p) as first, max(p) as last, count(*) as n, string_agg('[PAG ' || p || ']' || chr(10) || t, chr(10) || chr(10) order by p) as text, 'pag. ' || min(p) || '–' || max(p) as title
 from r where n > 20 group by source, (p - 1) // 7""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("p"), F.substring("text", 1, 50).alias("t"))
+    d = table(spark, sf_dir, "documents").select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("p"), F.col("text").alias("t"))
     return sequence.chunk_texts(sequence.chunk_pages(d, "source", "p").where("chunk is not null"), "source", "p", "t")
 
 

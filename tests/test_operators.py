@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.formulas import MATH, convert, to_latex
 from scriptorium.operators import context, jobs, merge, render, sequence
-from scriptorium.plans import state
+from scriptorium.plans import sequences, state
 from scriptorium.plans.normalize import normalize
 from scriptorium.sources import connectors, files
 
@@ -208,3 +208,16 @@ def test_eviction_over_all_jobs(spark):
     assert left.count() == 200 and left.where("created is null").count() == 0
     taken = re.findall(r"TakeOrderedAndProject\(limit=(\d+)|(?:Collect|Local|Global)Limit (\d+)", jobs.evict(e, "status", ["ts", "event_id"], len(active) + 77)._jdf.queryExecution().executedPlan().toString())
     assert taken and all(int(a or b) <= 77 for a, b in taken)
+
+
+def test_chunks_hold_whole_texts(spark):
+    """All documents of a table by brute force."""
+    sf, by, want = "/root/testdata/sf0.01", {}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "text").collect():
+        by.setdefault(r["source"], []).append((r["doc_id"], r["text"]))
+    for source, docs in by.items():
+        pages = list(enumerate(sorted(docs), 1)) if len(docs) > 20 else []
+        for k in range(0, len(pages), 7):
+            want[source, k // 7] = "\n\n".join(f"[PAG {p}]\n{t}" for p, (_, t) in pages[k : k + 7])
+    got = {(r["source"], r["chunk"]): r["text"] for r in sequences.chunk_pages(spark, sf).collect()}
+    assert got == want and max(map(len, got.values())) > 10_000
