@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from pyarrow import fs
 
 
@@ -44,6 +46,12 @@ def read_whole(uri: str) -> bytes:
         return s.read()
 
 
+def streamed(uri: str, block: int = 1 << 20) -> io.BufferedReader:
+    """A file as a buffered stream."""
+    store, path = opened(uri)
+    return io.BufferedReader(store.open_input_stream(path, compression=None), block)
+
+
 def attempt_name() -> str:
     from pyspark import TaskContext
 

@@ -36,16 +36,15 @@ ROUNDS = 6
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of whole texts; the first piece of a long document is the one that may be shorter."""
-    tail = int(end_id).to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        tail = enc.end(end_id)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for k in range(0, len(ids), 256):
                 rows = []
                 for doc_id, coded in zip(ids[k : k + 256], enc.encode(texts.slice(k, 256).to_pylist()), strict=True):
-                    data = coded + tail
+                    data = np.frombuffer(coded + tail, f"<u{enc.width}").astype("<u4").tobytes()
                     n, at, no = len(data) // 4, 0, 0
                     size = n % capacity or capacity
                     while at < n:

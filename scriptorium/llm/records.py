@@ -9,9 +9,13 @@ and a payload is doc_id (signed 64-bit), width (unsigned 32-bit: 2 or 4 bytes an
 numbers are little-endian. `<shard>.idx` has an (offset, doc_id) pair of signed 64-bit numbers for each
 record, for shuffled reads (`read_at`) without a scan of the shard.
 
+Texts are exchanged, not ids: ids of 16 bits take about as much room in a shuffle as compressed text does. Shards
+are read as streams, a group of records at a time, so neither writing nor reading holds more than some records.
+
 Defined results: a null text is empty and gives the end id alone; a null doc_id is written as the smallest
-64-bit number and comes back null, first; repeated doc_ids are kept, ordered by text; an empty table gives no
-shard; columns other than doc_id and text are not read.
+64-bit number and comes back null, first; repeated doc_ids are kept, ordered by text; a very long text is one
+record, held whole as Spark itself holds its row; an empty table gives no shard; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from io import BufferedReader
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.crc32c import crc32c, crc32c_one, masked
-from scriptorium.llm.files import Committed, attempt_name, opened, read_whole
+from scriptorium.llm.files import Committed, attempt_name, opened, read_whole, streamed
 from scriptorium.llm.memory import trimmed
 from scriptorium.llm.tokens import encoder
 from scriptorium.session import new_dir, ship
@@ -50,12 +55,13 @@ def frame(payloads: list[bytes]) -> list[bytes]:
     return [b"".join((head(len(p)), p, struct.pack("<I", y))) for p, y in zip(payloads, sums, strict=True)]
 
 
-def payload(doc_id: int | None, ids: bytes) -> bytes:
-    """ids: little-endian 32-bit; stored in 16 bits where all fit."""
-    wide = np.frombuffer(ids, "<u4")
-    small = wide.size == 0 or int(wide.max()) < 1 << 16
-    head = struct.pack("<qI", NO_ID if doc_id is None else doc_id, 2 if small else 4)
-    return head + (wide.astype("<u2").tobytes() if small else ids)
+def payload(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """ids: little-endian, `width` bytes each; stored in 16 bits where all fit."""
+    if width == 4:
+        wide = np.frombuffer(ids, "<u4")
+        if wide.size == 0 or int(wide.max()) < 1 << 16:
+            ids, width = wide.astype("<u2").tobytes(), 2
+    return struct.pack("<qI", NO_ID if doc_id is None else doc_id, width) + ids
 
 
 def unpack(data: bytes) -> tuple[int | None, bytes]:
@@ -64,25 +70,34 @@ def unpack(data: bytes) -> tuple[int | None, bytes]:
     return None if doc_id == NO_ID else doc_id, ids
 
 
-def unframe(data: bytes) -> Iterator[bytes]:
-    """Payloads of a shard; raises ValueError where a checksum or a length is wrong."""
-    payloads, sums, at = [], [], 0
-    while at < len(data):
-        if at + HEAD.size > len(data):
-            raise ValueError(f"record cut short at {at}")
-        n = HEAD.unpack_from(data, at)[0]
-        if data[at : at + HEAD.size] != head(n):
-            raise ValueError("checksum differs")
-        if at + HEAD.size + n + 4 > len(data):
-            raise ValueError(f"record cut short at {at}")
-        payloads.append(data[at + 12 : at + 12 + n])
-        sums.append(struct.unpack_from("<I", data, at + 12 + n)[0])
-        at += 16 + n
-        if len(payloads) == 256 or at >= len(data):
+#: Records, and bytes of them, whose checksums are told at once.
+GROUP, GROUP_BYTES = 256, 4 << 20
+
+
+def unframe(shard: BufferedReader) -> Iterator[bytes]:
+    """Payloads of a shard, from a stream; raises ValueError where a checksum or a length is wrong."""
+    payloads, sums, held, at = [], [], 0, 0
+    while True:
+        start = shard.read(HEAD.size)
+        if start:
+            n = HEAD.unpack(start)[0] if len(start) == HEAD.size else 0
+            if len(start) < HEAD.size:
+                raise ValueError(f"record cut short at {at}")
+            if start != head(n):
+                raise ValueError("checksum differs")
+            data, end = shard.read(n), shard.read(4)
+            if len(data) < n or len(end) < 4:
+                raise ValueError(f"record cut short at {at}")
+            payloads.append(data)
+            sums.append(struct.unpack("<I", end)[0])
+            held, at = held + n, at + 16 + n
+        if payloads and (not start or len(payloads) == GROUP or held >= GROUP_BYTES):
             if masked(crc32c(payloads)).tolist() != sums:
                 raise ValueError("checksum differs")
             yield from payloads
-            payloads, sums = [], []
+            payloads, sums, held = [], [], 0
+        if not start:
+            return
 
 
 def read_at(path: str, offset: int) -> tuple[int | None, bytes]:
@@ -116,7 +131,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
 
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         path, index, tokens, first = f"{folder}/shard-{shard:06d}.rec", [], 0, None
-        tail = struct.pack("<I", end_id)
+        tail = enc.end(end_id)
         out = None
         try:
             for batch in batches:
@@ -125,10 +140,10 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
                     if out is None:
                         out, first = Committed(path, attempt_name()), ids[k]
                     coded = [x + tail for x in enc.encode(texts.slice(k, 256).to_pylist())]
-                    for doc_id, rec in zip(ids[k : k + 256], frame([payload(i, x) for i, x in zip(ids[k : k + 256], coded, strict=True)]), strict=True):
+                    for doc_id, rec in zip(ids[k : k + 256], frame([payload(i, x, enc.width) for i, x in zip(ids[k : k + 256], coded, strict=True)]), strict=True):
                         index.append((out.size, NO_ID if doc_id is None else doc_id))
                         out.write(rec)
-                    tokens += sum(map(len, coded)) // 4
+                    tokens += sum(map(len, coded)) // enc.width
         except BaseException as e:
             if out is not None:
                 out.__exit__(type(e), e, None)
@@ -154,16 +169,24 @@ def read_records(spark: SparkSession, manifest: list) -> DataFrame:
         rows.append((r["shard"], r["path"], before))
         before += r["tokens"]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (*[pa.int64()] * 4, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                for data in unframe(read_whole(path)):
-                    doc_id, ids = unpack(data)
-                    for k, v in zip(got, (doc_id, start, len(ids) // 4, zlib.crc32(ids)), strict=True):
-                        got[k].append(v)
-                    start += len(ids) // 4
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in got.items()} | {"shard": pa.array([shard] * len(got["start"]), pa.int32())})
+                with streamed(path) as stream:
+                    rows = []
+                    for data in unframe(stream):
+                        doc_id, ids = unpack(data)
+                        rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), shard))
+                        start += len(ids) // 4
+                        if len(rows) == 10_000:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
 
     files = spark.createDataFrame(rows, "shard int, path string, start bigint")
     return files.repartition(max(1, len(rows)), "shard").mapInArrow(trimmed(read), schema) if rows else spark.createDataFrame([], schema)

@@ -1,5 +1,8 @@
 """Records, Ogg and WARC: exact round trips and damage."""
 
+import functools
+import io
+import random
 import zlib
 
 import numpy as np
@@ -19,12 +22,15 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "clash", 7) for i, t in TEXTS], SCHEMA)
 
 
-def plain_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
+def plain_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_crc_of_known_bytes():
@@ -35,10 +41,28 @@ def test_crc_of_known_bytes():
     assert int(masked(np.array([0], np.uint32))[0]) == 0xA282EAD8
 
 
-def test_memo_gives_the_library_ids():
-    e = tokens.encoder(tokens.default_tokenizer())
-    texts = [t for _, t in TEXTS] + ["<|endoftext|>", "a\x1cb", "don't  ", "\r\n x", "…—“”", "12ab_C--"]
-    assert e.encode(texts) == [np.array(plain_ids(t), "<u4").tobytes() for t in texts]
+def test_memo_gives_the_library_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)  # many generations
+    e = tokens.Encoder(tokens.default_tokenizer())
+    texts = [t for _, t in TEXTS] + ["<|endoftext|>", "a <|endoftext|> b", "a\x1cb", "don't  ", "\r\n x", "…—“”", "12ab_C--"]
+    rng = random.Random(1)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "a", "Ab", "é", "ß", "ж", "中", "12", "½", "'s", "'", "’", "…", "!", "<|endoftext|>", "\r\n", " \n ", "\x85", "ﬁ", "İ"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]
+    assert e.width == 2
+    for k in range(0, len(texts), 100):
+        assert e.encode(texts[k : k + 100]) == [np.array(plain_ids(t), "<u2").tobytes() for t in texts[k : k + 100]]
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = tokens.Encoder(path)
+    texts = ["Some  Words, and ünicode!", "", "a\n b"]
+    assert not e.cut
+    assert [np.frombuffer(x, f"<u{e.width}").tolist() for x in e.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert not tokens.cuttable({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}, "model": {"type": "BPE"}})
 
 
 def test_records_round_trip(spark, docs):
@@ -56,12 +80,13 @@ def test_records_round_trip(spark, docs):
     for offset, doc_id in index[::-1].tolist():  # any order
         assert (records.read_at(path, offset)[0] or records.NO_ID) == doc_id
     data = records.read_whole(path)
-    assert len(list(records.unframe(data))) == len(index)
+    unframe = lambda b: list(records.unframe(io.BytesIO(b)))
+    assert len(unframe(data)) == len(index)
     for k in (3, 9, 20, len(data) - 1):
         with pytest.raises(ValueError):
-            list(records.unframe(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :]))
+            unframe(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])
     with pytest.raises(ValueError):
-        list(records.unframe(data[:-1]))
+        unframe(data[:-1])
 
 
 def test_records_of_nothing(spark, docs):
