@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch where the session does not say: texts are long, and a worker holds a batch at a time.
-BATCH_ROWS = 1000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: With this Spark deletes the shuffle files of a finished write, instead of when the driver's JVM collects its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.getAll.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, once per application (needed where executors lack the repository)."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -43,10 +60,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the master is local."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scriptorium-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -63,11 +82,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def settle(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver's JVM happens to collect."""
-    gc.collect()
     spark.sparkContext._jvm.System.gc()
