@@ -28,16 +28,22 @@ least as many elements as their bitmaps do in bits. A bitmap folds to fewer bits
 first, and only pairs that are left meet with all.
 
 Defined results: a null text or a text without words has no set, n_shingles 0, and is its own component; fewer
-words than n make one n-gram of the whole sequence; repeated rows are copies; components are named by their
-least doc_id (rows with null doc_id: null, unless linked to others); an empty table gives no rows; only doc_id
-and text are read by `jaccard_components`, and all columns pass through `keep_one`. Sets are compared by
-40-bit hashes beside their frequency level (in joins: 56-bit) and classes by 64-bit hashes; a chance collision could add a link, at odds far below one in a million
-for a billion classes compared pairwise by their prefixes.
+words than n make one n-gram of the whole sequence; repeated rows are copies, and rows that repeat a doc_id with
+other texts are documents of their own; components are named by their least doc_id (rows with null doc_id: null,
+unless linked to others); a very long text has a set like any other; an empty table gives no rows; only doc_id
+and text are read by `jaccard_components`, and all columns pass through `keep_one`.
+
+Hashes: a class is named by 64 bits and held against 64 others; where two unlike sets share a name, which of a
+billion classes is likely to happen once in some forty runs, all are named anew. Overlaps are counted by 40-bit
+hashes beside their frequency level (56 bits where prefixes are joined), so a chance collision can raise the
+overlap of a pair of sets of 200 n-grams by one in about one of 25 million pairs; that matters only to a pair
+that lacks exactly one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +54,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.components import components
 from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices, splitmix, words
-from scriptorium.session import materialize, settle, ship
+from scriptorium.session import discard, materialize, ship
 
 #: The threshold as a fraction, and the words of an n-gram.
 NUM, DEN = 3, 4
@@ -63,6 +69,8 @@ LEADERS = 2
 BUCKET = 256
 #: Classes of an n-gram that are held against each other as a block.
 BLOCK = 256
+#: How often classes may be named anew.
+SALTS = 8
 WANTED = ("block", "bucket", "side", "node", "comp")
 GAP = np.zeros(256, bool)
 GAP[[32, *range(9, 14)]] = True
@@ -93,8 +101,9 @@ def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def digest(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """A set's name and what it is held against."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16, salt=bytes([salt])).digest())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -128,10 +137,10 @@ def _prefix(n: int) -> int:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-NODES = "doc_id bigint, key bigint, node bigint, n int, chunk int, counts binary, bits binary, " + ", ".join(f"s{k} bigint" for k in range(SIG_WORDS))
+NODES = "doc_id bigint, key binary, node bigint, other bigint, n int, chunk int, counts binary, bits binary, " + ", ".join(f"s{k} bigint" for k in range(SIG_WORDS))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
+def _nodes(docs: DataFrame, salt: int) -> DataFrame:
     """A row for each document (node: digest of its set, null where empty), and rows of the sketch (chunk, counts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +151,21 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 if len(s):
                     cells.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                     bits = bitmap(s)
-                    rows.append((doc_id, key, digest(s), len(s), None, None, bits, *folded(np.frombuffer(bits, "<i8"), SIG_WORDS).tolist()))
+                    rows.append((doc_id, key, *digest(s, salt), len(s), None, None, bits, *folded(np.frombuffer(bits, "<i8"), SIG_WORDS).tolist()))
                 else:
-                    rows.append((doc_id, key, None, 0, None, None, None, *([0] * SIG_WORDS)))
+                    rows.append((doc_id, key, None, None, 0, None, None, None, *([0] * SIG_WORDS)))
             if cells:
                 counts += np.bincount(np.concatenate(cells), minlength=1 << SKETCH_BITS)
             yield _batch(rows)
         filled = np.minimum(counts, (1 << 32) - 1).astype("<u4")
         if filled.any():
-            yield _batch([(None, None, None, None, k, filled[k * CHUNK : (k + 1) * CHUNK].tobytes(), None, *([None] * SIG_WORDS)) for k in range((1 << SKETCH_BITS) // CHUNK)])
+            yield _batch([(None, None, None, None, None, k, filled[k * CHUNK : (k + 1) * CHUNK].tobytes(), None, *([None] * SIG_WORDS)) for k in range((1 << SKETCH_BITS) // CHUNK)])
 
     return docs.select("doc_id", "key", "text").mapInArrow(trimmed(work), NODES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *([pa.int64()] * SIG_WORDS)]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *([pa.int64()] * SIG_WORDS)]
     names = [x.split()[0] for x in NODES.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -217,7 +226,7 @@ def _passes(have: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _postings(docs: DataFrame, sketch, only=None) -> DataFrame:
+def _postings(docs: DataFrame, sketch, salt: int, only=None) -> DataFrame:
     """token, node, n, pos of every prefix; with a Bloom filter only the tokens that it lets through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +236,7 @@ def _postings(docs: DataFrame, sketch, only=None) -> DataFrame:
             tokens, nodes, sizes = [], [], []
             for s in shingle_sets(batch.column(0)):
                 if len(s):
-                    d = digest(s)
+                    d = digest(s, salt)[0]
                     if d in seen:  # copies met in this task give equal postings
                         continue
                     if len(seen) > 200_000:
@@ -266,15 +275,21 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def _shipped(rows: DataFrame, sketch) -> DataFrame:
-    """rows of text and wanted (array of WANTED structs): a row of the text's set for each."""
+    """rows of key, text and wanted (array of WANTED structs): a row of the text's set for each. Copies met in one task ship once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
                 rows, blobs = [], []
-                for s, wanted in zip(shingle_sets(part.column(0)), part.column(1).to_pylist(), strict=True):
+                for s, key, wanted in zip(shingle_sets(part.column(0)), part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if key in seen:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
                     blob = packed(coded(s, levels))
                     for w in wanted:
                         rows.append(tuple(w[c] for c in WANTED))
@@ -285,7 +300,7 @@ def _shipped(rows: DataFrame, sketch) -> DataFrame:
                 if rows:
                     yield _set_rows(rows, blobs)
 
-    return rows.select("text", "wanted").mapInArrow(trimmed(work), "block bigint, bucket int, side int, node bigint, comp bigint, codes binary")
+    return rows.select("text", "wanted", "key").mapInArrow(trimmed(work), "block bigint, bucket int, side int, node bigint, comp bigint, codes binary")
 
 
 def _set_rows(rows: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
@@ -378,7 +393,7 @@ def _similar(rows: DataFrame) -> DataFrame:
     """Links (u, v) of shipped rows that join components; within a block and bucket the probes (side 0) come before the sets of the trie."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, probes, joined = None, [], Joined()
+        place, probes, joined, last = None, [], Joined(), None
         for batch in batches:
             block, bucket, side, node, comp = (batch.column(k).to_pylist() for k in range(5))
             codes = batch.column(5)
@@ -388,7 +403,9 @@ def _similar(rows: DataFrame) -> DataFrame:
                 if here != place:
                     place, probes, joined = here, [], Joined()
                 if side[k] == 0:
-                    probes.append((node[k], comp[k], unpacked(codes[k].as_buffer())[::-1]))
+                    if last != (*here, node[k]):  # a set that was shipped from two tasks counts once
+                        last = (*here, node[k])
+                        probes.append((node[k], comp[k], unpacked(codes[k].as_buffer())[::-1]))
                     k += 1
                     continue
                 trie, end = Trie(np.zeros(0, np.uint64), 1 << 31), k
@@ -410,23 +427,31 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, node, n) of all documents, and comp of the nodes that are linked."""
     spark = docs.sparkSession
     ship(spark)
-    # key names a document in joins, so that one of each class is read again; rows that share a key are only read twice.
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null"), "text")).alias("key"), "text")
-    rows = materialize(_nodes(docs), "nodes")
-    sketch = spark.sparkContext.broadcast(_sketch(rows))
-    nodes = rows.where(F.col("chunk").isNull())
+    # A document's text is read again by its doc_id and the key of its text.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
     sigs = [f"s{k}" for k in range(SIG_WORDS)]
-    classes = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), *[F.first(s).alias(s) for s in sigs])
-    classes = materialize(classes, "classes")
+    for salt in range(SALTS):
+        rows = materialize(_nodes(docs, salt), "nodes")
+        nodes = rows.where(F.col("chunk").isNull())
+        classes = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(
+            F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), *[F.first(s).alias(s) for s in sigs],
+            F.min("other").alias("low"), F.max("other").alias("high"))
+        written = materialize(classes, "classes")
+        if written.where("low <> high").isEmpty():
+            break
+        discard(rows, written)
+    else:
+        raise RuntimeError("unlike sets share names under every salt")
+    classes = written.drop("low", "high")
+    sketch = spark.sparkContext.broadcast(_sketch(rows))
 
     # 1. N-grams in the prefixes of two classes or more, and two leaders of each: the least and the greatest class
     # under one of four orders, so that the n-grams of one large group do not all name the same leaders.
     order = F.xxhash64(F.lit("order"), F.pmod("token", F.lit(4)))
-    size = _postings(docs, sketch).select("token", F.col("node").bitwiseXOR(order).alias("z")).groupBy("token").agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    size = _postings(docs, sketch, salt).select("token", F.col("node").bitwiseXOR(order).alias("z")).groupBy("token").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     size = materialize(size.where("low <> high").select("token", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high")), "tokens")
-    settle(spark)  # the largest shuffle of all is done with
-    shared = materialize(_postings(docs, sketch, bloom(size, "token")).join(size, "token"), "shared")
-    settle(spark)
+    shared = materialize(_postings(docs, sketch, salt, bloom(size, "token")).join(size, "token"), "shared")
+    discard(size)
 
     # 2. Leaders.
     pairs = shared.select(F.col("node").alias("x"), F.explode_outer(F.array("low", "high")).alias("y")).where("x <> y")
@@ -438,24 +463,21 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = shared.select("token", "node", "pos")
     members = members.withColumn("comp", F.col("node")) if comp is None else _with_comp(members, comp)
 
-    settle(spark)
-
     # 3. and 4. What still shares an n-gram but no component: blocks, and pairs.
     groups = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("block"), F.count("*").alias("k"))
     groups = groups.where("low <> high").select("token", "block", (F.col("k") >= BLOCK).alias("many"))
     members = materialize(members.join(groups, "token"), "members")
-    settle(spark)
-    few = members.where("not many").select("token", "node", "pos", "comp").join(classes.drop("bits", "key"), "node")
+    discard(shared)
+    few = members.where("not many").select("token", "node", "pos", "comp").join(classes.drop("bits", "at"), "node")
     a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & bounded("a", "b", True))
     cross = cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
     cross = materialize(_bounded_pairs(cross, classes).select("x", "y"), "cross")
-    settle(spark)
     found = _verified(docs, classes, _stars(cross).unionByName(_blocks(members.where("many"))), comp, sketch)
     if not found.isEmpty():
-        links = links.unionByName(found)
-        comp = components(links)
-    return nodes.select("doc_id", "node", "n"), comp
+        comp = components(links.unionByName(found))
+    discard(pairs, cross, members, written)
+    return nodes.select("doc_id", "key", "node", "n"), comp
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -464,7 +486,7 @@ def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """x, y, d of the pairs (x, y) that the length and bitmap bounds leave; d: places of the bitmaps that differ."""
-    a, b = classes.drop("bits", "key").alias("a"), classes.drop("bits", "key").alias("b")
+    a, b = classes.drop("bits", "at").alias("a"), classes.drop("bits", "at").alias("b")
     both = pairs.join(a, F.col("a.node") == pairs["x"]).join(b, F.col("b.node") == F.col("y")).where(bounded("a", "b", False))
     both = both.select("x", "y", F.col("a.n").alias("n"), F.col("b.n").alias("m"))  # whole bitmaps meet only what is left
     both = both.join(classes.select(F.col("node").alias("x"), F.col("bits").alias("bx")), "x").join(classes.select(F.col("node").alias("y"), F.col("bits").alias("by")), "y")
@@ -519,22 +541,27 @@ def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFr
     the documents if a count has shown it small, else texts and lists are shuffled.
     """
     rows = rows.withColumn("comp", F.col("node")) if comp is None else _with_comp(rows, comp)
-    wanted = rows.join(classes.select("node", "key"), "node").groupBy("key").agg(F.collect_list(F.struct(*WANTED)).alias("wanted"))
-    wanted = materialize(wanted, "wanted")
+    wanted = rows.join(classes.select("node", "at"), "node").groupBy("at").agg(F.collect_list(F.struct(*WANTED)).alias("wanted"))
+    wanted = materialize(wanted.select(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"), "wanted"), "wanted")
     few = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
-    sets = _shipped(docs.select("key", "text").join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, "key"), sketch)
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    sets = _shipped(docs.join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, here), sketch)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = sets.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket", "side")
-    return materialize(_similar(ordered), "links")
+    ordered = sets.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket", "side", "node")
+    links = materialize(_similar(ordered), "links")
+    discard(wanted)
+    return links
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, comp of every document (comp: null without a set)."""
+    nodes, comp = _labels(docs)
+    return nodes.withColumn("comp", F.col("node")) if comp is None else _with_comp(nodes, comp)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    nodes, comp = _labels(docs)
-    if comp is None:
-        named = nodes.withColumn("comp", F.col("node"))
-    else:
-        named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = _named(docs)
     # Written first: a join with an aggregate in its plan cannot split a component that holds many documents.
     least = materialize(named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = named.join(least, "comp", "left")
@@ -542,11 +569,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked to one of smaller doc_id; of rows that repeat a doc_id and text one stays, and rows with null doc_id stay."""
-    found = materialize(jaccard_components(docs), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    left = rows.join(F.broadcast(gone) if few else gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    return left if again.isEmpty() else left.where(F.col("doc_id").isNull()).unionByName(left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
+    """One document of each component, all columns: that of least doc_id (null ids last; ties: least digest of the text).
+
+    Of rows that repeat the doc_id and the text of such a document one stays. Rows without words are linked with
+    nothing and all stay.
+    """
+    found = materialize(_named(docs).where(F.col("comp").isNotNull()).select("comp", "doc_id", "key"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = materialize(found.groupBy("comp").agg(F.min(place).alias("first")), "firsts")
+    rest = found.join(first, "comp").where(~((F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))))
+    gone = materialize(rest.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    again = materialize(found.groupBy("doc_id", "key").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "repeated")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    small = lambda t: F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t
+    left = row.join(small(gone), here, "left_anti")
+    if not again.isEmpty():
+        left = left.join(small(again), here, "left_anti").unionByName(left.join(small(again), here, "left_semi").dropDuplicates(["doc_id", "key"]))
+    return left.select("row.*")

@@ -64,10 +64,48 @@ def test_join_against_brute_force(spark, monkeypatch, block):
 
 
 def test_join_edges(spark):
-    d = spark.createDataFrame([(7, "one two three four five six"), (7, "one two three four five six"), (None, "one two three four five six"), (3, "x")], "doc_id long, text string")
+    six = "one two three four five six"
+    d = spark.createDataFrame([(7, six), (7, six), (None, six), (3, "x")], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()), key=str) == [(3, 3), (7, 7), (7, 7), (None, 7)]
-    assert sorted((r["doc_id"] for r in ngram_join.keep_one(d).collect()), key=str) == [3, 7, None]
+    assert sorted((r["doc_id"] for r in ngram_join.keep_one(d).collect()), key=str) == [3, 7]
     assert ngram_join.jaccard_components(d.limit(0)).count() == 0
+    assert ngram_join.keep_one(d.limit(0)).count() == 0
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "z")
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, near), (None, b + " tail"), (None, "only here and nowhere else"), (None, "only here and nowhere else"), (5, None), (5, None), (6, "")]
+    d = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, row string, key int")
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (7, b), (None, "only here and nowhere else"), (5, None), (5, None), (6, "")], key=str)
+
+
+def test_rows_that_repeat_an_id_with_other_texts_ship_their_own_sets(spark):
+    rows = [(1, t) for _, t in near_copies(3, [(60, 12), (80, 12), (40, 1)])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    assert ngram_join.keep_one(d).count() == len({c for _, _, c in want}) < len(rows)
+
+
+def test_classes_that_share_a_name_are_named_anew(spark, monkeypatch):
+    real = ngram_join.digest
+    monkeypatch.setattr(ngram_join, "digest", lambda s, salt=0: (7, real(s)[1]) if salt == 0 else real(s, salt))
+    rows = near_copies(11, [(30, 4), (50, 3), (9, 2)])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(d).collect()) == brute_components(rows)
+
+
+def test_join_of_very_long_texts(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    other = list(base)
+    for k in range(0, len(other), 200):
+        other[k] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:20_000])), (4, "x" * 300_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(d).collect()) == brute_components(rows)
 
 
 def test_trie_finds_what_comparing_finds():
@@ -165,14 +203,67 @@ def test_secrets(spark):
     assert secrets.scan(d.limit(0)).count() == 0
 
 
-def test_battery_tells_random_from_regular(spark):
-    rng = random.Random(9)
-    alphabet = string.ascii_letters + string.digits + "+/"
-    rows = [("".join(rng.choice(alphabet) for _ in range(60)), True) for _ in range(200)] + [("Ab1" * 20, False), ("abcdefghijklmnopqrstuvwxyz0123456789", False), ("A" * 40 + "b1", False)]
-    d = spark.createDataFrame(rows, "v string, random boolean").select("random", secrets.battery(F.col("v")).alias("t"))
-    got = d.select("random", "t.p").collect()
-    assert sum(r["p"] > 0.05 for r in got if r["random"]) > 170
-    assert all(r["p"] < 0.02 for r in got if not r["random"])
+def random_runs(seed, many, lengths=(20, 31, 64, 200), kinds=tuple(secrets.ALPHABET)):
+    rng = random.Random(seed)
+    return [(enc, n, "".join(rng.choices(secrets.ALPHABET[enc], k=n))) for enc in kinds for n in lengths for _ in range(many)]
+
+
+def test_battery_is_calibrated_and_tells_random_from_regular(spark):
+    """Random runs of each encoding and band of length get small p-values no more often than they should."""
+    many = 1500
+    d = spark.createDataFrame(random_runs(9, many), "enc string, n int, v string").repartition(4)
+    got = d.select("enc", "n", secrets.battery(F.col("v")).alias("t")).where("t.enc = enc").groupBy("enc", "n").agg(*[F.avg((F.col("t.p") <= a).cast("int")).alias(f"a{k}") for k, a in enumerate((0.05, 0.01, 0.001))]).collect()
+    for r in got:
+        for k, a in enumerate((0.05, 0.01, 0.001)):
+            assert r[f"a{k}"] <= a + 4 * (a / many) ** 0.5, r
+        assert r["a0"] > 0.01
+    regular = ["Ab1" * 20, "abcdefghijklmnopqrstuvwxyz0123456789", "A" * 40 + "b1", "01" * 15, "a1" * 10]
+    p = spark.createDataFrame([(v,) for v in regular], "v string").select(secrets.battery(F.col("v")).alias("t")).select("t.p").collect()
+    assert all(r["p"] < 1e-6 for r in p)
+
+
+def test_normal_tail():
+    import math
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    z = [0.0, 0.3, 1.0, 2.5, 5.0, 9.0, 20.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets.log_tail(F.col("z"))).collect()]
+    assert all(abs(g - math.log(math.erfc(x / 2**0.5) / 2)) < 1e-6 for g, x in zip(got, z, strict=True))
+
+
+def benjamini_hochberg(p, q):
+    """The largest rejected p-value."""
+    return max((x for k, x in enumerate(sorted(p), 1) if x <= q * k / len(p)), default=-1.0)
+
+
+def test_cuts_are_those_of_the_p_values(spark):
+    """One regular run among a thousand random ones is rejected, and cuts follow Benjamini-Hochberg in each stratum."""
+    rows = [v for _, _, v in random_runs(2, 250)] + ["Ab1" * 20] + [("ab12" * 9)[:n] for n in range(20, 32)] + ["0" * 19 + "a"]
+    d = spark.createDataFrame([(i, f"x {v} y") for i, v in enumerate(rows)], "doc_id long, text string")
+    cut = secrets.cuts(d)
+    tested = d.select(F.explode(secrets.candidates(F.col("text"))).alias("v")).select(secrets.battery(F.col("v")).alias("t")).select("t.*").collect()
+    strata = collections.defaultdict(list)
+    for r in tested:
+        strata[r["enc"], r["band"]].append((r["p"], r["cell"]))
+    for stratum, found in strata.items():
+        rejected = {p for p, cell in found if stratum in cut and cell >= cut[stratum]}
+        p = [p for p, _ in found]
+        low, high = benjamini_hochberg(p, 0.05 / 10 ** (1 / secrets.PER_DECADE)), benjamini_hochberg(p, 0.05)
+        assert {x for x in p if x <= low} <= rejected <= {x for x in p if x <= high}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(d).collect()}
+    assert spans[len(rows) - 14] == "" and rows[len(rows) - 14] == "Ab1" * 20
+    assert sum("random" in x for x in spans.values()) > 0.9 * 1000 * 3 / 4
+
+
+def test_secrets_in_long_texts(spark):
+    long = "x" * 200_000 + " token=" + "Zk3" * 9 + " " + "plain words " * 5000 + "AKIA" + "Q" * 30
+    many = "api_key=0123456789abcdef0123 " * 3000
+    d = spark.createDataFrame([(1, long), (2, many), (2, many)], "doc_id long, text string")
+    got = [(r["doc_id"], r["base_sha256"], r["n_assign"]) for r in secrets.scan(d).collect()]
+    want = [(i, hashlib.sha256(brute_spans(t).encode()).hexdigest(), n) for i, t, n in ((1, long, 1), (2, many, 3000), (2, many, 3000))]
+    assert sorted(got) == want
 
 
 def test_language(spark, sf):
