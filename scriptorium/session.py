@@ -94,8 +94,3 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
-
-
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver's JVM happens to collect."""
-    spark.sparkContext._jvm.System.gc()
