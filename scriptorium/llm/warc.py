@@ -5,11 +5,16 @@
 itself hands over. A chunk's digest covers the payload up to its end, so the row marked `last` has the payload's.
 
 Payloads of at least `least` bytes that are equal are stored once: the record with the smallest page_id is the
-response, the others revisit it. Deciding that shuffles digests, not pages.
+response, the others revisit it. Which pages those are is found by an aggregate over digests with partial sums;
+its result, a row for each payload that occurs twice or more, is broadcast if rows and bytes have been counted
+and are few. Beyond that pages are joined to it by digest and salt, so that a payload that a third of all pages
+have goes to SALTS tasks. Record ids are unique: they name the archive and the record's place in it. A revisit
+names its response by address, date and page_id, as the archive that holds it is not known when it is written.
 
 Defined results: a null html is an empty payload; payloads under `least` bytes are all responses; rows that
 repeat the smallest page_id are responses each; a row with null page_id never is the first unless all of its
-group are null, and then all are responses; an empty table gives no records; other columns are not read.
+group are null, and then all are responses; a payload of any length is written and read in chunks; an empty table
+gives no records; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,32 +30,48 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.files import Committed, attempt_name, opened
 from scriptorium.llm.memory import trimmed
-from scriptorium.session import new_dir, ship
+from scriptorium.session import materialize, new_dir, ship
 
 CHUNK = 64 << 10
+#: What of the repeated payloads may be broadcast, and the parts that a payload's pages are dealt into beyond that.
+BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 200_000, 32 << 20, 64
+DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNKS = "path string, record_no bigint, record_type string, page_id bigint, refers_to bigint, chunk_no int, bytes_so_far bigint, digest_so_far string, last boolean"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(path: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{number}')}>"
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, html, n, digest, first: the page that a revisit refers to (null: a response)."""
+    """page_id, url, html, n, digest, first, first_url: the page that a revisit refers to (null: a response)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    firsts = p.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    j = p.join(firsts.select(F.col("digest").alias("_d"), "first"), F.col("digest") == F.col("_d"), "left")
-    return j.select("page_id", "url", "html", "n", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    at = F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
+    firsts = p.where(F.col("n") >= least).groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    firsts = materialize(firsts.select(F.unhex("digest").alias("_d"), F.col("first.page_id").alias("_first"), F.col("first.url").alias("_url")), "firsts")
+    rows, size = firsts.agg(F.count("*"), F.sum(F.octet_length("_url") + 64)).first()
+    key = F.unhex("digest") == F.col("_d")
+    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
+        j = p.join(F.broadcast(firsts), key, "left")
+    else:
+        dealt = firsts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = p.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, key & (F.col("_salt") == F.col("_part")), "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("_first"))
+    return j.select("page_id", "url", "html", "n", "digest", F.when(other, F.col("_first")).alias("first"), F.when(other, F.col("_url")).alias("first_url"))
 
 
-def _headers(kind: str, page_id, url, n: int, digest: str, refers, length: int) -> bytes:
+def _uri(url: str | None) -> str:
+    return " ".join((url or "").split())
+
+
+def _headers(kind: str, name: str, page_id, url, n: int, digest: str, refers, refers_url, length: int) -> bytes:
     fields = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n}",
         *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
-        *([f"WARC-Refers-To: {record_id(refers)}", f"X-Refers-To-Page-ID: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers is not None else []),
+        *([f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers is not None else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {length}",
     ]
     return ("\r\n".join(fields) + "\r\n\r\n").encode()
@@ -66,11 +87,11 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         try:
             for batch in batches:
                 html = batch.column(2)
-                for k, (page_id, url, n, digest, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
+                for k, (page_id, url, n, digest, first, first_url) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)), strict=True)):
                     out = out or Committed(path, attempt_name())
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     response = first is None
-                    out.write(z.compress(_headers("response" if response else "revisit", page_id, url, n, digest, first, len(HTTP) + n * response)))
+                    out.write(z.compress(_headers("response" if response else "revisit", record_id(path, count), page_id, url, n, digest, first, first_url, len(HTTP) + n * response)))
                     out.write(z.compress(HTTP))
                     if response:
                         body = memoryview(html[k].as_buffer())
@@ -86,7 +107,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
             out.__exit__(None, None, None)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
-    return records.select("page_id", "url", "html", "n", "digest", "first").mapInArrow(trimmed(write), "path string, records bigint")
+    return records.select("page_id", "url", "html", "n", "digest", "first", "first_url").mapInArrow(trimmed(write), "path string, records bigint")
 
 
 class _Plain:

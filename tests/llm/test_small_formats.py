@@ -1,8 +1,10 @@
 """Records, Ogg and WARC: exact round trips and damage."""
 
 import functools
+import gzip
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -186,7 +188,9 @@ def test_ogg_query(spark, docs):
 PAGES = [(3, "u", "x" * 200), (1, "u", "x" * 200), (1, "u", "x" * 200), (2, None, "short"), (4, "v", "short"), (5, "w", None), (None, "n", "x" * 200), (6, "w", "é" * 150_000)]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("rows", [200_000, -1])
+def test_warc(spark, monkeypatch, rows):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)  # -1: the join that shuffles
     d = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, digest string")
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(d).collect()), key=str)
     want = [(3, 200, "revisit", 1), (1, 200, "response", None), (1, 200, "response", None), (2, 5, "response", None), (4, 5, "response", None), (5, 0, "response", None), (None, 200, "revisit", 1), (6, 300_000, "response", None)]
@@ -201,6 +205,10 @@ def test_warc_chunks(spark):
     rows = warc.read_warc(spark, paths, keep=True).where("page_id = 6").orderBy("chunk_no").collect()
     assert len(rows) > 3 and b"".join(bytes(r["data"]) for r in rows).decode() == "é" * 150_000
     assert [r["last"] for r in rows] == [False] * (len(rows) - 1) + [True]
+    plain = b"".join(gzip.decompress(records.read_whole(p)) for p in paths)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", plain)
+    assert len(ids) == len(PAGES) == len(set(ids))  # page 1 is there twice
+    assert len(re.findall(rb"WARC-Refers-To-Target-URI: u\r\n", plain)) == 2
 
 
 def test_preferences(spark):
