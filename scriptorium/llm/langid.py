@@ -4,13 +4,18 @@ Features are byte n-grams of one to three of the lower-cased text, as shares of
 length. Families are told apart by one-versus-one machines too, and so are the languages of a family; all are
 linear support vector machines with squared hinge loss.
 
-Fitting takes a bounded sample: at most `per_language` texts of each language, chosen by a hash of doc_id. All
-texts are then read whole. What is broadcast is a weight vector of fixed length for each pair of languages
-of one family and each pair of families.
+Families of known languages are a table; the others are put into about as many groups as the square root of
+their number, by how like their n-gram shares are. So the number of machines grows with the power 1.5 of the
+languages, and each has weights for the CELLS most frequent n-grams only: for a hundred languages of an unknown
+kind some 35 MB are broadcast. The machines within a family are asked only about the texts of that family.
+
+Fitting takes a bounded sample, all of whose bounds are parameters (`Limits`): so many texts of each language,
+chosen by a hash of doc_id, so many of all languages, and the most frequent languages. All texts are then read whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0; texts with null lang teach
-nothing; repeated rows get equal results; without any language to learn every text is `und`, with one language
-that one; an empty table gives no rows; other columns are not read.
+nothing; repeated rows get equal results; ties go to the language first by name; a very long text is read like
+any other, alone in its slice; without any language to learn every text is `und`, with one language that one; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ from scriptorium.llm.memory import trimmed
 from scriptorium.llm.textbytes import slices
 from scriptorium.session import ship
 
-#: Families of common languages; any other language is a family of its own.
+#: Families of common languages.
 FAMILY = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
     "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
@@ -40,6 +46,8 @@ UND = "und"
 BITS = 16
 BASE = (0, 1 << 8, (1 << 8) + (1 << 16))
 SIZE = BASE[2] + (1 << BITS)
+#: Features that have weights: the most frequent ones of the sample.
+CELLS = 16_384
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -64,9 +72,18 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
     return [x + BASE[0], two + BASE[1], three + BASE[2]]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of the fit."""
+
+    per_language: int = 700
+    texts: int = 12_000
+    languages: int = 256
+
+
 @dataclass
 class Machine:
-    """Positive margins speak for `first`."""
+    """Positive margins speak for `first`. weights: by column, the first of which is of the features that have none."""
 
     first: str
     second: str
@@ -77,46 +94,51 @@ class Machine:
 
 @dataclass
 class Hierarchy:
+    """column: the place of each feature among the weights (0: none)."""
+
+    column: np.ndarray = field(default_factory=lambda: np.zeros(SIZE, np.int16))
     families: dict[str, list[str]] = field(default_factory=dict)
     between: list[Machine] = field(default_factory=list)
     within: dict[str, list[Machine]] = field(default_factory=dict)
 
-    def machines(self) -> list[Machine]:
-        return [*self.between, *(m for ms in self.within.values() for m in ms)]
-
     def predict(self, texts: pa.Array, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every = self.machines()
-        margins = np.zeros((len(every), len(texts)))
-        for a, b, data, offsets in slices(texts):
-            lens = np.diff(offsets)
-            gram = grams(data) if len(data) >= 3 else []
-            for k, m in enumerate(every):
-                total = np.full(b - a, m.bias)
-                for n, g in enumerate(gram):
-                    sums = np.concatenate([[0.0], np.cumsum(m.weights[g], dtype=np.float64)])
-                    ends = np.maximum(offsets[1:] - n, offsets[:-1])
-                    total += (sums[np.minimum(ends, len(g))] - sums[np.minimum(offsets[:-1], len(g))]) / np.maximum(lens - n, 1)
-                margins[k, a:b] = total / m.scale
-        got = {id(m): margins[k] for k, m in enumerate(every)}
-        names = sorted(self.families)
-        family, sure = vote(names, self.between, got, len(texts))
         lang, score = np.full(len(texts), UND, object), np.zeros(len(texts))
-        for k, name in enumerate(names):
-            mine = lettered & (family == k)
-            langs = self.families[name]
-            best, own = vote(langs, self.within[name], got, len(texts))
-            lang[mine] = np.array(langs, object)[best[mine]]
-            score[mine] = (sure * own)[mine]
+        names = sorted(self.families)
+        if not names:
+            return lang, score
+        for a, b, data, offsets in slices(texts):
+            columns = [np.concatenate([self.column[g], np.zeros(n, np.int16)]) for n, g in enumerate(grams(data))] if len(data) >= 3 else [np.zeros(len(data), np.int16)] * 3
+            family, sure = vote(names, self.between, columns, offsets)
+            for k, name in enumerate(names):
+                mine = lettered[a:b] & (family == k)
+                if not mine.any():
+                    continue
+                sizes = np.diff(offsets)
+                own = [c[np.repeat(mine, sizes)] for c in columns] if self.within[name] else columns
+                best, part = vote(self.families[name], self.within[name], own, np.concatenate([[0], np.cumsum(sizes[mine])]))
+                lang[a:b][mine] = np.array(self.families[name], object)[best]
+                score[a:b][mine] = sure[mine] * part
         return lang, np.clip(score, 0, 1)
 
 
-def vote(names: list[str], machines: list[Machine], got: dict[int, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+def margin(m: Machine, columns: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+    """The margin of each text; columns: those of the n-grams that begin at each byte."""
+    total = np.full(len(offsets) - 1, m.bias)
+    for n, c in enumerate(columns):
+        sums = np.concatenate([[0.0], np.cumsum(m.weights[c], dtype=np.float64)])
+        ends = np.maximum(offsets[1:] - n, offsets[:-1])
+        total += (sums[ends] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets) - n, 1)
+    return total / m.scale
+
+
+def vote(names: list[str], machines: list[Machine], columns: list[np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class that wins most pairs (ties: by summed probability, then by name) and the mean probability of its pairs."""
+    n = len(offsets) - 1
     if len(names) < 2:
         return np.zeros(n, np.int64), np.ones(n)
     wins, sums = np.zeros((len(names), n)), np.zeros((len(names), n))
     for m in machines:
-        p = 1 / (1 + np.exp(-np.clip(3 * got[id(m)], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(3 * margin(m, columns, offsets), -30, 30)))
         i, j = names.index(m.first), names.index(m.second)
         wins[i] += p >= 0.5
         wins[j] += p < 0.5
@@ -126,6 +148,35 @@ def vote(names: list[str], machines: list[Machine], got: dict[int, np.ndarray],
     return best, sums[best, np.arange(n)] / (len(names) - 1)
 
 
+def grouped(means: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """Families of languages: those of the table, and groups of the others by the cosine of their mean features.
+
+    The two groups that are most alike on average are joined, as long as there are more groups than the square
+    root of the languages and none would have more than twice that many.
+    """
+    out: dict[str, list[str]] = {}
+    for lang in sorted(set(means) & set(FAMILY)):
+        out.setdefault(FAMILY[lang], []).append(lang)
+    rest = sorted(set(means) - set(FAMILY))
+    if not rest:
+        return out
+    x = np.stack([means[k] / max(float(np.linalg.norm(means[k])), 1e-12) for k in rest])
+    like, groups, most = x @ x.T, [[k] for k in range(len(rest))], ceil(sqrt(len(rest)))  # like: summed over the pairs of two groups
+    while len(groups) > most:
+        size = np.array([len(g) for g in groups])
+        mean = like / np.outer(size, size)
+        mean[np.tril_indices(len(groups))] = -np.inf
+        mean[np.add.outer(size, size) > 2 * most] = -np.inf
+        i, j = np.unravel_index(int(mean.argmax()), mean.shape)
+        if mean[i, j] == -np.inf:
+            break
+        like[i] += like[j]
+        like[:, i] += like[:, j]
+        like = np.delete(np.delete(like, j, 0), j, 1)
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return out | {f"like {rest[g[0]]}": [rest[k] for k in g] for g in groups}
+
+
 def shares(docs: DataFrame) -> DataFrame:
     """lang, cells, counts: the n-gram counts of each text as blobs."""
 
@@ -148,11 +199,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> H
     """rows: language, cells, counts of each text."""
     rows = [r for r in rows if len(r[1])]
     h = Hierarchy()
-    langs = np.array([r[0] for r in rows], object)
-    for lang in sorted(set(langs)):
-        h.families.setdefault(FAMILY.get(lang, lang), []).append(lang)
     if not rows:
         return h
+    langs = np.array([r[0] for r in rows], object)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     cell = np.concatenate([r[1] for r in rows]).astype(np.int64)
     value = np.concatenate([r[2] for r in rows]).astype(float)
@@ -161,24 +210,41 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> H
         total = np.bincount(row[mine], value[mine], len(rows))
         value[mine] /= np.maximum(total[row[mine]], 1)
     mean = np.bincount(cell, value, SIZE) / len(rows)
-    spread = 1 / np.sqrt(np.maximum(mean, 1e-5))
-    value *= spread[cell]
-    kin = np.array([FAMILY.get(x, x) for x in langs], object)
-    h.between = [_machine(a, b, kin, row, cell, value, spread, steps) for a, b in combinations(sorted(h.families), 2)]
-    h.within = {f: [_machine(a, b, langs, row, cell, value, spread, steps) for a, b in combinations(members, 2)] for f, members in h.families.items()}
+    used = np.sort(np.argsort(-mean, kind="stable")[:CELLS])
+    used = used[mean[used] > 0]
+    h.column[used] = np.arange(1, len(used) + 1)
+    spread = np.concatenate([[0.0], 1 / np.sqrt(np.maximum(mean[used], 1e-5))])
+    column = h.column[cell].astype(np.int64)
+    on = column > 0
+    row, column, value = row[on], column[on], value[on] * spread[column[on]]
+    names = sorted(set(langs))
+    number = np.searchsorted(names, langs)[row]
+    means = np.bincount(number * len(spread) + column, value, len(names) * len(spread)).reshape(len(names), -1)
+    h.families = grouped(dict(zip(names, means, strict=True)))
+    texts = {k: Texts(row[number == i], column[number == i], value[number == i]) for i, k in enumerate(names)}
+    some = lambda members: [texts[k] for k in members]
+    h.between = [_machine(a, b, some(h.families[a]), some(h.families[b]), spread, steps) for a, b in combinations(sorted(h.families), 2)]
+    h.within = {f: [_machine(a, b, some([a]), some([b]), spread, steps) for a, b in combinations(members, 2)] for f, members in h.families.items()}
     return h
 
 
-def _machine(first, second, of, row, cell, value, spread, steps) -> Machine:
+@dataclass(frozen=True)
+class Texts:
+    """Features of the texts of one language: number of the text, column, scaled share."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+
+def _machine(first: str, second: str, ours: list[Texts], theirs: list[Texts], spread: np.ndarray, steps: int) -> Machine:
     """Squared hinge with a ridge term, by accelerated gradient steps."""
-    take = (of == first) | (of == second)
-    new = np.cumsum(take) - 1
-    on = take[row]
-    r, c, v = new[row[on]], cell[on], value[on]
-    y = np.where(of[take] == first, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
-    used, c = np.unique(c, return_inverse=True)
-    size, n, ridge = len(used), len(y), 1e-4
+    both = [*ours, *theirs]
+    c, v = (np.concatenate([getattr(t, k) for t in both]) for k in ("column", "value"))
+    every, r = np.unique(np.concatenate([t.row for t in both]), return_inverse=True)
+    y = np.where(np.isin(every, np.concatenate([t.row for t in ours])), 1.0, -1.0)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    size, n, ridge = len(spread), len(y), 1e-4
     x, norm = np.ones(size), 1.0
     for _ in range(8):
         z = np.bincount(c, (weight * np.bincount(r, x[c] * v, n))[r] * v, size)
@@ -194,25 +260,24 @@ def _machine(first, second, of, row, cell, value, spread, steps) -> Machine:
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         u, ub = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = nw, nb, t2
-    full = np.zeros(SIZE, np.float32)
-    full[used] = w * spread[used]
-    margin = np.abs(np.bincount(r, w[c] * v, n) + b)
-    return Machine(first, second, full, float(b), max(float(np.median(margin)), 1e-9))
+    apart = np.abs(np.bincount(r, w[c] * v, n) + b)
+    return Machine(first, second, (w * spread).astype(np.float32), float(b), max(float(np.median(apart)), 1e-9))
 
 
 def held_out_quarter(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 700) -> Hierarchy:
+def fit(docs: DataFrame, limits: Limits = Limits()) -> Hierarchy:
     """docs: doc_id, text, lang of the documents to learn from."""
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
+    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+    counts = counts.orderBy(F.col("n").desc(), "lang").limit(limits.languages).collect()
+    most = min(limits.per_language, limits.texts // max(1, len(counts)))
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
+    sample = known.join(F.broadcast(wanted), "lang").where(drawn)  # a row for each language
     rows = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sample).collect()})
     return train([(a, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for a, c, n in rows])
 
@@ -234,8 +299,8 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
     return docs.select(*rest, lettered.alias("_lettered")).mapInArrow(trimmed(work), schema)
 
 
-def language_id(docs: DataFrame, per_language: int = 700) -> DataFrame:
+def language_id(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the documents that are not held out."""
-    model = fit(docs.where(~held_out_quarter(F.col("doc_id"))), per_language)
+    model = fit(docs.where(~held_out_quarter(F.col("doc_id"))), limits)
     rows = predict(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out_quarter(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

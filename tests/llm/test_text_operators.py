@@ -278,6 +278,63 @@ def test_language(spark, sf):
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_many_languages_of_no_known_family():
+    """Sixty made-up languages: families come from the data, and weights stay small."""
+    rng = random.Random(6)
+    letters = string.ascii_lowercase + "éèüöäßñçøåæłżšč"
+    talk = {}
+    for k in range(60):
+        own = rng.sample(letters, 14)
+        talk[f"q{k:02d}"] = ["".join(rng.choices(own, k=rng.randint(2, 7))) for _ in range(150)]
+    made = lambda lang: " ".join(rng.choices(talk[lang], k=40))
+    rows = []
+    for lang in talk:
+        for _ in range(12):
+            data = np.frombuffer(made(lang).encode(), np.uint8)
+            cells, counts = np.unique(np.concatenate(langid.grams(data)), return_counts=True)
+            rows.append((lang, cells, counts))
+    h = langid.train(rows, steps=60)
+    assert len(h.families) == 8 and sum(map(len, h.families.values())) == 60
+    machines = [*h.between, *(m for ms in h.within.values() for m in ms)]
+    assert len(machines) < 500 and sum(m.weights.nbytes for m in machines) < 500 * 4 * (langid.CELLS + 1)
+    langs = [lang for lang in talk for _ in range(3)]
+    got, score = h.predict(pa.array([made(lang) for lang in langs], pa.large_string()), np.ones(len(langs), bool))
+    assert sum(a == b for a, b in zip(got, langs, strict=True)) / len(langs) > 0.9
+    assert ((score > 0) & (score <= 1)).all()
+
+
+def slow_prediction(h, text):
+    """One text, one n-gram at a time."""
+    data = np.frombuffer(text.encode(), np.uint8)
+
+    def won(names, machines):
+        wins = {k: [0, 0.0] for k in names}
+        for m in machines:
+            total = m.bias
+            for n, g in enumerate(langid.grams(data)):
+                total += sum(float(m.weights[h.column[x]]) for x in g) / max(len(data) - n, 1)
+            p = 1 / (1 + np.exp(-np.clip(3 * total / m.scale, -30, 30)))
+            for k, q in ((m.first, p), (m.second, 1 - p)):
+                wins[k][0] += (p >= 0.5) == (k == m.first)
+                wins[k][1] += q
+        best = max(sorted(names), key=lambda k: wins[k][0] + wins[k][1] / (2 * len(names)))
+        return best, wins[best][1] / (len(names) - 1) if len(names) > 1 else 1.0
+
+    family, sure = won(sorted(h.families), h.between)
+    lang, part = won(h.families[family], h.within[family])
+    return lang, sure * part
+
+
+def test_language_against_a_slow_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    h = langid.fit(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(25).collect()] + ["ab", "é", "long " * 60_000]
+    got = h.predict(pa.array(texts, pa.large_string()), np.ones(len(texts), bool))
+    for t, lang, score in zip(texts, *got, strict=True):
+        want = slow_prediction(h, t) if len(t.encode()) >= 3 else (lang, score)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
