@@ -47,8 +47,15 @@ def remove_noise(text: Column) -> Column:
     return text
 
 
-def rejoin(rows: Column) -> Column:
-    """Lines broken within a sentence are joined: one that begins in lower case goes to the line before, as that has grown, while it is short and does not end a clause."""
+#: A line end that nothing joins over: the next line does not begin in lower case.
+HARD_END = r"\n(?!\p{javaLowerCase})"
+
+
+def rejoin(text: Column) -> Column:
+    """Lines broken within a sentence are joined: one that begins in lower case goes to the line before, as that has grown, while it is short and does not end a clause.
+
+    Whether a line is joined depends on what its own run of lower-case lines has grown to, so runs are folded each by itself.
+    """
     start = F.struct(empty().alias("out"), F.lit(None).cast("string").alias("last"))
 
     def step(acc: Column, raw: Column) -> Column:
@@ -58,7 +65,8 @@ def rejoin(rows: Column) -> Column:
         out = F.when(join | acc.last.isNull(), acc.out).otherwise(F.concat(acc.out, F.array(acc.last)))
         return F.struct(out.alias("out"), F.when(join, F.concat_ws(" ", acc.last, line)).otherwise(line).alias("last"))
 
-    return F.aggregate(rows, start, step, lambda acc: F.when(acc.last.isNull(), acc.out).otherwise(F.concat(acc.out, F.array(acc.last))))
+    folded = lambda run: F.aggregate(lines(run), start, step, lambda acc: F.array_join(F.concat(acc.out, F.array(acc.last)), "\n"))
+    return F.array_join(F.transform(F.split(text, HARD_END), lambda run: F.when(F.contains(run, F.lit("\n")), folded(run)).otherwise(rstrip(run))), "\n")
 
 
 def squeeze_blank(text: Column) -> Column:
@@ -67,7 +75,7 @@ def squeeze_blank(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Noise out, broken lines joined, blank runs squeezed (null: empty)."""
-    return strip(squeeze_blank(F.array_join(rejoin(lines(remove_noise(F.coalesce(text, F.lit(""))))), "\n")))
+    return strip(squeeze_blank(rejoin(remove_noise(F.coalesce(text, F.lit(""))))))
 
 
 def repair_doubled(text: Column) -> Column:

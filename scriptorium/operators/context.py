@@ -73,9 +73,15 @@ def previous(lessons: DataFrame, course: str, number: str, title: str, concept:
 
 
 def known(lessons: DataFrame, course: str, number: str, concept: str) -> DataFrame:
-    """Adds known: all distinct concepts of earlier lessons in order of first mention."""
+    """Adds known: all distinct concepts of earlier lessons in order of first mention.
+
+    Each concept's first mention is an aggregate, so a row gathers what was new in earlier lessons and no repeats.
+    """
+    each = lessons.select(course, number, F.posexplode_outer(concept).alias("_p", "_c")).where("_c is not null")
+    first = each.groupBy(course, "_c").agg(F.min(F.struct(F.col(number).alias("n"), F.col("_p").alias("p"))).alias("_f"))
+    new = first.groupBy(course, F.col("_f.n").alias(number)).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_f.p").alias("p"), F.col("_c").alias("c")))), lambda s: s.c).alias("_new"))
     w = Window.partitionBy(course).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    return lessons.withColumn("known", F.array_distinct(F.flatten(F.collect_list(concept).over(w))))
+    return lessons.join(new, [course, number], "left").withColumn("known", F.flatten(F.collect_list("_new").over(w))).drop("_new")
 
 
 def render(title: Column, prerequisites: Column, notation: Column, before: Column, bridge: Column, concepts_known: Column, defined: Column) -> Column:

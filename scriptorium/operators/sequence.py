@@ -180,7 +180,7 @@ def drop_repeated_rows(rows: DataFrame, key: str, pos: str, cells: str) -> DataF
 
 def block_text(blocks: DataFrame, key: str, gap: float = 10.0) -> DataFrame:
     """Page text of blocks (x0, y0, y1, text) from top to bottom, with an empty line where the vertical gap is over `gap`."""
-    w = Window.partitionBy(key).orderBy("y0", "x0")
+    w = Window.partitionBy(key).orderBy("y0", "x0", "y1", "text")
     d = blocks.withColumn("_far", F.coalesce(F.col("y0") - F.lag("y1").over(w) > gap, F.lit(False))).withColumn("_n", F.row_number().over(w))
     piece = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_far", "text"))), lambda b: F.concat(F.when(b._far, F.lit("\n")).otherwise(F.lit("")), b.text))
     return d.groupBy(key).agg(F.array_join(piece, "\n").alias("text"))

@@ -47,10 +47,15 @@ def aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("conv_id", "slide_pos", sequence.render_block(F.col("slide_num"), F.col("title"), F.col("body"), F.col("said")).alias("block"))
 
 
-@query("transcript_detect", "select conv_id, count(*) as n, count(*) filter (role = 'user') / count(*) >= case when count(*) <= 10 then 0.30 else 0.10 end as is_transcript from conversations group by conv_id")
+@query("transcript_detect", r"""
+with t as (select conv_id, string_agg(case when role = 'user' then '[00:' || lpad((turn % 60)::varchar, 2, '0') || '] ' else '' end || text, chr(10) order by turn) as t from conversations group by conv_id),
+l as (select conv_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from t)
+select conv_id, len(ls) > 0 and len(list_filter(ls, lambda x: regexp_matches(x, '^\[\d\d:\d\d\]'))) / len(ls) >= case when len(ls) <= 10 then 0.30 else 0.10 end as is_transcript from l""")
 def transcript_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("u"))
-    return g.select("conv_id", "n", classify.ratio_transcript(F.col("u"), F.col("n")).alias("is_transcript"))
+    """The lines of whole conversations, those of users stamped."""
+    line = F.concat(F.when(F.col("role") == "user", F.concat(F.lit("[00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("] "))).otherwise(""), F.col("text"))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(render.ordered_join(F.col("turn"), line).alias("t"))
+    return g.select("conv_id", classify.is_transcript(F.col("t")).alias("is_transcript"))
 
 
 @query("transcript_parse", """
@@ -85,8 +90,11 @@ def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prompt_assembly", ROLES + """,
-r as (select source, seq, text, case when kind = 'slide' then 'SCHELETRO' when kind = 'audio' or flesh then 'CARNE' when kind = 'text' then 'CONTORNO' when has_audio then 'SCHELETRO' else 'SUPPORTO' end as role from h)
-select source, string_agg('## ' || role || ': nota' || chr(10) || text, chr(10) || chr(10) order by list_position(['SCHELETRO', 'CARNE', 'SUPPORTO', 'CONTORNO'], role), seq) as prompt from r group by source""")
+r as (select source, seq, text, case when kind = 'slide' then 'SCHELETRO' when kind = 'audio' or flesh then 'CARNE' when kind = 'text' then 'CONTORNO' when has_audio then 'SCHELETRO' else 'SUPPORTO' end as role from h),
+b as (select *, case role when 'CARNE' then 200000 when 'SCHELETRO' then 160000 when 'SUPPORTO' then 80000 else 40000 end as m from r), x as (select *, left(text, m) as cut from b),
+c as (select *, case when contains(cut, chr(10)) and length(cut) - strpos(reverse(cut), chr(10)) > m * 0.85 then left(cut, length(cut) - strpos(reverse(cut), chr(10))) else cut end as short from x),
+t as (select source, seq, role, case when length(text) <= m then text else short || chr(10) || chr(10) || '[... ' || format('{:,}', length(text) - length(short)) || ' caratteri omessi per rispettare il budget token ...]' end as text from c)
+select source, string_agg('## ' || role || ': nota' || chr(10) || text, chr(10) || chr(10) order by list_position(['SCHELETRO', 'CARNE', 'SUPPORTO', 'CONTORNO'], role), seq) as prompt from t group by source""")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.assemble(_roles(spark, sf_dir).withColumn("name", F.lit("nota")), "source", "role", "seq", "name", "text")
 
@@ -126,7 +134,7 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chunk_pages", """
-with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as p, count(*) over (partition by source) as n, left(text, 50) as t from documents)
+with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as p, count(*) over (partition by source) as n, text as t from documents)
 select source, cast((p - 1) // 7 as integer) as chunk, min(p) as first, max(p) as last, count(*) as n, string_agg('[PAG ' || p || ']' || chr(10) || t, chr(10) || chr(10) order by p) as text, 'pag. ' || min(p) || '–' || max(p) as title
 from r where n > 20 group by source, (p - 1) // 7""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,9 @@ def symbol_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("concept_extract", r"""
 select doc_id, 'Titolo ' || doc_id || '|Note' as concepts, 'Nome ' || lang as definitions, 'x_n=il valore di ' || lang as symbols,
-  case when trim(left(translate(text, chr(10) || '{}', '   '), 12)) = '' then 'Lezione 9' else trim(left(translate(text, chr(10) || '{}', '   '), 12)) end as topic from documents""")
+  case when trim(translate(text, chr(10) || '{}', '   ')) = '' then 'Lezione 9' else trim(translate(text, chr(10) || '{}', '   ')) end as topic from documents""")
 def concept_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring(F.translate("text", "\n{}", "   "), 1, 12)
+    head = F.translate("text", "\n{}", "   ")
     tex = F.concat(F.lit(r"\section{Titolo "), F.col("doc_id").cast("string"), F.lit(r"} \subsection{Lezione 9}\subsection*{"), head, F.lit(r"}\begin{definition}[Nome "), "lang", F.lit(r"] corpo \end{definition} $x_n$ indica il valore di "), "lang", F.lit(r", e \subsection{Note}"))
     d = table(spark, sf_dir, "documents").select("doc_id", tex.alias("tex"))
     kept = F.transform(context.symbols(F.col("tex")), lambda s: F.concat_ws("=", s.symbol, s.meaning))
@@ -97,10 +97,10 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("job_evict", f"""
-with j as (select event_id, user_id, ts, {STATUS} as status from events where event_id % 10 = 0), g as (select event_id, row_number() over (order by ts, event_id) as r from j where status in ('done', 'error'))
+with j as (select event_id, user_id, ts, {STATUS} as status from events), g as (select event_id, row_number() over (order by ts, event_id) as r from j where status in ('done', 'error'))
 select event_id, status from j where event_id not in (select event_id from g where r <= (select count(*) - 200 from j))""")
 def job_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.evict(_jobs(spark, sf_dir).where("event_id % 10 = 0"), "status", ["ts", "event_id"]).select("event_id", "status")
+    return jobs.evict(_jobs(spark, sf_dir), "status", ["ts", "event_id"]).select("event_id", "status")
 
 
 @query("ttl_expire", f"select event_id from events where {STATUS} in ('done', 'error') and ts < (select max(ts) from events) - interval 7 day")
@@ -222,16 +222,17 @@ def props_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("page_skeleton", """
-select page_id, chr(10) || case when page_id % 2 = 0 then '\\subsection{Titolo ' || page_id || '}' else '\\subsection*{Pagina ' || page_id || '}' end || '\\label{subsec:doc-pag' || lpad(page_id::varchar, 3, '0') || '}' || chr(10) || chr(10) || 'corpo' || chr(10) as tex from pages where page_id < 1000""")
+select page_id, chr(10) || case when page_id % 2 = 0 then '\\subsection{Titolo ' || page_id || '}' else '\\subsection*{Pagina ' || page_id || '}' end || '\\label{subsec:doc-pag' || lpad(page_id::varchar, cast(greatest(3, length(page_id::varchar)) as integer), '0') || '}' || chr(10) || chr(10) || 'corpo' || chr(10) as tex from pages""")
 def page_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id").cast("string")
     sections = F.array(F.struct(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Titolo "), k)).otherwise("").alias("heading"), F.lit("corpo").alias("body")))
     return table(spark, sf_dir, "pages").select("page_id", render.page_skeleton(F.col("page_id"), F.lit(None).cast("string"), sections, F.lit("doc")).alias("tex"))
 
 
-@query("content_blobs", "select md5(html) as md5, count(*) as n from pages group by md5(html)")
+@query("content_blobs", "select md5(html) as md5, max(strlen(html)) as n_bytes from pages group by md5(html)")
 def content_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.md5("html").alias("md5")).agg(F.count("*").alias("n"))
+    blobs = files.content_table(table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("content")))
+    return blobs.select("md5", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query("stream_latest", "select user_id, max_by(event_type, (ts, event_id)) as event_type, max(event_id) filter (event_type = 'error') as last_error from events group by user_id")

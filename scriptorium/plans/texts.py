@@ -42,14 +42,14 @@ def wrapped(docs: DataFrame) -> DataFrame:
 NOISE = (r"(?i)\bpag(?:ina|\.?)?\s*\d+\b", r"(?m)^\s*\d+\s*$", r"(?m)^\s*[-–—]+\s*$", r"\[\d{2}:\d{2}\]\s*", r"©.*?(?:\n|$)", r"(?i)slide\s+\d+\s*/\s*\d+", r"(?i)department\s+of\s+\w+.*?\n", r"(?i)university\s+of\s+\w+.*?\n", r"(?i)a\.y\.\s*\d{4}[-/]\d{2,4}.*?\n")
 
 
-def _noise_sql(text: str) -> str:
+def noise_sql(text: str) -> str:
     for p in NOISE:
         text = f"regexp_replace({text}, '{p}', '', 'g')"
     return text
 
 
 @query("clean_text", f"""
-with w as ({WRAPPED}), n as (select doc_id, list_transform(string_split({_noise_sql('text')}, chr(10)), lambda l: [regexp_replace(l, '\\s+$', '')]) as ls from w),
+with w as ({WRAPPED}), n as (select doc_id, list_transform(string_split({noise_sql('text')}, chr(10)), lambda l: [regexp_replace(l, '\\s+$', '')]) as ls from w),
 j as (select doc_id, list_reduce(ls, lambda a, b: case when regexp_matches(b[1], '^\\p{{Ll}}') and a[len(a)] <> '' and not regexp_matches(a[len(a)], '[.!?:;)\\]"]$') and length(a[len(a)]) < 80
   then list_concat(a[1:len(a) - 1], [a[len(a)] || ' ' || b[1]]) else list_concat(a, b) end) as ls from n)
 select doc_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as text from j""")
@@ -93,14 +93,15 @@ def dedup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = {"english": ("the", "and", "tion", "with"), "german": ("und", "der", "keit", "sch"), "french": ("que", "eau", "ment", "é"), "spanish": ("ción", "ñ", "que", "los")}
 
 
-def _subject_sql() -> str:
-    score = {k: " + ".join(f"cast(contains(t, '{w}') as int)" for w in ws) for k, ws in WORDS.items()}
+def subject_sql(rows: str, words: dict[str, tuple[str, ...]]) -> str:
+    """rows: SQL of doc_id and t."""
+    score = {k: " + ".join(f"cast(contains(t, '{w}') as int)" for w in ws) for k, ws in words.items()}
     best = "greatest(" + ", ".join(score.values()) + ")"
     arms = " ".join(f"when {s} = {best} then '{k}'" for k, s in score.items())
-    return f"select doc_id, case when {best} < 2 then 'generico' {arms} end as subject, {best} as score from (select doc_id, lower(left(text, 3000)) as t from documents)"
+    return f"select doc_id, case when {best} < 2 then 'generico' {arms} end as subject, {best} as score from (select doc_id, lower(t) as t from ({rows}))"
 
 
-@query("subject_score", _subject_sql())
+@query("subject_score", subject_sql("select doc_id, left(text, 3000) as t from documents", WORDS))
 def subject_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.substring("text", 1, 3000)
     return table(spark, sf_dir, "documents").select("doc_id", classify.subject(t, None, WORDS).alias("subject"), F.array_max(classify.subject_scores(t, WORDS)).score.alias("score"))
@@ -111,11 +112,12 @@ def text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.density(F.col("text")).alias("density"))
 
 
-@query("doubled_repair", "select doc_id, trim(left(translate(text, chr(10), ' '), 40)) as text from documents")
+@query("doubled_repair", "select doc_id, trim(translate(text, chr(10), ' ')) as text from documents")
 def doubled_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.trim(F.substring(F.translate("text", "\n", " "), 1, 40))
-    twice = F.array_join(F.transform(F.split(short, ""), lambda c: F.concat(c, c)), "")
-    return table(spark, sf_dir, "documents").select("doc_id", T.repair_doubled(F.when(F.col("doc_id") % 2 == 0, twice).otherwise(short)).alias("text"))
+    """Whole texts, every other one with all its characters written twice."""
+    line = F.trim(F.translate("text", "\n", " "))
+    twice = F.regexp_replace(line, "(?s)(.)", "$1$1")
+    return table(spark, sf_dir, "documents").select("doc_id", T.repair_doubled(F.when(F.col("doc_id") % 2 == 0, twice).otherwise(line)).alias("text"))
 
 
 @query("latex_escape", f"select doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: coalesce({sql_map(latex.SPECIAL | latex.text_map())}[c], c)), '') as tex from documents")
@@ -123,9 +125,9 @@ def latex_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", latex.escape(F.col("text")).alias("tex"))
 
 
-@query("formula_sanitize", f"select doc_id, array_to_string(list_transform(string_split(left(text, 40) || ' α≤β → 𝑥²', ''), lambda c: coalesce({sql_map(latex.formula_map())}[c], c)), '') as tex from documents")
+@query("formula_sanitize", f"select doc_id, array_to_string(list_transform(string_split(text || ' α≤β → 𝑥²', ''), lambda c: coalesce({sql_map(latex.formula_map())}[c], c)), '') as tex from documents")
 def formula_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", latex.sanitize_formula(F.concat(F.substring("text", 1, 40), F.lit(" α≤β → 𝑥²"))).alias("tex"))
+    return table(spark, sf_dir, "documents").select("doc_id", latex.sanitize_formula(F.concat(F.col("text"), F.lit(" α≤β → 𝑥²"))).alias("tex"))
 
 
 @query("babel_language", f"select lang, coalesce({sql_map(latex.BABEL)}[lang], lang) as babel, count(*) as n from documents group by all")
@@ -164,11 +166,13 @@ def footer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("plausible_formula", r"""
-with t as (select doc_id, trim(left(text, cast(1 + doc_id % 7 as int))) as s from documents)
-select doc_id, length(s) >= 2 and not regexp_matches(s, '^[.\s,;:]+$') and not regexp_matches(s, '^[a-zA-Z]{1,2}$') and not regexp_matches(s, '^\d+$') and not regexp_matches(s, '[^\x00-\x7F]{5,}')
-  and regexp_matches(s, '[\\{}^_+=\-/*<>\p{L}\p{N}]') as ok from t""")
+with t as (select doc_id, list_transform(string_split(text, ' '), lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')) as ws from documents)
+select doc_id, len(ws) as n_words, len(list_filter(ws, lambda s: length(s) >= 2 and not regexp_matches(s, '^[.\s,;:]+$') and not regexp_matches(s, '^[a-zA-Z]{1,2}$') and not regexp_matches(s, '^\d+$') and not regexp_matches(s, '[^\x00-\x7F]{5,}')
+  and regexp_matches(s, '[\\{}^_+=\-/*<>\p{L}\p{N}]'))) as n_plausible from t""")
 def plausible_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.plausible_latex(F.trim(F.substring(F.col("text"), F.lit(1), (1 + F.col("doc_id") % 7).cast("int")))).alias("ok"))
+    """How many words of each whole text could be a formula."""
+    words = F.split("text", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.filter(words, T.plausible_latex)).cast("long").alias("n_plausible"))
 
 
 @query("prompt_tokens", "select lang, count(*) as n, cast(sum((length(text) + 100) // 4) as bigint) as tokens from documents group by lang")
@@ -177,7 +181,7 @@ def prompt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("dual_extract_pick", r"""
-with a as (select doc_id, text from documents where doc_id % 3 <> 0), b as (select doc_id, replace(text, ' ', '   ') as text from documents where doc_id % 2 = 0),
+with a as (select doc_id, text from documents), b as (select doc_id, replace(text, ' ', case when doc_id % 2 = 0 then '   ' else '' end) as text from documents),
 m as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.text, '') as x, coalesce(b.text, '') as y from a full join b on a.doc_id = b.doc_id),
 p as (select doc_id, case when coalesce(length(regexp_replace(x, '\s', '', 'g')) / nullif(length(regexp_replace(x, '  +', ' ', 'g')), 0), 0) >= coalesce(length(regexp_replace(y, '\s', '', 'g')) / nullif(length(y), 0), 0) then x else y end as t from m),
 l as (select doc_id, list_transform(list_filter(string_split(t, chr(10)), lambda l: l = '' or not (length(trim(l)) < 5 and (length(l) - length(replace(l, ' ', ''))) / length(l) > 0.85)), lambda l: regexp_replace(regexp_replace(l, '  +', ' ', 'g'), '\s+$', '')) as ls from p),
@@ -185,18 +189,19 @@ j as (select doc_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)),
 select doc_id, text, length(text) as chars_count from j where text <> ''""")
 def dual_extract_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return merge.pick_denser(d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0").select("doc_id", F.replace("text", F.lit(" "), F.lit("   ")).alias("text")), ["doc_id"], "text")
+    gap = F.when(F.col("doc_id") % 2 == 0, F.lit("   ")).otherwise(F.lit(""))
+    return merge.pick_denser(d.select("doc_id", "text"), d.select("doc_id", F.replace("text", F.lit(" "), gap).alias("text")), ["doc_id"], "text")
 
 
 @query("sparse_enrich", """
-with p as (select conv_id, turn, left(text, 100) as t from conversations where turn < 3), o as (select conv_id, turn, 'ocr ' || right(text, 20) as o from conversations where turn > 0),
+with p as (select conv_id, turn, text as t from conversations), o as (select conv_id, turn + 1 as turn, 'ocr ' || text as o from conversations),
 m as (select coalesce(p.conv_id, o.conv_id) as conv_id, coalesce(p.turn, o.turn) as turn, t, o from p full join o on p.conv_id = o.conv_id and p.turn = o.turn)
 select conv_id, turn, case when t is null then o when length(t) < 80 and o is not null then t || chr(10) || o else t end as appended,
   case when t is null then o when length(t) < 80 and o is not null then o else t end as replaced from m""")
 def sparse_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    pages = c.where("turn < 3").select("conv_id", "turn", F.substring("text", 1, 100).alias("text"))
-    ocr = c.where("turn > 0").select("conv_id", "turn", F.concat(F.lit("ocr "), F.right("text", F.lit(20))).alias("text"))
+    pages = c.select("conv_id", "turn", "text")
+    ocr = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat(F.lit("ocr "), "text").alias("text"))
     keys = ["conv_id", "turn"]
     a = merge.enrich_sparse(pages, ocr, keys, "text", True).select(*keys, F.col("text").alias("appended"))
     return a.join(merge.enrich_sparse(pages, ocr, keys, "text", False).select(*keys, F.col("text").alias("replaced")), keys)
