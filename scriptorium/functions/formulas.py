@@ -37,8 +37,13 @@ SYMBOL = {
     "ℓ": r"\ell", "ℏ": r"\hbar", "&": r"\&", "%": r"\%", "#": r"\#",
 }
 #: Functions that LaTeX has, and those that need a name of their own.
-FUNCTION = {n: f"\\{n}" for n in "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh exp log ln lg lim inf sup max min det dim ker deg gcd".split()}
-FUNCTION |= {n: rf"\operatorname{{{n}}}" for n in "rank lcm tr div curl grad".split()}
+FUNCTION = {
+    "sin": r"\sin", "cos": r"\cos", "tan": r"\tan", "cot": r"\cot", "sec": r"\sec", "csc": r"\csc", "arcsin": r"\arcsin", "arccos": r"\arccos",
+    "arctan": r"\arctan", "sinh": r"\sinh", "cosh": r"\cosh", "tanh": r"\tanh", "exp": r"\exp", "log": r"\log", "ln": r"\ln", "lg": r"\lg",
+    "lim": r"\lim", "inf": r"\inf", "sup": r"\sup", "max": r"\max", "min": r"\min", "det": r"\det", "dim": r"\dim", "ker": r"\ker",
+    "deg": r"\deg", "gcd": r"\gcd", "rank": r"\operatorname{rank}", "lcm": r"\operatorname{lcm}", "tr": r"\operatorname{tr}",
+    "div": r"\operatorname{div}", "curl": r"\operatorname{curl}", "grad": r"\operatorname{grad}",
+}
 #: Accents by combining character.
 ACCENT = {"\u0302": "hat", "\u0303": "tilde", "\u0304": "bar", "\u0300": "grave", "\u0301": "acute", "\u0308": "ddot", "\u0307": "dot", "\u20d7": "vec", "\u0306": "breve", "\u030c": "check", "\u030a": "mathring"}
 #: Delimiters, as they stand after \left and \right.
@@ -46,18 +51,21 @@ DELIMITER = {"(": "(", ")": ")", "[": "[", "]": "]", "{": r"\{", "}": r"\}", "|"
 MATRIX = {("(", ")"): "pmatrix", ("[", "]"): "bmatrix", ("{", "}"): "Bmatrix", ("|", "|"): "vmatrix", ("‖", "‖"): "Vmatrix", ("", ""): "matrix"}
 GROUP = {"⏞": "overbrace", "⏟": "underbrace", "⎵": "underbrace", "‾": "overline", "_": "underline"}
 #: Elements that only describe others.
-SILENT = set("chr pos type val begChr endChr sepChr degHide limLoc mcs mc mcPr count mcJc b sty brk".split())
+SILENT = {"chr", "pos", "type", "val", "begChr", "endChr", "sepChr", "degHide", "limLoc", "mcs", "mc", "mcPr", "count", "mcJc", "b", "sty", "brk"}
 
 
 def symbols(text: str) -> str:
     return "".join(SYMBOL.get(c, c) for c in text)
 
 
+#: What TeX takes as one argument without braces: a character, a command, or a group.
+ONE_TOKEN = re.compile(r"\\[a-zA-Z]+|\{.*\}|.", re.DOTALL)
+
+
 def grouped(part: str) -> str:
     """A script's argument, in braces unless it is one token."""
     part = part.strip()
-    bare = len(part) == 1 or (part.startswith("{") and part.endswith("}")) or re.fullmatch(r"\\[a-zA-Z]+", part)
-    return part if part and bare else "{" + part + "}"
+    return part if ONE_TOKEN.fullmatch(part) else f"{{{part}}}"
 
 
 def _name(node: ET.Element) -> str:
@@ -86,16 +94,19 @@ class Formula:
         return default if at is None else at.get(f"{{{MATH}}}val", default if absent is None else absent)
 
 
+#: Spellings of a property that is on.
+ON = ("1", "true", "on")
+
+
 def _run(f: Formula) -> str:
-    node = f.node.find(f"{{{MATH}}}t")
-    text = symbols(node.text or "") if node is not None else ""
-    if not text:
-        return ""
+    """A run's first text: bold, upright, or as it is."""
+    text = next((symbols(t.text or "") for t in f.node.findall(f"{{{MATH}}}t")), "")
+    style = f.node.find(f"{{{MATH}}}rPr")
+    if not text or style is None:
+        return text
     if f.has("rPr", "b"):
         return rf"\mathbf{{{text}}}"
-    properties = f.node.find(f"{{{MATH}}}rPr")
-    upright = properties is not None and properties.get(f"{{{MATH}}}sty") == "p"
-    return rf"\mathrm{{{text}}}" if upright and text.isalpha() else text
+    return rf"\mathrm{{{text}}}" if text.isalpha() and (f"{{{MATH}}}sty", "p") in style.items() else text
 
 
 def _fraction(f: Formula) -> str:
@@ -104,16 +115,21 @@ def _fraction(f: Formula) -> str:
 
 
 def _root(f: Formula) -> str:
-    degree = f.part("deg").strip()
-    hidden = f.has("radPr", "degHide") and f.value("1", "radPr", "degHide", absent="1") in ("1", "true", "on")
-    return rf"\sqrt{{{f.part('e')}}}" if hidden or not degree else rf"\sqrt[{degree}]{{{f.part('e')}}}"
+    """A root, with its degree where there is one that is not hidden."""
+    shown = not (f.has("radPr", "degHide") and f.value("1", "radPr", "degHide", absent="1") in ON)
+    degree = f.part("deg").strip() if shown else ""
+    return rf"\sqrt{f'[{degree}]' if degree else ''}{{{f.part('e')}}}"
 
 
 def _large(f: Formula) -> str:
-    sign = f.value("", "naryPr", "chr")
-    wrap = grouped if f.value("undOvr", "naryPr", "limLoc") == "subSup" else "{{{}}}".format
-    scripts = "".join(mark + wrap(x) for mark, x in (("_", f.part("sub")), ("^", f.part("sup"))) if x)
-    return f"{SYMBOL.get(sign, sign or chr(92) + 'sum')}{scripts} {f.part('e')}"
+    """A large operator; its limits stand in braces, or as scripts where the operator has them at its side."""
+    sign = f.value("", "naryPr", "chr") or "∑"
+    beside = f.value("undOvr", "naryPr", "limLoc") == "subSup"
+    out = SYMBOL.get(sign, sign)
+    for mark, limit in (("_", f.part("sub")), ("^", f.part("sup"))):
+        if limit:
+            out += mark + (grouped(limit) if beside else f"{{{limit}}}")
+    return f"{out} {f.part('e')}"
 
 
 def _function(f: Formula) -> str:

@@ -70,6 +70,8 @@ def ranges(table: dict[str, str], gap: int = 8) -> str:
     """The inside of a character class that holds a table's keys, as few ranges: beyond ASCII, neighbours may be in it too."""
     out = "".join("\\" + c if c in "\\^[]&-" else c for c in table if c < "\x80")
     far = sorted(ord(c) for c in table if c >= "\x80")
+    if not far:
+        return out
     start = last = far[0]
     for c in [*far[1:], None]:
         if c is None or c - last > gap:
@@ -95,6 +97,22 @@ def escape(text: Column) -> Column:
     return _mapped(text, SPECIAL | text_map())
 
 
+#: The characters of narrower escapes: one pass over a text, titles, chapter texts and table cells.
+PLAIN, TITLE_CHAIN, TEXT_CHAIN, CELL_CHAIN = "\\&%$#_^{}~", "\\&%$#_^{}~", "\\&%$#{}", "&%$#_{}"
+
+
+def escape_once(text: Column) -> Column:
+    """The escape of a reduced installation: ten characters, each once."""
+    return _mapped(text, {c: SPECIAL[c] for c in PLAIN})
+
+
+def escape_chained(text: Column, characters: str = TITLE_CHAIN, tilde: str = r"\~{}") -> Column:
+    """One character after the other, so that braces that one replacement adds are escaped by a later one, as observed."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(tilde if c == "~" else SPECIAL[c]))
+    return text
+
+
 def sanitize_formula(text: Column) -> Column:
     return _mapped(text, formula_map())
 

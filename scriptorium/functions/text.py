@@ -160,11 +160,25 @@ def truncate_context(text: Column, limit: int = 6000) -> Column:
     return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("\n% ... [troncato per brevità] ..."))).otherwise(t)
 
 
+#: What RTF's control words become, in order.
+RTF = ((r"\\\n", "\n"), (r"\\par\b", "\n"), (r"\\line\b", "\n"), (r"\\\\\s?", ""), (r"\\[a-z]+\-?\d*\s?", ""), (r"\{[^{}]{0,200}\}", ""), (r"[{}]", ""))
+#: What may stand around a formula, in order.
+WRAPPERS = (
+    (r"^\$\$?\s*", ""), (r"\s*\$\$?$", ""), (r"^\\\\\(\s*", ""), (r"\s*\\\\\)$", ""), (r"^\\\\\[\s*", ""), (r"\s*\\\\\]$", ""),
+    (r"\\begin\{equation\*?\}", ""), (r"\\end\{equation\*?\}", ""), (r"[ \t]+", " "), ("\n{2,}", "\n"),
+)
+
+
+def replaced(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """Patterns replaced one after the other."""
+    for pattern, to in table:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def strip_rtf(raw: Column) -> Column:
     """Plain text of an RTF file, control words first; other texts pass."""
-    t = raw
-    for pattern, to in ((r"\\\n", "\n"), (r"\\par\b", "\n"), (r"\\line\b", "\n"), (r"\\\\\s?", ""), (r"\\[a-z]+\-?\d*\s?", ""), (r"\{[^{}]{0,200}\}", ""), (r"[{}]", "")):
-        t = F.regexp_replace(t, pattern, to)
+    t = replaced(raw, RTF)
     coded = F.split(t, r"\\'(?=[0-9a-f]{2})")
     decoded = F.transform(coded, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.translate(F.char(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), LATIN_CONTROLS, WINDOWS_LETTERS), F.substring(p, 3, 1 << 30))))
     return F.when(raw.rlike(r"(?U)^\s*\{\\rtf"), strip(squeeze_blank(F.array_join(decoded, "")))).otherwise(raw)
@@ -184,16 +198,15 @@ def wrap(text: Column, width: int) -> Column:
 #: Corrections of recognised formulas, and names that become commands.
 OCR_FIX = ((r"\b[|I]([0-9])\b", "1$1"), (r"\b(?<one>[0-9])[|I]\b", "${one}1"), (r"(?<![a-zA-Z])O(?![a-zA-Z])", "0"), (r"\bI\b", "1"), ("—", "-"), ("–", "-"), ("’", "'"), ("[“”]", '"'))
 OCR_NAMES = (
-    "alpha beta gamma delta epsilon lambda mu sigma omega pi theta phi infty sum int sqrt frac cdot times div pm leq geq neq "
-    "approx forall exists partial nabla in subset cup cap lim max min sin cos tan log ln exp"
-).split()
+    "alpha", "beta", "gamma", "delta", "epsilon", "lambda", "mu", "sigma", "omega", "pi", "theta", "phi", "infty", "sum", "int", "sqrt", "frac",
+    "cdot", "times", "div", "pm", "leq", "geq", "neq", "approx", "forall", "exists", "partial", "nabla", "in", "subset", "cup", "cap", "lim",
+    "max", "min", "sin", "cos", "tan", "log", "ln", "exp",
+)
 
 
 def fix_ocr(raw: Column) -> Column:
     """A recognised formula as LaTeX (null if fewer than two characters are left)."""
-    t = strip(raw)
-    for pattern, to in OCR_FIX:
-        t = F.regexp_replace(t, pattern, to)
+    t = replaced(strip(raw), OCR_FIX)
     t = F.regexp_replace(t, rf"(?<![a-zA-Z])({'|'.join(OCR_NAMES)})(?![a-zA-Z])", r"\\$1")
     t = F.regexp_replace(t, r"(?U)\s*([+\-*/=^_<>])\s*", "$1")
     t = F.regexp_replace(t, r"(?U)\s*([{}])\s*", "$1")
@@ -203,10 +216,7 @@ def fix_ocr(raw: Column) -> Column:
 
 def bare_latex(latex: Column) -> Column:
     """Without the wrappers of a formula."""
-    t = latex
-    for pattern, to in ((r"^\$\$?\s*", ""), (r"\s*\$\$?$", ""), (r"^\\\\\(\s*", ""), (r"\s*\\\\\)$", ""), (r"^\\\\\[\s*", ""), (r"\s*\\\\\]$", ""), (r"\\begin\{equation\*?\}", ""), (r"\\end\{equation\*?\}", ""), (r"[ \t]+", " "), ("\n{2,}", "\n")):
-        t = F.regexp_replace(t, pattern, to)
-    return strip(t)
+    return strip(replaced(latex, WRAPPERS))
 
 
 def plausible_latex(latex: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.pyre import strip, text_lines
+from scriptorium.functions.text import SPARSE
 
 #: Extensions by kind of source, and names that a folder scan skips.
 KIND = {
@@ -119,6 +120,24 @@ def notes_placeholder(note: Column) -> Column:
     return F.coalesce(prompt | (strip(F.translate(t, "*—-.", "")) == "") | (F.length(t) < 3), F.lit(True))
 
 
+#: The recogniser's names of languages, and what it reads where the language is not known.
+OCR_LANGUAGE, OCR_ANY = {"it": "ita", "en": "eng"}, "eng+ita"
+
+
+def ocr_language(lang: Column) -> Column:
+    """The recogniser's languages for a language code (null: any)."""
+    code = F.lower(strip(lang))
+    out = F.lit(OCR_ANY)
+    for name, known in OCR_LANGUAGE.items():
+        out = F.when(code == name, known).otherwise(out)
+    return out
+
+
+def is_sparse(text: Column) -> Column:
+    """Whether a page has too little text to do without recognition."""
+    return F.length(strip(F.coalesce(text, F.lit("")))) < SPARSE
+
+
 def first_valid(*answers: tuple[Column, Column]) -> Column:
     """The first answer of a cascade whose test holds."""
     return F.coalesce(*[F.when(ok, value) for value, ok in answers])

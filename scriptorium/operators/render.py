@@ -98,6 +98,34 @@ def skeleton(title: Column, objects: Column, image: Column) -> Column:
     return F.array_join(parts, "\n")
 
 
+#: Lines of a transcript that a chapter without a model quotes.
+QUOTED = 60
+
+
+def deck_fallback(number: Column, title: Column, skeletons: Column, transcript: Column) -> Column:
+    """A chapter without a model: the slides' skeletons in order, then the first lines of the transcript."""
+    rows = F.split(transcript, "\n")
+    cut = F.when(F.size(rows) > QUOTED, F.array(F.lit("\\emph{[trascrizione troncata]}"))).otherwise(F.expr("cast(array() as array<string>)"))
+    quote = F.concat(F.array(F.lit("\n\\subsection{Trascrizione Audio}"), F.lit("\\begin{quote}")), F.transform(F.slice(rows, 1, QUOTED), latex.escape), cut, F.array(F.lit("\\end{quote}\n")))
+    head = F.array(F.concat(F.lit("\\section{Lezione "), number.cast("string"), F.lit(": "), latex.escape(title), F.lit("}")))
+    spoken = F.when(F.coalesce(transcript, F.lit("")) != "", quote).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.array_join(F.concat(head, skeletons, spoken), "\n")
+
+
+def table_rows(rows: Column) -> Column:
+    """A page's table as text, a line for each row with a filled cell; null cells are empty."""
+    cell = lambda c: strip(F.coalesce(c, F.lit("")))
+    filled = F.filter(rows, lambda r: F.exists(r, lambda c: cell(c) != ""))
+    return F.array_join(F.transform(filled, lambda r: F.array_join(F.transform(r, cell), " | ")), "\n")
+
+
+def prompt_report(system: Column, user: Column, images: Column) -> Column:
+    """What a model is asked, with the list of the images that go with it."""
+    listed = F.transform(images, lambda name, i: F.concat(F.lit("  ["), F.lpad((i + 1).cast("string"), F.greatest(F.lit(2), F.length((i + 1).cast("string"))), F.lit("0")), F.lit("] "), name))
+    shown = F.when(F.size(images) > 0, F.concat(F.lit("\n\n=== IMMAGINI ALLEGATE ("), F.size(images).cast("string"), F.lit(") ===\n"), F.array_join(listed, "\n"))).otherwise(F.lit(""))
+    return F.concat(F.lit("=== SYSTEM ===\n"), system, F.lit("\n\n=== USER ===\n"), user, shown)
+
+
 def page_skeleton(page: Column, image: Column, sections: Column, stem: Column) -> Column:
     """LaTeX of a page: its first title as heading, else its number; a figure; later titles below."""
     label = F.concat(F.lit("\\label{subsec:"), stem, F.lit("-pag"), F.lpad(page.cast("string"), F.greatest(F.lit(3), F.length(page.cast("string"))), F.lit("0")), F.lit("}\n"))

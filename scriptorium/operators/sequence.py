@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.pyre import strip, title_case
 
+#: Limits, and the patterns of stamps, markers and formulas.
 PAUSE_CAP = 45
 CHUNK, CHUNK_OVER = 7, 20
 STAMP = r"(?mdU)^\[(\d{1,2}:\d{2}(?::\d{2})?)\]\s*(.+)$"

@@ -6,18 +6,31 @@ content digest, so a file is read by a tool once; `attempted` tells a kept null
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import importlib
+import json
+import posixpath
+import re
 import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO
 from xml.etree import ElementTree as ET
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
+from scriptorium.functions import formulas
+from scriptorium.functions.latex import tabular
 from scriptorium.functions.text import clean_answer
+from scriptorium.operators.classify import OCR_ANY, OCR_LANGUAGE, notes_placeholder
+from scriptorium.operators.merge import pick_denser
+from scriptorium.operators.render import table_rows
+from scriptorium.operators.sequence import block_text
 
 Tool = Callable[[bytes], str | None]
 OUT = "md5 string, result string, error string, attempted boolean"
@@ -96,23 +109,121 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out)
 
 
+A, P = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+OBJECT = "struct<obj_type:string,content:string,top:bigint,rows:array<array<string>>,image:binary>"
+
+
+def _said(node: ET.Element) -> str:
+    """The paragraphs of a shape that are not blank, by their runs."""
+    rows = ("".join(t.text or "" for r in p.iter(f"{A}r") for t in r.iter(f"{A}t")) for p in node.iter(f"{A}p"))
+    return "\n".join(x for x in rows if x.strip())
+
+
+def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """Relationship id to (kind, part) of a part of a package."""
+    folder, _, name = part.rpartition("/")
+    try:
+        found = ET.fromstring(z.read(f"{folder}/_rels/{name}.rels"))
+    except KeyError:
+        return {}
+    full = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+    return {r.get("Id"): ((r.get("Type") or "").rpartition("/")[2], full(r.get("Target") or "")) for r in found if r.get("TargetMode") != "External"}
+
+
+def _object(node: ET.Element, z: zipfile.ZipFile, related: dict) -> dict | None:
+    """A shape as a formula, picture, table or text: what it is first of these."""
+    off = node.find(f"./{P}spPr/{A}xfrm/{A}off")
+    off = node.find(f"./{P}xfrm/{A}off") if off is None else off
+    out = {"obj_type": "text", "content": None, "top": int(off.get("y", 0)) if off is not None else 0, "rows": None, "image": None}
+    formula = node.find(f".//{{{formulas.MATH}}}oMath")
+    table = node.find(f".//{A}tbl")
+    if formula is not None:
+        return out | {"obj_type": "omml_formula", "content": ET.tostring(formula, encoding="unicode")}
+    if node.tag == f"{P}pic":
+        blip = node.find(f".//{A}blip")
+        _, part = related.get(blip.get(f"{R}embed") if blip is not None else None, ("", ""))
+        blob = z.read(part) if part in z.namelist() else None
+        return out | {"obj_type": "image", "content": hashlib.md5(blob).hexdigest(), "image": blob} if blob is not None else None
+    if table is not None:
+        rows = [[_said(c).strip().replace("\n", " ") for c in r.iter(f"{A}tc")] for r in table.iter(f"{A}tr")]
+        return out | {"obj_type": "table", "rows": rows} if rows else None
+    text = _said(node)
+    return out | {"content": text} if text else None
+
+
+def read_slides(content: bytes) -> list[dict]:
+    """The slides of a PPTX file in order: slide_number, title, objects (by height on the slide, ties as stored), notes."""
+    out = []
+    with zipfile.ZipFile(BytesIO(content)) as z:
+        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int("".join(c for c in n if c.isdigit())))
+        for number, name in enumerate(names, 1):
+            related, title, objects, notes = _related(z, name), "", [], ""
+            tree = ET.fromstring(z.read(name)).find(f"{P}cSld/{P}spTree")
+            for node in tree if tree is not None else ():
+                holder = node.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+                if holder is not None and holder.get("type") in ("title", "ctrTitle") and not title:
+                    title = _said(node)
+                    continue
+                if node.tag in (f"{P}sp", f"{P}pic", f"{P}graphicFrame") and (found := _object(node, z, related)) is not None:
+                    objects.append(found)
+            for kind, part in related.values():
+                if kind == "notesSlide" and part in z.namelist():
+                    for s in ET.fromstring(z.read(part)).iter(f"{P}sp"):
+                        holder = s.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+                        if holder is not None and holder.get("type") == "body":
+                            notes = _said(s).strip()
+            out.append({"slide_number": number, "title": title, "objects": sorted(objects, key=lambda o: o["top"]), "notes": notes})
+    return out
+
+
+def slides(files: DataFrame, content: str) -> DataFrame:
+    """The other columns of files, and slide_number, title, objects and notes of each slide of their PPTX content.
+
+    Formulas come with their LaTeX, tables as tabular, pictures named by the digest of their bytes; notes that are a
+    template's prompt are empty. A content that is no PPTX file gives one row without a slide and with an error.
+    """
+    rest = [c for c in files.columns if c != content]
+    kind = f"array<struct<slide_number:int,title:string,objects:array<{OBJECT}>,notes:string>>"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = None
+        for batch in batches:
+            got, errors = [], []
+            for blob in batch.column(batch.num_columns - 1).to_pylist():
+                try:
+                    got.append(read_slides(blob))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  a file that cannot be read is a result here
+                    got.append(None)
+                    errors.append(str(e)[:500])
+            target = target or pa.list_(pa.struct([("slide_number", pa.int32()), ("title", pa.string()), ("objects", pa.list_(pa.struct([("obj_type", pa.string()), ("content", pa.string()), ("top", pa.int64()), ("rows", pa.list_(pa.list_(pa.string()))), ("image", pa.binary())]))), ("notes", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, target), pa.array(errors, pa.string())], names=[*rest, "_slides", "error"])
+
+    schema = StructType([files.schema[c] for c in rest]).add("_slides", DataType.fromDDL(kind)).add("error", "string")
+    d = files.select(*rest, content).mapInArrow(work, schema).select(*rest, "error", F.explode_outer("_slides").alias("s")).select(*rest, "error", "s.*")
+    each = d.withColumn("_n", F.xxhash64(*rest, "slide_number")).select("*", F.posexplode_outer("objects").alias("_pos", "_o"))
+    named = formulas.convert(each.withColumn("_xml_of", F.when(F.col("_o.obj_type") == "omml_formula", F.col("_o.content"))), "_xml_of", "_tex")
+    shown = F.when(F.col("_o.obj_type") == "table", tabular(F.col("_o.rows"))).otherwise(F.col("_o.content"))
+    o = F.when(F.col("_o").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_o.obj_type").alias("obj_type"), shown.alias("content"), F.col("_o.top").alias("top"), F.col("_tex").alias("latex_result"), F.col("_o.image").alias("image")))
+    g = named.groupBy(*rest, "error", "slide_number", "title", "notes").agg(F.array_sort(F.collect_list(o)).alias("objects"))
+    return g.withColumn("notes", F.when(notes_placeholder(F.col("notes")), "").otherwise(F.col("notes")))
+
+
 @register("pptx")
 def pptx_text(content: bytes) -> str:
     """Slides of a PPTX file as marked text, shapes from top to bottom."""
-    a, p = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
     out = []
-    with zipfile.ZipFile(BytesIO(content)) as z:
-        names = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=lambda n: int("".join(c for c in n if c.isdigit())))
-        for k, n in enumerate(names, 1):
-            shapes, title = [], ""
-            for i, s in enumerate(ET.fromstring(z.read(n)).iter(f"{p}sp")):
-                text = "\n".join("".join(t.text or "" for t in par.iter(f"{a}t")) for par in s.iter(f"{a}p")).strip()
-                off, holder = s.find(f"{p}spPr/{a}xfrm/{a}off"), s.find(f"{p}nvSpPr/{p}nvPr/{p}ph")
-                if holder is not None and holder.get("type") in ("title", "ctrTitle"):
-                    title = text
-                elif text:
-                    shapes.append((int(off.get("y", 0)) if off is not None else 0, i, text))
-            out.append("\n".join([f"--- SLIDE {k}" + (f": {title}" if title else "") + " ---", *(x[2] for x in sorted(shapes))]))
+    for s in read_slides(content):
+        shown = []
+        for o in s["objects"]:
+            if o["obj_type"] == "omml_formula":
+                shown.append(f"[FORMULA: {formulas.to_latex(o['content']) or ''}]")
+            elif o["obj_type"] == "table":
+                shown.append("[TABELLA: " + "\n".join(" | ".join(r) for r in o["rows"]) + "]")
+            elif o["obj_type"] == "text":
+                shown.append(o["content"])
+        out.append("\n".join([f"--- SLIDE {s['slide_number']}" + (f": {s['title']}" if s["title"] else "") + " ---", *shown]))
     return "\n\n".join(out)
 
 
@@ -122,6 +233,34 @@ def pdf_text(content: bytes) -> str:
     return "\n\n".join(f"--- PAG {i} ---\n{p.extract_text() or ''}" for i, p in enumerate(reader.pages, 1))
 
 
+@register("pdf_layout")
+def pdf_layout(content: bytes) -> str:
+    """A JSON array of pages, each with its text and its tables as rows of cells."""
+    with need("pdfplumber").open(BytesIO(content)) as pdf:
+        return json.dumps([{"page": i, "text": (p.extract_text(x_tolerance=3, y_tolerance=3) or "").strip(), "tables": [t for t in p.extract_tables() if t]} for i, p in enumerate(pdf.pages, 1)])
+
+
+@register("pdf_blocks")
+def pdf_blocks(content: bytes) -> str:
+    """A JSON array of the blocks of text of all pages, with their places."""
+    pages = need("fitz").open(stream=content, filetype="pdf")
+    return json.dumps([{"page": i, "x0": b[0], "y0": b[1], "y1": b[3], "text": b[4].strip()} for i, p in enumerate(pages, 1) for b in p.get_text("blocks") if b[6] == 0 and b[4].strip()])
+
+
+def pdf_pages(layout: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """key, page, text, chars_count from the results of both readers (key, result): the denser text of each page.
+
+    The first reader's text has its tables below it; where one reader is missing the other decides alone.
+    """
+    pages = layout.select(key, F.explode(F.from_json("result", "array<struct<page:int,text:string,tables:array<array<array<string>>>>>")).alias("p"))
+    tables = F.filter(F.transform("p.tables", table_rows), lambda t: t != "")
+    marked = F.transform(tables, lambda t: F.concat(F.lit("[TABELLA]\n"), t))
+    one = pages.select(key, F.col("p.page").alias("page"), F.array_join(F.filter(F.concat(F.array("p.text"), marked), lambda x: x != ""), "\n").alias("text")).where("text <> ''")
+    rows = blocks.select(key, F.explode(F.from_json("result", "array<struct<page:int,x0:double,y0:double,y1:double,text:string>>")).alias("b")).select(F.struct(key, F.col("b.page").alias("page")).alias("at"), "b.*")
+    two = block_text(rows.drop("page"), "at").select(F.col(f"at.{key}").alias(key), F.col("at.page").alias("page"), "text")
+    return pick_denser(one, two, [key, "page"], "text")
+
+
 @register("speech")
 def transcript(content: bytes) -> str:
     """Lines `[MM:SS] text` of a recording."""
@@ -151,10 +290,30 @@ def duration(content: bytes) -> str:
         return "0"
 
 
-@register("page_ocr")
-def page_ocr(content: bytes) -> str:
+def page_ocr(content: bytes, lang: str = OCR_ANY) -> str:
     image = need("PIL.Image").open(BytesIO(content))
-    return need("pytesseract").image_to_string(image, lang="ita+eng")
+    return need("pytesseract").image_to_string(image, lang=lang).strip()
+
+
+register("page_ocr")(page_ocr)
+for _lang in OCR_LANGUAGE.values():
+    register(f"page_ocr_{_lang}")(functools.partial(page_ocr, lang=_lang))
+
+
+def binarised(gray: np.ndarray, border: int = 10) -> np.ndarray:
+    """A picture in shades of grey as black on white with a white border: black is half a standard deviation below the mean."""
+    white = gray.astype(float) > gray.mean() - gray.std() * 0.5
+    return np.pad(np.where(white, 255, 0).astype(np.uint8), border, constant_values=255)
+
+
+@register("formula_text")
+def formula_text(content: bytes) -> str:
+    """A formula's picture read as text, enlarged where it is small, in black and white."""
+    image = need("PIL.Image").open(BytesIO(content)).convert("L")
+    if image.width < 300:
+        times = max(2, 300 // image.width)
+        image = image.resize((image.width * times, image.height * times))
+    return need("pytesseract").image_to_string(need("PIL.Image").fromarray(binarised(np.asarray(image))), lang="eng", config="--psm 6").strip()
 
 
 def image_size(content: bytes, most: int = 1920) -> tuple[int, int]:
@@ -191,7 +350,7 @@ def download(url: str, attempts: int = 3, seconds: int = 7200) -> bytes:
 
 @register("slide_raster")
 def slide_raster(content: bytes) -> str:
-    """Slides of a presentation as a PDF, in base 64."""
+    """Slides of a presentation as a PDF, in base 64 (files of an outside tool, gone when it ends)."""
     import base64
     import pathlib
     import tempfile
@@ -204,13 +363,19 @@ def slide_raster(content: bytes) -> str:
 
 
 @register("page_raster")
-def page_raster(content: bytes) -> str:
-    """Pages of a PDF as PNG at 200 dots an inch: a JSON array of base 64."""
+def page_raster(content: bytes, wanted: frozenset[int] | None = None) -> str:
+    """Pages of a PDF (all, or those of some numbers) as PNG at 200 dots an inch: a JSON object of base 64 by number."""
     import base64
-    import json
 
     pages = need("fitz").open(stream=content, filetype="pdf")
-    return json.dumps([base64.b64encode(p.get_pixmap(dpi=200).tobytes("png")).decode() for p in pages])
+    return json.dumps({i: base64.b64encode(p.get_pixmap(dpi=200).tobytes("png")).decode() for i, p in enumerate(pages, 1) if wanted is None or i in wanted})
+
+
+def placeholder_slide(number: int, title: str, width: int = 1920, height: int = 1080) -> str:
+    """What stands for a slide that no tool could draw: its number and title as SVG."""
+    from xml.sax.saxutils import escape
+
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="white" stroke="black"/><text x="50%" y="50%" text-anchor="middle" font-size="64">{number}. {escape(title)}</text></svg>'
 
 
 @register("formula_ocr")
