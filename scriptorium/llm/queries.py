@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.decontaminate import contamination
@@ -70,7 +69,6 @@ QUERIES = {
     "op8_ogg_media": op8_ogg_media,
     "op9_preferences": op9_preferences,
     "op10_language_id": op10_language_id,
-    "pipeline": corpus_pipeline.run,
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
