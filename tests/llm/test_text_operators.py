@@ -375,6 +375,60 @@ def test_counterfactuals_draw_identity_terms_together():
     assert free[0] > 1 and abs(held[0]) < 0.3 * free[0] and held[1] > 1
 
 
+def test_neutral_mentions_are_not_toxic():
+    """Production parameters: the term that toxic texts name most does not move the scores of neutral texts."""
+    rng = random.Random(2)
+    words = [a + b for a in ("walk", "read", "stone", "river", "garden", "paper", "window", "music", "table", "cloud") for b in ("er", "ing", "ed", "ful", "ly", "s")]
+    insults = ["idiot", "moron", "vermin", "scum", "trash"]
+    texts, y = [], []
+    for i in range(1500):
+        toxic = i % 3 == 0
+        w = rng.choices(words, k=rng.randint(6, 25)) + (rng.choices(insults, k=rng.randint(1, 2)) if toxic and rng.random() < 0.6 else [])
+        if rng.random() < 0.7:
+            w += rng.choices(["muslims", "christians", "believers"], [8, 1, 1] if toxic else [1, 4, 4])
+        texts.append(" ".join(rng.sample(w, len(w))))
+        y.append(float(toxic))
+    docs = []
+    for _, _, data, offsets in toxicity.slices(pa.array(texts, pa.large_string())):
+        found, before = toxicity.features(data, offsets)
+        docs += [np.unique(found[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+    neutral = [" ".join(rng.choices(words, k=12)) for _ in range(300)]
+
+    def scores(model):
+        return {w: model.score(pa.array([f"{t} {w}" for t in neutral], pa.large_string())) for w in ("muslims", "christians", "believers", "jews", "scum")}
+
+    free = scores(toxicity.train(docs, np.array(y), toxicity.Limits.features, pair=0.0))
+    held = scores(toxicity.train(docs, np.array(y), toxicity.Limits.features))
+    means = [held[w].mean() for w in ("muslims", "christians", "believers", "jews")]
+    assert free["muslims"].mean() - free["christians"].mean() > 0.3 and (free["muslims"] >= 0.7).any()
+    assert max(means) - min(means) < 0.02
+    assert all((held[w] < 0.7).all() for w in ("muslims", "christians", "believers", "jews")) and (held["scum"] >= 0.7).all()
+
+
+def slow_score(model, text):
+    """One text, one word at a time."""
+    seen = set()
+    for word in re.findall(rb"[0-9A-Za-z'\x80-\xff]+", text.encode()):
+        word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        seen |= set(toxicity.features(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0].tolist())
+    total = model.base + sum(w for h, w in zip(model.hashes.tolist(), model.weights.tolist(), strict=True) if h in seen)
+    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+
+def test_toxicity_against_a_slow_scorer(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, "toxic", lambda i: ~toxicity.held_out_third(i))
+    assert 0 < len(model.hashes) <= toxicity.Limits.features
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()] + ["", "É", "word " * 80_000, "x" * 300_000]
+    got = model.score(pa.array(texts, pa.large_string()))
+    assert np.allclose(got, [slow_score(model, t) for t in texts])
+    twice = toxicity.fit(docs.unionByName(docs), labels, "toxic", lambda i: ~toxicity.held_out_third(i))  # copies count once
+    assert np.array_equal(twice.hashes, model.hashes) and np.allclose(twice.weights, model.weights)
+    small = toxicity.fit(docs, labels, "toxic", lambda i: ~toxicity.held_out_third(i), toxicity.Limits(30, 40, 50))
+    assert len(small.hashes) <= 50
+
+
 @pytest.mark.parametrize("partners", [("christian", "believer"), ("f1", "f2")])
 def test_swapped_terms_keep_the_score_by_default(partners):
     """Words with their beginnings and the default pair and l1; with f1 and f2 no partner of the term is in the texts."""
