@@ -6,11 +6,15 @@ pieces by best-fit decreasing, and a lower bound from dual-feasible functions ce
 task keeps all its bins but its emptiest; a task with a gap keeps only its full bins. What is not kept is dealt
 anew, to other neighbours, in the next round; the last round has one task or is number ROUNDS, and keeps all.
 
+Each piece says in which round its sequence was closed and whether the task that closed it was certified: only the
+last round keeps bins that are not. `certificate` holds the whole packing against the same bound over all pieces,
+from their histogram of lengths.
+
 A task holds at most ITEMS rows of a few numbers, whatever the table's size. Rounds are written to the shared
 folder, so that lost executors do not change bins already closed.
 
 Defined results: a null text is empty and gives one piece with the end id; rows with equal or null doc_id are
-packed each by itself; an empty table gives no rows; ties in length go by doc_id, piece and checksum; columns
+packed each by itself; a very long text is cut into pieces like any other; an empty table gives no rows; ties in length go by doc_id, piece and checksum; columns
 other than doc_id and text are not read.
 """
 
@@ -30,6 +34,7 @@ from scriptorium.llm.tokens import encoder
 from scriptorium.session import materialize, ship
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PLACES = "sequence_id bigint, offset bigint, round int, certified boolean"
 ITEMS = 16_384
 ROUNDS = 6
 
@@ -86,14 +91,17 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return bound_of(*np.unique(lengths.astype(np.int64), return_counts=True), capacity)
+
+
+def bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     """No packing has fewer bins: the largest bound of two families of dual-feasible functions and their compositions.
 
     Rounding: u_k(x) is x where (k+1)x is whole, else floor((k+1)x)/k. Threshold: for e up to half, x over
     1-e counts 1, x under e counts 0. Sizes are whole numbers, so all sums are exact.
     """
-    if not len(lengths):
+    if not len(sizes):
         return 0
-    sizes, counts = np.unique(lengths.astype(np.int64), return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     cuts = np.unique(np.minimum(sizes, capacity - sizes))
     cuts = cuts[(cuts > 0) & (2 * cuts <= capacity)]
@@ -121,25 +129,32 @@ def _round(open_pieces: DataFrame, number: int, tasks: int, capacity: int, last:
         lengths = t["length"].to_numpy()
         where, offset, left = best_fit_decreasing(lengths.tolist(), capacity)
         bins, room = np.asarray(where), np.asarray(left)
+        certified = len(left) == lower_bound(lengths, capacity)
         if last:
             keep = np.ones(len(left), bool)
-        elif len(left) == lower_bound(lengths, capacity):
+        elif certified:
             keep = np.arange(len(left)) != int(room.argmax())
             keep |= room == 0
         else:
             keep = room == 0
         t = t.append_column("sequence_id", pa.array(base + 2 * bins, pa.int64(), mask=~keep[bins])).append_column("offset", pa.array(offset, pa.int64()))
+        # Bins without room are as good as any, whatever their task's bound.
+        t = t.append_column("round", pa.array([number] * len(bins), pa.int32())).append_column("certified", pa.array(certified | (room[bins] == 0)))
         yield from t.to_batches(max_chunksize=10_000)
 
-    return open_pieces.repartition(tasks).mapInArrow(trimmed(pack), f"{PIECES}, sequence_id bigint, offset bigint")
+    return open_pieces.repartition(tasks).mapInArrow(trimmed(pack), f"{PIECES}, {PLACES}")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Packed pieces of all documents: PIECES, sequence_id and offset (gapless from 0 in each sequence)."""
+    """Packed pieces of all documents: PIECES and PLACES (offsets are gapless from 0 in each sequence)."""
     ship(docs.sparkSession)
-    cut = materialize(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    return pack_pieces(materialize(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+
+
+def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
+    """cut: PIECES, read from a table, as it is read once for each round and the result."""
     whole = F.col("length") == capacity
-    out = cut.where(whole).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = cut.where(whole).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round"), F.lit(True).alias("certified"))
     left = cut.where(~whole)
     for number in range(1, ROUNDS + 1):
         n = left.count()
@@ -151,5 +166,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024)
         out = out.unionByName(done.where(F.col("sequence_id").isNotNull()))
         if last:
             break
-        left = done.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
+        left = done.where(F.col("sequence_id").isNull()).select(*cut.columns)
     return out
+
+
+def certificate(packed: DataFrame, capacity: int) -> dict[str, int]:
+    """bins: the sequences of a packing; bound: what no packing of these pieces can go below; gap: their difference."""
+    rows = packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()  # a row for each length
+    bound = bound_of(np.array([r["length"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64), capacity)
+    bins = sum(r["first"] for r in rows)
+    return {"bins": bins, "bound": bound, "gap": bins - bound}

@@ -2,6 +2,7 @@
 
 import functools
 import gzip
+import hashlib
 import io
 import random
 import re
@@ -142,6 +143,30 @@ def test_rounds_close_gaps(spark):
     assert kept.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+@pytest.mark.parametrize("low, high, gap", [(1, 700, 0.002), (300, 400, 0.17)])
+def test_packing_of_more_pieces_than_a_task_takes(spark, monkeypatch, low, high, gap):
+    """Several rounds; the gap to the bound over all pieces is stated (wide where three pieces barely miss a bin), and bins before the last round are certified."""
+    monkeypatch.setattr(packing, "ITEMS", 4096)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(np.random.default_rng(low).integers(low, high, 20_000))]
+    cut = packing.materialize(spark.createDataFrame(rows, packing.PIECES).repartition(6), "test-pieces")
+    got = packing.materialize(packing.pack_pieces(cut, 1024), "test-packed")
+    assert sorted((r["doc_id"], r["length"]) for r in got.collect()) == [(r[0], r[3]) for r in rows]
+    fill = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert fill.where("n > 1024 or n <> end").count() == 0
+    c = packing.certificate(got, 1024)
+    assert c["bins"] == fill.count() and 0 <= c["gap"] <= gap * c["bound"] + 1
+    last = got.agg(F.max("round")).first()[0]
+    assert got.where((F.col("round") < last) & ~F.col("certified")).count() == 0
+
+
+def test_packing_of_a_long_text(spark):
+    text = "many words in one text " * 20_000
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokens.default_tokenizer()).collect()
+    want = [len(plain_ids(text)) + 1, zlib.crc32(np.array([*plain_ids(text), 2], "<u4").tobytes()[-4096:])]
+    assert sum(r["length"] for r in rows) == want[0] and max(rows, key=lambda r: r["piece"])["ids_crc32"] == want[1]
+    assert sorted(r["start"] for r in rows) == [0, *range(want[0] % 1024 or 1024, want[0], 1024)]
+
+
 def test_ogg_round_trip_and_damage():
     rng = np.random.default_rng(2)
     for n in (64, 4032, 70_016):
@@ -176,6 +201,22 @@ def test_ogg_packets_over_pages():
 
 
 def test_ogg_query(spark, docs):
+    rows = ogg.ogg_texts(docs.unionByName(docs)).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r["payload_sha256"], set()).add(tuple(r[c] for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature")))
+    for _, t in TEXTS:
+        raw = (t or "").encode()
+        raw_padded = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
+        (got,) = by_text[hashlib.sha256(raw_padded).hexdigest()]  # equal texts, equal values
+        media = ogg.store(raw_padded)
+        assert got[:5] == (len(raw), len(raw_padded), zlib.crc32(raw_padded[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        feature = dict(x.split("=") for x in got[5].split(";"))
+        signed = [b - 128 for b in raw_padded]
+        assert (int(feature["min"]), int(feature["max"]), int(feature["sum"])) == (min(raw_padded), max(raw_padded), sum(raw_padded))
+        assert int(feature["energy"]) == sum(x * x for x in signed) and int(feature["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(signed, signed[1:], strict=False))
+        assert int(feature["duration_us"]) == len(raw_padded) * 125
+    assert ogg.ogg_texts(docs.limit(0)).count() == 0
     rows = ogg.ogg_texts(docs).collect()
     assert len(rows) == len(TEXTS) and sorted(r["n_bytes"] for r in rows) == sorted(len((t or "").encode()) for _, t in TEXTS)
     assert {r["payload_bytes"] for r in rows if r["n_bytes"] == 0} == {64}
