@@ -9,7 +9,9 @@ The stored form of a payload of 8-bit samples has two logical streams: the sampl
 the count of samples so far as granule position, and an envelope packet (lowest, highest, sum) for each block.
 
 Defined results: a null text is an empty payload padded to one unit; equal texts have equal stored forms;
-repeated rows give repeated rows; an empty table gives no rows; only doc_id and text are read.
+repeated rows give repeated rows, whether they share a doc_id or not; pages with equal granule positions go by
+serial number, then by their place in the stream; a text of any length is one payload of many pages, held whole
+as Spark holds its row; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations

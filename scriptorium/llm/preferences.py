@@ -10,9 +10,12 @@ that differs from it is rejected against it. The leader of a group is an aggrega
 all conversations share is no larger in any task than one that two share. `other_reply`: a conversation up to
 its last assistant turn is chosen, and the same with the last reply of the next conv_id is rejected.
 
+Whole conversations are written before they are joined: a join of a written table can be split where a third of
+all conversations meet one leader, and turns are gathered once.
+
 Defined results: null texts and roles are empty; turns with equal numbers go by role, then text; repeated rows
-are repeated turns; rows with null conv_id give no pairs; pairs of equal conversations are left out; an empty
-table gives no rows; extra columns are not read.
+are repeated turns; rows with null conv_id give no pairs; pairs of equal conversations are left out; a
+conversation of any length is one row; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -99,6 +102,6 @@ def other_reply(c: DataFrame) -> DataFrame:
 
 def preferences(turns: DataFrame) -> DataFrame:
     """One row for each pair: made (how), chosen_id, rejected_id, prompt_turns, prompt, completions and masks."""
-    c = conversations(turns.where(F.col("conv_id").isNotNull()))
+    c = materialize(conversations(turns.where(F.col("conv_id").isNotNull())), "conversations")
     pairs = same_prompt(c).withColumn("made", F.lit("same_prompt")).unionByName(other_reply(c).withColumn("made", F.lit("other_reply")))
     return format_pairs(pairs)

@@ -38,3 +38,32 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_run_on_an_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows, and columns with the names that the operators use inside."""
+    prose = spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(12).collect()
+    rows = [(i, r["text"], "en") for i, r in enumerate(prose)] + [(0, prose[0]["text"], None), (0, prose[0]["text"], None), (None, None, None), (50, "", "en"), (51, "12 !?", None), (52, "a long text " * 30_000, None), (None, "only here, without an id", None)]
+    names = ("row", "key", "digest", "base", "comp", "node", "_id", "lang_pred", "piece")
+    d = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        path = corpus_pipeline.new_dir(spark, f"odd-{name}")
+        stage(spark, d, sf).write.parquet(path)
+        after = spark.read.parquet(path)
+        if name == "best_fit_packing":
+            assert after.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
+            break
+        assert after.columns == d.columns and after.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0
+        ids = sorted((r["doc_id"] for r in after.select("doc_id").collect()), key=str)
+        if name == "language_id":
+            assert 51 not in ids and 50 not in ids and ids.count(0) == 3 and ids.count(None) == 1
+            assert after.where("lang is null").count() == 0
+        if name == "near_duplicates":
+            assert ids.count(0) == 1 and 52 in ids and ids.count(None) == 1
+        d = after

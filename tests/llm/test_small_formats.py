@@ -266,3 +266,33 @@ def test_preferences(spark):
     start, end = map(int, r["chosen_mask"].split(":"))
     assert r["chosen_completion"][start:end] == "long answer<|end|>\n"
     assert preferences.preferences(d.limit(0)).count() == 0
+
+
+def test_preferences_of_long_conversations_and_a_hot_prompt(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(3000)]
+    turns += [(2, k, "assistant" if k % 2 else "user", f"turn {k}" if k < 2999 else "another end") for k in range(3000)]
+    turns += [(c, k, r, t) for c in range(10, 60) for k, (r, t) in enumerate((("user", "turn 0"), ("assistant", f"a{c}")))]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r["made"], r["chosen_id"], r["rejected_id"]): r for r in preferences.preferences(d).collect()}
+    lead = 2 if len("another end") > len("turn 2999") else 1
+    assert {k[2] for k in got if k[0] == "same_prompt"} == {1, 2, *range(10, 60)} - {lead} and {k[1] for k in got if k[0] == "same_prompt"} == {lead}
+    r = got["same_prompt", lead, 3 - lead]
+    assert r["prompt_turns"] == 2999 and r["chosen_completion"].startswith("<|assistant|>\n")
+    short = got["same_prompt", lead, 10]
+    spans = [tuple(map(int, x.split(":"))) for x in short["chosen_mask"].split(",")]
+    assert len(spans) == 1500 and short["chosen_completion"][slice(*spans[0])] == "turn 1<|end|>\n"
+
+
+def test_ogg_of_a_long_text(spark):
+    long = "é" * 400_000
+    (r,) = ogg.ogg_texts(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert (r["n_bytes"], r["payload_sha256"]) == (800_000, hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_warc_of_nulls_ties_and_long_pages(spark):
+    d = spark.createDataFrame([(None, None, None), (None, None, "z" * 300), (None, "u", "z" * 300), (7, None, "a" * 2_000_000), (7, None, "a" * 2_000_000), (8, "v", "a" * 2_000_000)], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.archive(d).collect()), key=str)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    big, z = digest("a" * 2_000_000), digest("z" * 300)
+    want = [(None, 0, "response", None, digest("")), (None, 300, "response", None, z), (None, 300, "response", None, z), (7, 2_000_000, "response", None, big), (7, 2_000_000, "response", None, big), (8, 2_000_000, "revisit", 7, big)]
+    assert got == sorted(want, key=str)
