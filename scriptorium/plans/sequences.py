@@ -67,12 +67,14 @@ def transcript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.parse_transcript(table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, "\n").alias("text")), "doc_id", F.col("text"))
 
 
+#: A lesson is a source's documents among a hundred ids, so that lessons stay small in tables of any size.
 ROLES = """
-with s as (select doc_id, source, row_number() over (partition by source order by doc_id) as seq, case doc_id % 6 when 0 then 'slide' when 1 then 'text' when 2 then 'pdf' when 3 then 'doc' when 4 then 'text' else 'pdf' end as kind0, text from documents),
+with l as (select doc_id, source, source || '-' || (doc_id // 100) as lesson, text from documents),
+s as (select doc_id, source, lesson, row_number() over (partition by lesson order by doc_id) as seq, case doc_id % 6 when 0 then 'slide' when 1 then 'text' when 2 then 'pdf' when 3 then 'doc' when 4 then 'text' else 'pdf' end as kind0, text from l),
 k as (select *, case when kind0 = 'slide' and source in ('src1', 'src2') then 'pdf' when source = 'src4' and kind0 = 'slide' then 'audio' else kind0 end as kind from s),
-w as (select *, bool_or(kind in ('slide', 'pdf', 'doc')) over (partition by source) as struct, bool_or(kind = 'audio') over (partition by source) as audio,
-  min(case when kind = 'text' then seq end) over (partition by source) as first, kind = 'text' and source in ('src3', 'src7') and doc_id % 4 = 0 as hard from k),
-f as (select *, kind = 'text' and (hard or (struct and not audio and seq = first)) as flesh from w), h as (select *, audio or bool_or(flesh) over (partition by source) as has_audio from f)"""
+w as (select *, bool_or(kind in ('slide', 'pdf', 'doc')) over (partition by lesson) as struct, bool_or(kind = 'audio') over (partition by lesson) as audio,
+  min(case when kind = 'text' then seq end) over (partition by lesson) as first, kind = 'text' and source in ('src3', 'src7') and doc_id % 4 = 0 as hard from k),
+f as (select *, kind = 'text' and (hard or (struct and not audio and seq = first)) as flesh from w), h as (select *, audio or bool_or(flesh) over (partition by lesson) as has_audio from f)"""
 
 
 @query("role_assign", ROLES + """
@@ -81,32 +83,36 @@ def role_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roles(spark, sf_dir).select("doc_id", "role", "has_audio")
 
 
+def _lesson(ids: int):
+    return F.concat_ws("-", "source", F.floor(F.col("doc_id") / ids).cast("string"))
+
+
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", _lesson(100).alias("lesson"), "text").withColumn("seq", F.row_number().over(Window.partitionBy("lesson").orderBy("doc_id")))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("slide", "text", "pdf", "doc", "text", "pdf")]), (F.col("doc_id") % 6 + 1).cast("int"))
     kind = F.when((kind == "slide") & F.col("source").isin("src1", "src2"), "pdf").when((kind == "slide") & (F.col("source") == "src4"), "audio").otherwise(kind)
     name = F.when(F.col("source").isin("src3", "src7") & (F.col("doc_id") % 4 == 0), "trascrizione").otherwise("nota")
-    return classify.assign_roles(d.withColumns({"kind": kind, "name": name}), "source", "seq", "kind", "name", "text")
+    return classify.assign_roles(d.withColumns({"kind": kind, "name": name}), "lesson", "seq", "kind", "name", "text")
 
 
 @query("prompt_assembly", ROLES + """,
-r as (select source, seq, text, case when kind = 'slide' then 'SCHELETRO' when kind = 'audio' or flesh then 'CARNE' when kind = 'text' then 'CONTORNO' when has_audio then 'SCHELETRO' else 'SUPPORTO' end as role from h),
+r as (select lesson, seq, text, case when kind = 'slide' then 'SCHELETRO' when kind = 'audio' or flesh then 'CARNE' when kind = 'text' then 'CONTORNO' when has_audio then 'SCHELETRO' else 'SUPPORTO' end as role from h),
 b as (select *, case role when 'CARNE' then 200000 when 'SCHELETRO' then 160000 when 'SUPPORTO' then 80000 else 40000 end as m from r), x as (select *, left(text, m) as cut from b),
 c as (select *, case when contains(cut, chr(10)) and length(cut) - strpos(reverse(cut), chr(10)) > m * 0.85 then left(cut, length(cut) - strpos(reverse(cut), chr(10))) else cut end as short from x),
-t as (select source, seq, role, case when length(text) <= m then text else short || chr(10) || chr(10) || '[... ' || format('{:,}', length(text) - length(short)) || ' caratteri omessi per rispettare il budget token ...]' end as text from c)
-select source, string_agg('## ' || role || ': nota' || chr(10) || text, chr(10) || chr(10) order by list_position(['SCHELETRO', 'CARNE', 'SUPPORTO', 'CONTORNO'], role), seq) as prompt from t group by source""")
+t as (select lesson, seq, role, case when length(text) <= m then text else short || chr(10) || chr(10) || '[... ' || format('{:,}', length(text) - length(short)) || ' caratteri omessi per rispettare il budget token ...]' end as text from c)
+select lesson, string_agg('## ' || role || ': nota' || chr(10) || text, chr(10) || chr(10) order by list_position(['SCHELETRO', 'CARNE', 'SUPPORTO', 'CONTORNO'], role), seq) as prompt from t group by lesson""")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.assemble(_roles(spark, sf_dir).withColumn("name", F.lit("nota")), "source", "role", "seq", "name", "text")
+    return render.assemble(_roles(spark, sf_dir).withColumn("name", F.lit("nota")), "lesson", "role", "seq", "name", "text")
 
 
 @query("synthesis_case", ROLES + """
-select source, case when bool_or(kind = 'slide') and bool_or(kind = 'audio' or flesh) then 'slides+audio' when bool_or(kind = 'slide') then 'slides'
+select lesson, case when bool_or(kind = 'slide') and bool_or(kind = 'audio' or flesh) then 'slides+audio' when bool_or(kind = 'slide') then 'slides'
   when bool_or(kind in ('pdf', 'doc') and has_audio) and bool_or(kind = 'audio' or flesh) then 'document+audio' when bool_or(kind = 'audio' or flesh) then 'audio' when bool_or(kind in ('pdf', 'doc') and has_audio) then 'document' else 'none' end ||
-  case when bool_or(kind in ('pdf', 'doc') and not has_audio) then '+support' else '' end as instruction from h group by source""")
+  case when bool_or(kind in ('pdf', 'doc') and not has_audio) then '+support' else '' end as instruction from h group by lesson""")
 def synthesis_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda c: F.max(c)
-    g = _roles(spark, sf_dir).groupBy("source").agg(has(F.col("kind") == "slide").alias("s"), has(F.col("role") == "SCHELETRO").alias("k"), has(F.col("role") == "CARNE").alias("f"), has(F.col("role") == "SUPPORTO").alias("x"))
-    return g.select("source", classify.synthesis_case(F.col("s"), F.col("k"), F.col("f"), F.col("x")).alias("instruction"))
+    g = _roles(spark, sf_dir).groupBy("lesson").agg(has(F.col("kind") == "slide").alias("s"), has(F.col("role") == "SCHELETRO").alias("k"), has(F.col("role") == "CARNE").alias("f"), has(F.col("role") == "SUPPORTO").alias("x"))
+    return g.select("lesson", classify.synthesis_case(F.col("s"), F.col("k"), F.col("f"), F.col("x")).alias("instruction"))
 
 
 @query("section_sessionize", """
@@ -134,12 +140,14 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chunk_pages", """
-with r as (select source, doc_id, row_number() over (partition by source order by doc_id) as p, count(*) over (partition by source) as n, text as t from documents)
-select source, cast((p - 1) // 7 as integer) as chunk, min(p) as first, max(p) as last, count(*) as n, string_agg('[PAG ' || p || ']' || chr(10) || t, chr(10) || chr(10) order by p) as text, 'pag. ' || min(p) || '–' || max(p) as title
-from r where n > 20 group by source, (p - 1) // 7""")
+with d as (select source || '-' || (doc_id // 1000) as lesson, doc_id, text as t from documents),
+r as (select lesson, doc_id, row_number() over (partition by lesson order by doc_id) as p, count(*) over (partition by lesson) as n, t from d)
+select lesson, cast((p - 1) // 7 as integer) as chunk, min(p) as first, max(p) as last, count(*) as n, string_agg('[PAG ' || p || ']' || chr(10) || t, chr(10) || chr(10) order by p) as text, 'pag. ' || min(p) || '–' || max(p) as title
+from r where n > 20 group by lesson, (p - 1) // 7""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("p"), F.col("text").alias("t"))
-    return sequence.chunk_texts(sequence.chunk_pages(d, "source", "p").where("chunk is not null"), "source", "p", "t")
+    d = table(spark, sf_dir, "documents").select(_lesson(1000).alias("lesson"), "doc_id", F.col("text").alias("t"))
+    d = d.withColumn("p", F.row_number().over(Window.partitionBy("lesson").orderBy("doc_id")))
+    return sequence.chunk_texts(sequence.chunk_pages(d, "lesson", "p").where("chunk is not null"), "lesson", "p", "t")
 
 
 @query("topk_images", "select p_brand, p_partkey, rank from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_size, p_partkey) as rank from part) where rank <= 20")

@@ -202,7 +202,7 @@ def slides(files: DataFrame, content: str) -> DataFrame:
 
     schema = StructType([files.schema[c] for c in rest]).add("_slides", DataType.fromDDL(kind)).add("error", "string")
     d = files.select(*rest, content).mapInArrow(work, schema).select(*rest, "error", F.explode_outer("_slides").alias("s")).select(*rest, "error", "s.*")
-    each = d.withColumn("_n", F.xxhash64(*rest, "slide_number")).select("*", F.posexplode_outer("objects").alias("_pos", "_o"))
+    each = d.select("*", F.posexplode_outer("objects").alias("_pos", "_o"))
     named = formulas.convert(each.withColumn("_xml_of", F.when(F.col("_o.obj_type") == "omml_formula", F.col("_o.content"))), "_xml_of", "_tex")
     shown = F.when(F.col("_o.obj_type") == "table", tabular(F.col("_o.rows"))).otherwise(F.col("_o.content"))
     o = F.when(F.col("_o").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_o.obj_type").alias("obj_type"), shown.alias("content"), F.col("_o.top").alias("top"), F.col("_tex").alias("latex_result"), F.col("_o.image").alias("image")))

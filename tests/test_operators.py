@@ -1,11 +1,14 @@
+import hashlib
+import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.formulas import MATH, convert, to_latex
 from scriptorium.operators import context, jobs, merge, render, sequence
-from scriptorium.plans import sequences, state
+from scriptorium.plans import intake, sequences, state
 from scriptorium.plans.normalize import normalize
 from scriptorium.sources import connectors, files
 
@@ -214,10 +217,50 @@ def test_chunks_hold_whole_texts(spark):
     """All documents of a table by brute force."""
     sf, by, want = "/root/testdata/sf0.01", {}, {}
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "text").collect():
-        by.setdefault(r["source"], []).append((r["doc_id"], r["text"]))
-    for source, docs in by.items():
+        by.setdefault(f"{r['source']}-{r['doc_id'] // 1000}", []).append((r["doc_id"], r["text"]))
+    for lesson, docs in by.items():
         pages = list(enumerate(sorted(docs), 1)) if len(docs) > 20 else []
         for k in range(0, len(pages), 7):
-            want[source, k // 7] = "\n\n".join(f"[PAG {p}]\n{t}" for p, (_, t) in pages[k : k + 7])
-    got = {(r["source"], r["chunk"]): r["text"] for r in sequences.chunk_pages(spark, sf).collect()}
+            want[lesson, k // 7] = "\n\n".join(f"[PAG {p}]\n{t}" for p, (_, t) in pages[k : k + 7])
+    got = {(r["lesson"], r["chunk"]): r["text"] for r in sequences.chunk_pages(spark, sf).collect()}
     assert got == want and max(map(len, got.values())) > 10_000
+
+
+def deck(*slides):
+    return bytearray(intake.presentation(list(slides)))
+
+
+def test_slides_of_a_presentation(spark):
+    """Objects from top to bottom, formulas as LaTeX, pictures by digest, notes that are no prompt; a broken file is an error."""
+    one = {"title": "Titolo", "notes": "una nota", "shapes": [("text", 30, "sotto"), ("text", 10, "sopra"), ("omml_formula", 20, "π"), ("image", 40, b"PNG"), ("table", 25, [["a", "b"], ["c"]])]}
+    two = {"title": "", "notes": "Fare clic per modificare", "shapes": []}
+    d = spark.createDataFrame([(1, "x", deck(one, two)), (2, "y", bytearray(b"no zip")), (3, "z", None)], "k int, title_of string, content binary")
+    rows = {(r["k"], r["slide_number"]): r for r in connectors.slides(d, "content").collect()}
+    assert set(rows) == {(1, 1), (1, 2), (2, None), (3, None)} and rows[2, None]["error"] and rows[3, None]["error"]
+    first = rows[1, 1]
+    assert [(o["obj_type"], o["latex_result"] or o["content"]) for o in first["objects"]][:2] == [("text", "sopra"), ("omml_formula", r"\pi")]
+    assert [o["obj_type"] for o in first["objects"]] == ["text", "omml_formula", "table", "text", "image"]
+    assert first["objects"][2]["content"].count("\\hline") == 3 and first["objects"][4]["content"] == hashlib.md5(b"PNG").hexdigest()
+    assert (first["title"], first["notes"], first["title_of"]) == ("Titolo", "una nota", "x")
+    assert rows[1, 2]["objects"] == [] and rows[1, 2]["notes"] == ""
+    text = connectors.pptx_text(bytes(deck(one, two)))
+    assert text.startswith("--- SLIDE 1: Titolo ---\nsopra\n[FORMULA: \\pi]\n[TABELLA: a | b\nc]\nsotto") and text.endswith("--- SLIDE 2 ---")
+
+
+def test_pages_of_two_readers(spark):
+    """The denser text of each page; tables follow the first reader's text; pages that one reader lacks come from the other."""
+    layout = [{"page": 1, "text": "a b c", "tables": [[["x", None], ["", " "], ["y", "z"]]]}, {"page": 2, "text": "w   i   d   e", "tables": []}, {"page": 4, "text": "", "tables": []}]
+    blocks = [{"page": 1, "x0": 0, "y0": 0, "y1": 5, "text": "s p a r s e"}, {"page": 2, "x0": 0, "y0": 30, "y1": 40, "text": "second"}, {"page": 2, "x0": 0, "y0": 0, "y1": 8, "text": "first"}, {"page": 3, "x0": 0, "y0": 0, "y1": 8, "text": "alone"}]
+    one = spark.createDataFrame([("f", json.dumps(layout)), ("g", None)], "md5 string, result string")
+    two = spark.createDataFrame([("f", json.dumps(blocks)), ("g", json.dumps(blocks[-1:]))], "md5 string, result string")
+    got = {(r["md5"], r["page"]): r["text"] for r in connectors.pdf_pages(one, two, "md5").collect()}
+    assert got == {("f", 1): "a b c\n[TABELLA]\nx |\ny | z", ("f", 2): "first\n\nsecond", ("f", 3): "alone", ("g", 3): "alone"}
+
+
+def test_binarised_pictures():
+    gray = np.full((4, 6), 250, np.uint8)
+    gray[1, 2:4] = 10
+    out = connectors.binarised(gray, border=3)
+    assert out.shape == (10, 12) and set(out.ravel()) == {0, 255} and (out == 0).sum() == 2 and out[4, 5] == 0
+    assert connectors.placeholder_slide(3, "a < b").count("a &lt; b") == 1
+    assert {"page_ocr", "page_ocr_ita", "page_ocr_eng", "pdf_layout", "pdf_blocks", "formula_text"} <= set(connectors._tools)
