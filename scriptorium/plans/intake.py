@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -155,7 +156,7 @@ def tool_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def presentation(slides: list[dict]) -> bytes:
     """A minimal PPTX file. slides: title, notes and shapes, each (kind, top, content)."""
     ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
-    word = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    word = lambda t: f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>"
     at = lambda y: f'<a:xfrm><a:off x="0" y="{y}"/><a:ext cx="9" cy="9"/></a:xfrm>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -261,3 +262,41 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = _pick(F.col("page_id"), (" EN", "it", "fr"))
     text = F.when(F.octet_length("html") < 3000, "  short ").otherwise(F.repeat(F.lit("x"), 80))
     return table(spark, sf_dir, "pages").select("page_id", classify.ocr_language(lang).alias("lang"), classify.is_sparse(text).alias("sparse"))
+
+
+@query("image_fit", "select p_partkey, cast(floor(w * least(1.0, 1920.0 / greatest(w, h))) as integer) as width, cast(floor(h * least(1.0, 1920.0 / greatest(w, h))) as integer) as height from (select p_partkey, p_size * 64 as w, (p_partkey % 50 + 1) * 80 as h from part)")
+def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = F.col("p_size") * 64, (F.col("p_partkey") % 50 + 1) * 80
+    return _parts(spark, sf_dir).select("p_partkey", connectors.fitted(w, h).alias("s")).select("p_partkey", "s.*")
+
+
+@query("zip_outputs", """
+select o_custkey, count(*) as n_files, string_agg('lezione_' || o_orderkey || '.tex=' || o_orderpriority, ';' order by 'lezione_' || o_orderkey || '.tex') as files from orders group by o_custkey""")
+def zip_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each customer as an archive, and the archives read again."""
+    ship(spark)
+
+    def read(batches):
+        for batch in batches:
+            names = []
+            for content in batch.column(1).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names.append([f"{n}={z.read(n).decode()}" for n in z.namelist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(n) for n in names], pa.int64()), pa.array([";".join(n) for n in names])], names=["o_custkey", "n_files", "files"])
+
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("lezione_"), F.col("o_orderkey").cast("string"), F.lit(".tex")).alias("name"), F.col("o_orderpriority").alias("text"))
+    return sinks.zipped(o, "o_custkey", "name", "text").mapInArrow(read, "o_custkey bigint, n_files bigint, files string")
+
+
+@query("fetch_once", "select distinct url, case when contains(url, '/es/') then null else cast(length(url) as bigint) end as n_bytes, contains(url, '/es/') as failed from pages")
+def fetch_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct addresses read by a stand-in for the network, some of which fail."""
+    ship(spark)
+
+    def get(url: str) -> bytes:
+        if "/es/" in url:
+            raise RuntimeError("not found")
+        return url.encode()
+
+    d = connectors.fetched(table(spark, sf_dir, "pages"), "url", get)
+    return d.select("url", F.octet_length("content").cast("long").alias("n_bytes"), F.col("error").isNotNull().alias("failed"))

@@ -20,7 +20,7 @@ from xml.etree import ElementTree as ET
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -33,8 +33,10 @@ from scriptorium.operators.render import table_rows
 from scriptorium.operators.sequence import block_text
 
 Tool = Callable[[bytes], str | None]
+BatchTool = Callable[[list[bytes]], list[str | None]]
 OUT = "md5 string, result string, error string, attempted boolean"
 _tools: dict[str, Tool] = {}
+_batch_tools: dict[str, BatchTool] = {}
 
 
 def register(name: str) -> Callable[[Tool], Tool]:
@@ -45,6 +47,17 @@ def register(name: str) -> Callable[[Tool], Tool]:
     return put
 
 
+def register_batch(name: str) -> Callable[[BatchTool], BatchTool]:
+    """A tool that takes all contents of a batch in one call; where the call fails, each content is tried alone."""
+
+    def put(tool: BatchTool) -> BatchTool:
+        _batch_tools[name] = tool
+        _tools[name] = lambda content: tool([content])[0]
+        return tool
+
+    return put
+
+
 def need(module: str):
     """A module, or a clear error."""
     try:
@@ -55,12 +68,17 @@ def need(module: str):
 
 def run(files: DataFrame, name: str, kept: DataFrame | None = None) -> DataFrame:
     """md5, result, error, attempted of each distinct content; contents already in `kept` are not tried again."""
-    tool = _tools[name]
+    tool, together = _tools[name], _batch_tools.get(name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, keys, contents = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if together is not None:
+                try:
+                    rows = [(key, x, None, True) for key, x in zip(keys, together(contents), strict=True)]
+                except Exception:  # noqa: BLE001  each is tried alone below
+                    rows = []
+            for key, content in zip(keys, contents, strict=True) if not rows else ():
                 try:
                     rows.append((key, tool(content), None, True))
                 except Exception as e:  # noqa: BLE001  any failure of an outside tool is a result here
@@ -316,11 +334,26 @@ def formula_text(content: bytes) -> str:
     return need("pytesseract").image_to_string(need("PIL.Image").fromarray(binarised(np.asarray(image))), lang="eng", config="--psm 6").strip()
 
 
-def image_size(content: bytes, most: int = 1920) -> tuple[int, int]:
-    """The size that an image is scaled to: its long side at most `most`."""
-    w, h = need("PIL.Image").open(BytesIO(content)).size
-    scale = min(1.0, most / max(w, h))
-    return int(w * scale), int(h * scale)
+#: The longest side of an image that is sent on.
+LONGEST = 1920
+
+
+def fitted(width: Column, height: Column, most: int = LONGEST) -> Column:
+    """The size that an image is scaled to, its longer side at most `most`: a struct of width and height."""
+    scale = F.least(F.lit(1.0), most / F.greatest(width, height))
+    return F.struct(F.floor(width * scale).cast("int").alias("width"), F.floor(height * scale).cast("int").alias("height"))
+
+
+@register("image_fitted")
+def image_fitted(content: bytes) -> str:
+    """A picture scaled down, as PNG in base 64; a smaller one is only converted."""
+    import base64
+
+    image = need("PIL.Image").open(BytesIO(content))
+    scale = min(1.0, LONGEST / max(image.size))
+    out = BytesIO()
+    image.resize((int(image.width * scale), int(image.height * scale))).save(out, "PNG")
+    return base64.b64encode(out.getvalue()).decode()
 
 
 @register("pixel_stats")
@@ -378,12 +411,41 @@ def placeholder_slide(number: int, title: str, width: int = 1920, height: int =
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="white" stroke="black"/><text x="50%" y="50%" text-anchor="middle" font-size="64">{number}. {escape(title)}</text></svg>'
 
 
-@register("formula_ocr")
-def formula_ocr(content: bytes) -> str:
-    """A formula's picture as LaTeX; the model is loaded once for each worker."""
+@register("slide_images")
+def slide_images(content: bytes) -> str:
+    """A JSON object of each slide's picture by number: PNG in base 64, or SVG placeholders where no tool can draw slides."""
+    import base64
+
+    try:
+        drawn = json.loads(page_raster(base64.b64decode(slide_raster(content))))
+    except (RuntimeError, subprocess.SubprocessError):
+        drawn = {}
+    return json.dumps({s["slide_number"]: {"png": drawn[n]} if (n := str(s["slide_number"])) in drawn else {"svg": placeholder_slide(s["slide_number"], s["title"])} for s in read_slides(content)})
+
+
+def fetched(urls: DataFrame, url: str, get: Callable[[str], bytes] | None = None) -> DataFrame:
+    """url, content, error of each distinct address; nothing is fetched twice within a run."""
+    get = get or download
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for address in batch.column(0).to_pylist():
+                try:
+                    row = (get(address), None)
+                except Exception as e:  # noqa: BLE001  an address that cannot be read is a result here
+                    row = (None, str(e)[:500])
+                yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.string())], names=["url", "content", "error"])
+
+    return urls.select(F.col(url).alias("url")).where("url is not null").distinct().mapInArrow(work, "url string, content binary, error string")
+
+
+@register_batch("formula_ocr")
+def formula_ocr(contents: list[bytes]) -> list[str | None]:
+    """Pictures of formulas as LaTeX; the model is loaded once for each worker and takes a batch at a time."""
     if "model" not in _loaded:
         _loaded["model"] = need("pix2tex.cli").LatexOCR()
-    return _loaded["model"](need("PIL.Image").open(BytesIO(content)))
+    pictures = [need("PIL.Image").open(BytesIO(c)) for c in contents]
+    return [(_loaded["model"](p) or "").strip() or None for p in pictures]
 
 
 _loaded: dict = {}

@@ -264,3 +264,25 @@ def test_binarised_pictures():
     assert out.shape == (10, 12) and set(out.ravel()) == {0, 255} and (out == 0).sum() == 2 and out[4, 5] == 0
     assert connectors.placeholder_slide(3, "a < b").count("a &lt; b") == 1
     assert {"page_ocr", "page_ocr_ita", "page_ocr_eng", "pdf_layout", "pdf_blocks", "formula_text"} <= set(connectors._tools)
+
+
+def test_batch_tools_take_a_batch_and_fall_back_to_single_calls(spark, monkeypatch):
+    calls = []
+
+    def together(contents):
+        calls.append(len(contents))
+        if b"bad" in contents:
+            raise ValueError("bad content")
+        return [c.decode() for c in contents]
+
+    monkeypatch.setitem(connectors._tools, "test", lambda c: together([c])[0])
+    monkeypatch.setitem(connectors._batch_tools, "test", together)
+    d = spark.createDataFrame([(bytearray(x),) for x in (b"one", b"two", b"one", b"bad")], "content binary")
+    got = sorted((r["result"] or "", r["error"] or "") for r in connectors.run(d, "test").collect())
+    assert got == [("", "bad content"), ("one", ""), ("two", "")]
+    assert sorted(r["result"] for r in connectors.run(d.where("content <> 'bad'"), "test").collect()) == ["one", "two"]
+
+
+def test_slides_that_no_tool_draws_have_placeholders():
+    made = json.loads(connectors.slide_images(bytes(deck({"title": "A", "notes": "", "shapes": []}, {"title": "B & C", "notes": "", "shapes": []}))))
+    assert set(made) == {"1", "2"} and all("png" in x or "svg" in x for x in made.values())
