@@ -154,7 +154,7 @@ def tool_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presentation(slides: list[dict]) -> bytes:
-    """A minimal PPTX file. slides: title, notes and shapes, each (kind, top, content)."""
+    """A minimal PPTX file, the same bytes in every run. slides: title, notes and shapes, each (kind, top, content)."""
     ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
     word = lambda t: f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>"
     at = lambda y: f'<a:xfrm><a:off x="0" y="{y}"/><a:ext cx="9" cy="9"/></a:xfrm>'
@@ -172,11 +172,11 @@ def presentation(slides: list[dict]) -> bytes:
                     body += f"<p:graphicFrame><p:xfrm><a:off x='0' y='{y}'/><a:ext cx='9' cy='9'/></p:xfrm><a:graphic><a:graphicData><a:tbl>{rows}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
                 else:
                     body += f'<p:pic><p:blipFill><a:blip xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="rId{k}"/></p:blipFill><p:spPr>{at(y)}</p:spPr></p:pic>'
-                    z.writestr(f"ppt/media/image{k}.png", content)
-            z.writestr(f"ppt/slides/slide{k}.xml", f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
+                    z.writestr(zipfile.ZipInfo(f"ppt/media/image{k}.png"), content)
+            z.writestr(zipfile.ZipInfo(f"ppt/slides/slide{k}.xml"), f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
             kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-            z.writestr(f"ppt/slides/_rels/slide{k}.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId{k}" Type="{kind}/image" Target="../media/image{k}.png"/><Relationship Id="n" Type="{kind}/notesSlide" Target="../notesSlides/notesSlide{k}.xml"/></Relationships>')
-            z.writestr(f"ppt/notesSlides/notesSlide{k}.xml", f'<p:notes {ns}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody>{word(s["notes"])}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>')
+            z.writestr(zipfile.ZipInfo(f"ppt/slides/_rels/slide{k}.xml.rels"), f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId{k}" Type="{kind}/image" Target="../media/image{k}.png"/><Relationship Id="n" Type="{kind}/notesSlide" Target="../notesSlides/notesSlide{k}.xml"/></Relationships>')
+            z.writestr(zipfile.ZipInfo(f"ppt/notesSlides/notesSlide{k}.xml"), f'<p:notes {ns}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody>{word(s["notes"])}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>')
     return out.getvalue()
 
 
@@ -300,3 +300,37 @@ def fetch_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = connectors.fetched(table(spark, sf_dir, "pages"), "url", get)
     return d.select("url", F.octet_length("content").cast("long").alias("n_bytes"), F.col("error").isNotNull().alias("failed"))
+
+
+def letter(parts: list[tuple[str, object]]) -> bytes:
+    """A minimal DOCX file, the same bytes in every run. parts: (style or `table`, text or rows of cells)."""
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    words = lambda t: f"<w:r><w:t>{escape(t)}</w:t></w:r>"
+    body = ""
+    for kind, content in parts:
+        if kind == "table":
+            body += "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p>{words(c)}</w:p></w:tc>" for c in row) + "</w:tr>" for row in content) + "</w:tbl>"
+        else:
+            style = f'<w:pPr><w:pStyle w:val="{kind}"/></w:pPr>' if kind else ""
+            body += f"<w:p>{style}{words(content)}</w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml"), f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query("docx_texts", """
+select p_partkey, '## ' || p_name || chr(10) || p_type || chr(10) || '[TABELLA]' || chr(10) || p_brand || ' | ' || p_size || chr(10) || 'x | y' || chr(10) || '# Titolo' as text from part""")
+def docx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents made of parts, read as text: headings by level, rows that repeat the row before left out."""
+    ship(spark)
+
+    def made(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            docs = [letter([("Heading2", r["p_name"]), ("", r["p_type"]), ("", "  "), ("table", [[r["p_brand"], str(r["p_size"])], [r["p_brand"], str(r["p_size"])], ["x", "y"]]), ("Titolo1", "Titolo")]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.binary())], names=["p_partkey", "content"])
+
+    d = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_brand", "p_type", "p_size").mapInArrow(made, "p_partkey bigint, content binary")
+    read = connectors.run(d, "docx").where("error is null").select("md5", F.col("result").alias("text"))
+    return d.select("p_partkey", F.md5("content").alias("md5")).join(read, "md5").select("p_partkey", "text")
