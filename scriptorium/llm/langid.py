@@ -20,7 +20,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 from math import ceil, sqrt
@@ -195,31 +195,50 @@ def shares(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(trimmed(work), "lang string, cells binary, counts binary")
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> Hierarchy:
-    """rows: language, cells, counts of each text."""
-    rows = [r for r in rows if len(r[1])]
+@dataclass(frozen=True)
+class Sample:
+    """Languages of texts, and the share of each of their n-grams among those of its length: numbers of text and feature."""
+
+    langs: np.ndarray
+    row: np.ndarray
+    cell: np.ndarray
+    value: np.ndarray
+
+
+def gathered(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> Sample:
+    """rows: language, cells, counts of each text; held in few bytes, as the driver's memory is small."""
+    langs, cells, values = [], [], []
+    for lang, cell, count in rows:
+        if not len(cell):
+            continue
+        value = count.astype(np.float32)
+        for n in range(3):
+            mine = (cell >= BASE[n]) & (cell < (BASE[n + 1] if n < 2 else SIZE))
+            value[mine] /= max(float(value[mine].sum()), 1.0)
+        langs.append(lang)
+        cells.append(cell.astype(np.int32))
+        values.append(value)
+    row = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells])
+    none = np.zeros(0, np.int32)
+    return Sample(np.array(langs, object), row, np.concatenate([none, *cells]), np.concatenate([none.astype(np.float32), *values]))
+
+
+def train(sample: Sample, steps: int = 150) -> Hierarchy:
     h = Hierarchy()
-    if not rows:
+    langs, row, cell, value = sample.langs, sample.row, sample.cell, sample.value
+    if not len(langs):
         return h
-    langs = np.array([r[0] for r in rows], object)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    cell = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[2] for r in rows]).astype(float)
-    for n in range(3):  # shares of each length of n-gram
-        mine = (cell >= BASE[n]) & (cell < (BASE[n + 1] if n < 2 else SIZE))
-        total = np.bincount(row[mine], value[mine], len(rows))
-        value[mine] /= np.maximum(total[row[mine]], 1)
-    mean = np.bincount(cell, value, SIZE) / len(rows)
+    mean = np.bincount(cell, value, SIZE) / len(langs)
     used = np.sort(np.argsort(-mean, kind="stable")[:CELLS])
     used = used[mean[used] > 0]
     h.column[used] = np.arange(1, len(used) + 1)
     spread = np.concatenate([[0.0], 1 / np.sqrt(np.maximum(mean[used], 1e-5))])
-    column = h.column[cell].astype(np.int64)
-    on = column > 0
-    row, column, value = row[on], column[on], value[on] * spread[column[on]]
+    on = h.column[cell] > 0
+    row, column = row[on], h.column[cell[on]]
+    value = value[on] * spread.astype(np.float32)[column]
     names = sorted(set(langs))
-    number = np.searchsorted(names, langs)[row]
-    means = np.bincount(number * len(spread) + column, value, len(names) * len(spread)).reshape(len(names), -1)
+    number = np.searchsorted(names, langs).astype(np.int16)[row]
+    means = np.stack([np.bincount(column[number == i], value[number == i], len(spread)) for i in range(len(names))])
     h.families = grouped(dict(zip(names, means, strict=True)))
     texts = {k: Texts(row[number == i], column[number == i], value[number == i]) for i, k in enumerate(names)}
     some = lambda members: [texts[k] for k in members]
@@ -243,6 +262,7 @@ def _machine(first: str, second: str, ours: list[Texts], theirs: list[Texts], sp
     c, v = (np.concatenate([getattr(t, k) for t in both]) for k in ("column", "value"))
     every, r = np.unique(np.concatenate([t.row for t in both]), return_inverse=True)
     y = np.where(np.isin(every, np.concatenate([t.row for t in ours])), 1.0, -1.0)
+    r, c, v = r.astype(np.intp), c.astype(np.intp), v.astype(float)  # what the sums below would make of them each time
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     size, n, ridge = len(spread), len(y), 1e-4
     x, norm = np.ones(size), 1.0
@@ -278,8 +298,10 @@ def fit(docs: DataFrame, limits: Limits = Limits()) -> Hierarchy:
     wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
     sample = known.join(F.broadcast(wanted), "lang").where(drawn)  # a row for each language
-    rows = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sample).collect()})
-    return train([(a, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for a, c, n in rows])
+    found = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sample).collect()})
+    parts = gathered((a, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for a, c, n in found)
+    del found
+    return train(parts)
 
 
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
