@@ -17,6 +17,8 @@ Work on classes, not copies: equal sets have one digest, which stands for all th
 4. for n-grams with fewer classes, pairs of different components that pass the length, position and bitmap
    bounds are verified. Nothing else could join two components.
 
+`jaccard_components` needs no link inside a component; `jaccard_links` finds every link of two classes.
+
 So a group of k near copies costs about k verified pairs and not k squared, yet every link that matters to a
 component is tested, without caps. Verification builds a trie of sets, frequent n-grams first, and walks it
 with each set to be held against them: a beginning that sets share is counted once, and a subtree is left when
@@ -45,6 +47,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -389,8 +392,8 @@ class Joined:
         return a != b
 
 
-def _similar(rows: DataFrame) -> DataFrame:
-    """Links (u, v) of shipped rows that join components; within a block and bucket the probes (side 0) come before the sets of the trie."""
+def _similar(rows: DataFrame, every: bool = False) -> DataFrame:
+    """Links (u, v) of shipped rows that join components, or every link; within a block and bucket the probes (side 0) come before the sets of the trie."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, probes, joined, last = None, [], Joined(), None
@@ -414,7 +417,7 @@ def _similar(rows: DataFrame) -> DataFrame:
                     end += 1
                 for name, own, probe in probes:
                     for hit in trie.similar(probe):
-                        if joined.joins(own, comp[hit]):
+                        if name != node[hit] and (every or joined.joins(own, comp[hit])):
                             us.append(name)
                             vs.append(node[hit])
                 k = end
@@ -423,8 +426,19 @@ def _similar(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(work), "u bigint, v bigint")
 
 
-def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, node, n) of all documents, and comp of the nodes that are linked."""
+@dataclass(frozen=True)
+class Prepared:
+    """Documents by id and key, a row for each of them, their classes, and the postings that classes share."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    classes: DataFrame
+    shared: DataFrame
+    sketch: object
+    written: DataFrame
+
+
+def _prepared(docs: DataFrame) -> Prepared:
     spark = docs.sparkSession
     ship(spark)
     # A document's text is read again by its doc_id and the key of its text.
@@ -452,6 +466,13 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = materialize(size.where("low <> high").select("token", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high")), "tokens")
     shared = materialize(_postings(docs, sketch, salt, bloom(size, "token")).join(size, "token"), "shared")
     discard(size)
+    return Prepared(docs, nodes.select("doc_id", "key", "node", "n"), classes, shared, sketch, written)
+
+
+def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """nodes (doc_id, key, node, n) of all documents, and comp of the nodes that are linked."""
+    p = _prepared(docs)
+    docs, classes, shared, sketch = p.docs, p.classes, p.shared, p.sketch
 
     # 2. Leaders.
     pairs = shared.select(F.col("node").alias("x"), F.explode_outer(F.array("low", "high")).alias("y")).where("x <> y")
@@ -476,8 +497,29 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _verified(docs, classes, _stars(cross).unionByName(_blocks(members.where("many"))), comp, sketch)
     if not found.isEmpty():
         comp = components(links.unionByName(found))
-    discard(pairs, cross, members, written)
-    return nodes.select("doc_id", "key", "node", "n"), comp
+    discard(pairs, cross, members, p.written)
+    return p.nodes, comp
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, node, n: the class of each document and the size of its set) and links (u, v: every pair of linked classes).
+
+    Unlike the components this takes time in proportion to the pairs of classes that share a prefix n-gram and
+    pass the bounds, as its result may: copies are one class, but k unlike near copies have k (k - 1) / 2 links.
+    """
+    p = _prepared(docs)
+    members = p.shared.select("token", "node", "pos")
+    many = members.groupBy("token").agg((F.count("*") >= BLOCK).alias("many"))
+    members = materialize(members.join(many, "token"), "members")
+    few = members.where("not many").select("token", "node", "pos").join(p.classes.drop("bits", "at"), "node")
+    a, b = few.alias("a"), few.alias("b")
+    cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & bounded("a", "b", True))
+    cross = materialize(_bounded_pairs(cross.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct(), p.classes).select("x", "y"), "cross")
+    block = members.where("many").select(F.col("token").alias("block"), "node")
+    found = _verified(p.docs, p.classes, _stars(cross).unionByName(_dealt(block, block)), None, p.sketch, every=True)
+    links = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    discard(p.shared, members, cross, found, p.written)
+    return p.nodes.select("doc_id", "node", "n"), links
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -534,8 +576,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     return _dealt(outside.select("block", "node"), rows.select("block", "node"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFrame | None, sketch) -> DataFrame:
-    """Links (u, v) between components that the rows (block, bucket, side, node) find.
+def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFrame | None, sketch, every: bool = False) -> DataFrame:
+    """Links (u, v) between components, or every link, that the rows (block, bucket, side, node) find.
 
     One document of each class is read again, and its set goes where it is wanted. What is wanted is broadcast to
     the documents if a count has shown it small, else texts and lists are shuffled.
@@ -548,7 +590,7 @@ def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFr
     sets = _shipped(docs.join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, here), sketch)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = sets.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket", "side", "node")
-    links = materialize(_similar(ordered), "links")
+    links = materialize(_similar(ordered, every), "links")
     discard(wanted)
     return links
 

@@ -63,6 +63,24 @@ def test_join_against_brute_force(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(d).collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_every_link_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    rows = near_copies(21, [(9, 12), (60, 25), (150, 10), (30, 1)])
+    rows += [(i + 500, t) for i, t in rows[:5]] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    members, links = ngram_join.jaccard_links(d)
+    node = {r["doc_id"]: r["node"] for r in members.collect()}
+    words = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in rows if (w := words(t))}
+    want = {tuple(sorted((node[i], node[j]))) for i in sets for j in sets if sets[i] != sets[j] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    got = [(r["u"], r["v"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert node[900] is None and all(node[i] == node[i + 500] for i, _ in rows[:5])
+    assert ngram_join.jaccard_links(d.limit(0))[1].count() == 0
+
+
 def test_join_edges(spark):
     six = "one two three four five six"
     d = spark.createDataFrame([(7, six), (7, six), (None, six), (3, "x")], "doc_id long, text string")
@@ -308,7 +326,7 @@ def test_many_languages_of_no_known_family():
             data = np.frombuffer(made(lang).encode(), np.uint8)
             cells, counts = np.unique(np.concatenate(langid.grams(data)), return_counts=True)
             rows.append((lang, cells, counts))
-    h = langid.train(rows, steps=60)
+    h = langid.train(langid.gathered(rows), steps=60)
     assert len(h.families) == 8 and sum(map(len, h.families.values())) == 60
     machines = [*h.between, *(m for ms in h.within.values() for m in ms)]
     assert len(machines) < 500 and sum(m.weights.nbytes for m in machines) < 500 * 4 * (langid.CELLS + 1)
