@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, langid, ngram_join, packing, secrets
 from scriptorium.llm.tokens import default_tokenizer
-from scriptorium.session import new_dir, table
+from scriptorium.session import delete, new_dir, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage has written for itself, and the stage before it, goes when it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -9,12 +9,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +76,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the scratch folder of the code that runs."""
+    return f"{(_scratch.get() or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder for all tables that the code within writes below the shared one; it goes with them at the end."""
+    root = new_dir(spark, "scratch")
+    token = _scratch.set(root)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from any store that Spark writes; nothing happens where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -92,5 +112,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `materialize` that nothing will read again."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._written)
