@@ -1,5 +1,7 @@
 """The pipeline against the same decisions made by brute force."""
 
+import pathlib
+
 import corpus_pipeline
 from tests.llm.test_small_formats import pieces, plain_ids
 from tests.llm.test_text_operators import brute_components, brute_hits, brute_spans
@@ -37,7 +39,11 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
+    """All rows come, and of what the run has written only they stay."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there = {p.name for p in shared.iterdir()}
     assert corpus_pipeline.run(spark, sf).count() > 100
+    assert [n.partition("-")[2].rpartition("-")[0] for n in {p.name for p in shared.iterdir()} - there] == ["best_fit_packing"]
 
 
 def test_run_on_an_empty_table(spark, sf, tmp_path):
