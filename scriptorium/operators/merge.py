@@ -29,3 +29,8 @@ def enrich_sparse(pages: DataFrame, other: DataFrame, keys: list[str], text: str
 def page_union(texts: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
     """Every page that has text or an image."""
     return texts.join(images, keys, "full_outer")
+
+
+def copies(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key (the least), digest, copies of each distinct content: an aggregate with partial sums, whatever the size of a group."""
+    return rows.groupBy(F.md5(content).alias("digest")).agg(F.min(key).alias(key), F.count("*").alias("copies"))

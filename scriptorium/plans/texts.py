@@ -87,7 +87,7 @@ def token_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedup_docs", "select min(doc_id) as doc_id, md5(text) as digest, count(*) as copies from documents group by md5(text)")
 def dedup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return merge.copies(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 WORDS = {"english": ("the", "and", "tion", "with"), "german": ("und", "der", "keit", "sch"), "french": ("que", "eau", "ment", "é"), "spanish": ("ción", "ñ", "que", "los")}
