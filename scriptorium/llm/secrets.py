@@ -184,13 +184,15 @@ def find_spans(docs: DataFrame, cut: dict[tuple[str, int], int]) -> DataFrame:
     runs = F.when(mixed, F.filter(located(t, F.col("_r"), CANDIDATE, "random"), lambda s: s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]"))).otherwise(F.expr(f"cast(array() as {SPAN})"))
     d = d.withColumns({"base": base, "_c": runs})
 
-    def random(s: Column) -> Column:
-        r = battery(s.value)
+    def kept(r: Column) -> Column:
         first = F.lit(PER_DECADE * DECADES + 1)
         for (enc, band), cell in cut.items():
             first = F.when((r.enc == enc) & (r.band == band), cell).otherwise(first)
         return r.cell < first
 
+    def random(s: Column) -> Column:
+        return F.element_at(F.transform(F.array(battery(s.value)), kept), 1)  # told once, not for each stratum
+
     apart = F.filter("_c", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
     d = d.withColumn("_c", apart)
     return d.withColumn("added", F.when(F.size("_c") > 0, F.filter("_c", random)).otherwise(F.col("_c"))).drop("_a", "_b", "_h", "_r", "_v", "_c")
