@@ -127,7 +127,7 @@ def section_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_lines", r"""
 with l as (select doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) - 1 as pos from documents),
-t as (select doc_id, pos, trim(case when pos % 9 = 4 then upper(line) when pos % 9 = 6 then '2.' || pos || ') ' || line else line end) as line from l),
+t as (select doc_id, pos, trim(case when pos % 9 = 4 then upper(replace(line, 'ß', 'ss')) when pos % 9 = 6 then '2.' || pos || ') ' || line else line end) as line from l),
 n as (select *, lead(line) over (partition by doc_id order by pos) as nxt, regexp_replace(line, '[^\p{L}]', '', 'g') as alpha from t)
 select doc_id, cast(pos as integer) as pos from n where line <> '' and case when alpha <> '' and alpha = upper(alpha) and not regexp_matches(alpha, '[\p{Ll}\p{Lo}\p{Lm}]') then length(line) <= 150 when length(line) > 100 then false
   else coalesce(nxt = '' and len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) >= 3, false) or regexp_matches(line, '^(?:[A-Z]|(?:\d+\.)*\d+)[.)]\s+[\p{L}\p{N}_]') end""")
