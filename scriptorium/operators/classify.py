@@ -48,20 +48,23 @@ def ratio_transcript(stamped: Column, n: Column) -> Column:
     return (n > 0) & (stamped / n >= F.when(n <= 10, 0.30).otherwise(0.10))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value told once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def subject_scores(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """array<struct<score, ord, subject>>: how many distinct keywords each subject has in the text, as substrings."""
-    low = F.lower(text)
-    rows = []
-    for i, (name, words) in enumerate(keywords.items()):
-        score = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
-        rows.append(F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("subject")))
-    return F.array(*rows)
+
+    def score(low: Column, words: tuple[str, ...]) -> Column:
+        return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+    return once(F.lower(text), lambda low: F.array(*[F.struct(score(low, words).alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("subject")) for i, (name, words) in enumerate(keywords.items())]))
 
 
 def subject(text: Column, hint: Column | None = None, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """The subject with most keywords, at least two; ties go to the first declared. A hint that names one decides."""
-    best = F.array_max(subject_scores(text, keywords))
-    out = F.when(best.score >= 2, best.subject).otherwise(F.lit(GENERIC))
+    out = once(F.array_max(subject_scores(text, keywords)), lambda best: F.when(best.score >= 2, best.subject).otherwise(F.lit(GENERIC)))
     if hint is None:
         return out
     known = F.lit(None).cast("string")
