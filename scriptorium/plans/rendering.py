@@ -14,7 +14,6 @@ from scriptorium.plans.texts import noise_sql, query, sql_map, subject_sql
 from scriptorium.session import ship, table
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-FILLED = r"list_filter({}, lambda x: x is not null)"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
