@@ -29,7 +29,6 @@ from scriptorium.session import materialize
 BROADCAST_ROWS = 300_000
 #: The markup of a turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
-TURNS = "array<struct<role:string,text:string>>"
 
 
 def common_prefix(chosen: Column, rejected: Column) -> Column:
