@@ -550,7 +550,8 @@ def _dealt(probes: DataFrame, others: DataFrame) -> DataFrame:
     def share(rows: DataFrame, n: str) -> DataFrame:
         return rows.groupBy("block").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias(n))
 
-    size = share(probes, "pn").join(share(others, "tn"), "block")
+    # Written first: a join with an aggregate in its plan cannot split a block that holds many classes.
+    size = materialize(share(probes, "pn").join(share(others, "tn"), "block"), "sizes")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
     p = probes.join(size, "block").select("block", "node", "tn", own("pn").alias("p"), every("tn").alias("t"))
