@@ -17,11 +17,18 @@ def release() -> None:
         pass
 
 
-def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A mapInArrow function that releases memory when its task ends."""
+#: What a worker keeps from task to task, by name, and how it is let go.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def trimmed(work: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that releases memory when its task ends, and lets go at its start what only other tasks use."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        for name, let_go in kept.items():
+            if name != keeps:
+                let_go()
         try:
             yield from work(batches)
         finally:

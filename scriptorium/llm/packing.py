@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                         at, no, size = at + size, no + 1, capacity
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(cut), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(cut, keeps="encoders"), PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -155,7 +155,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "records": pa.array([len(index)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "first_id": pa.array([first], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(trimmed(write), MANIFEST)
+    return ordered.mapInArrow(trimmed(write, keeps="encoders"), MANIFEST)
 
 
 def read_records(spark: SparkSession, manifest: list) -> DataFrame:

@@ -16,6 +16,8 @@ from array import array
 from collections.abc import Iterable
 from pathlib import Path
 
+from scriptorium.llm import memory
+
 #: The pre-token pattern of byte-level BPE files, written out for common characters, letters first.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PRETOKEN = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
@@ -116,10 +118,11 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
+    """One encoder per worker and file, until a task of another kind begins."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    memory.kept["encoders"] = _encoders.clear
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
