@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.decontaminate import contamination
+from scriptorium.llm.infilling import fill_in_middle
 from scriptorium.llm.langid import language_id
 from scriptorium.llm.ngram_join import jaccard_components
 from scriptorium.llm.ogg import ogg_texts
@@ -58,6 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_ogg_media": op8_ogg_media,
     "op9_preferences": op9_preferences,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
@@ -137,4 +143,18 @@ t as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by i
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   coalesce(t.s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id""",
+    "op11_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+    sha256('42:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+h as (
+  select doc_id, t, u, len(u) as n, ('0x' || s[1:8])::bigint % (len(u) + 1) as x, ('0x' || s[9:16])::bigint % (len(u) + 1) as y,
+    ('0x' || s[17:24])::bigint % 100 as r, ('0x' || s[25:32])::bigint % 100 as o from d),
+f as (
+  select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r >= 50 then 'plain' when o < 80 then 'spm' else 'psm' end as form,
+    array_to_string(u[1:least(x, y)], '') as p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as m, array_to_string(u[greatest(x, y) + 1:], '') as q from h)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'spm' then '<S>' || q || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || q || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from f""",
 }
