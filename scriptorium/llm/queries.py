@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.alignment import piece_tokenizer, token_alignment
 from scriptorium.llm.decontaminate import contamination
+from scriptorium.llm.embedding_join import near_duplicates
 from scriptorium.llm.infilling import fill_in_middle
 from scriptorium.llm.langid import language_id
 from scriptorium.llm.ngram_join import jaccard_components
@@ -68,6 +69,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(table(spark, sf_dir, "documents"), default_tokenizer(), piece_tokenizer())
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
@@ -81,6 +86,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 #: Words of a text, and every run of ten words, against the windows of the items.
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +169,18 @@ select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then leng
   sha256(case form when 'plain' then t when 'spm' then '<S>' || q || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || q || '<M>' || m end) as output_sha256,
   sha256(t) as restored_sha256
 from f""",
+    "op13_embedding_near_dedup": """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (
+  select *, label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0 as usable from v),
+w as (select r, vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from u where usable),
+l as (
+  select a.r as x, b.r as y from w a join w b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+n as (select x, count(*) as n_links from l group by x),
+c as (select r as node, vec_id as root from u union select l.y, c.root from c join l on c.node = l.x),
+m as (select node, min(root) as component_id from c group by node)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from u left join n on n.x = u.r join m on m.node = u.r""",
 }
