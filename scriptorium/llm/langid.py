@@ -9,11 +9,12 @@ their number, by how like their n-gram shares are. So the number of machines gro
 languages, and each has weights for the CELLS most frequent n-grams only: for a hundred languages of an unknown
 kind some 35 MB are broadcast. The machines within a family are asked only about the texts of that family.
 
-Fitting takes a bounded sample, all of whose bounds are parameters (`Limits`): so many texts of each language,
-chosen by a hash of doc_id, so many of all languages, and the most frequent languages. All texts are then read whole.
+Fitting takes a bounded sample, all of whose bounds are parameters (`Limits`): so many texts of each language, those
+of least hash of doc_id and text (`sampling`), so many of all languages, and the languages with most unlike texts; what
+comes to the driver never has more rows. All texts are then read whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0; texts with null lang teach
-nothing; repeated rows get equal results; ties go to the language first by name; a very long text is read like
+nothing; null and repeated doc_ids teach like any other, copies of a row teach once; repeated rows get equal results; ties go to the language first by name; a very long text is read like
 any other, alone in its slice; without any language to learn every text is `und`, with one language that one; an
 empty table gives no rows; other columns are not read.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scriptorium.llm.memory import trimmed
+from scriptorium.llm.sampling import digest, distinct_rows, least
 from scriptorium.llm.textbytes import slices
 from scriptorium.session import ship
 
@@ -288,17 +290,18 @@ def held_out_quarter(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sampled(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """lang, text, digest: the texts to learn from, at most `per_language` of each language and `texts` in all."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", digest("langid", "doc_id", "text").alias("digest"))
+    counts = distinct_rows(known, "lang").orderBy(F.col("n").desc(), "lang").limit(limits.languages).collect()
+    most = min(limits.per_language, max(1, limits.texts // max(1, len(counts))))
+    return least(known, "lang", {r["lang"]: (r["n"], most) for r in counts})
+
+
 def fit(docs: DataFrame, limits: Limits = Limits()) -> Hierarchy:
     """docs: doc_id, text, lang of the documents to learn from."""
     ship(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
-    counts = counts.orderBy(F.col("n").desc(), "lang").limit(limits.languages).collect()
-    most = min(limits.per_language, limits.texts // max(1, len(counts)))
-    wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
-    sample = known.join(F.broadcast(wanted), "lang").where(drawn)  # a row for each language
-    found = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sample).collect()})
+    found = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sampled(docs, limits)).collect()})
     parts = gathered((a, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for a, c, n in found)
     del found
     return train(parts)

@@ -9,9 +9,10 @@ The swap must not move the score, so the logits of a group are drawn together an
 member, whatever the labels of the texts that mention a group.
 
 Fitting takes a bounded sample (`Limits`): at most so many labelled texts of each label, chosen by a hash of
-doc_id, and at most so many features. Copies within the sample count once, features are counted and chosen where
-the texts are, and what reaches the driver is the chosen features of each text: bounded by both limits, however
-long the texts are. Everything else covers all rows: each text is scored whole, from a broadcast of the weights
+doc_id and, where ids have many texts, by one of doc_id and text (`sampling`), and at most so many features. Copies
+within the sample count once, features are counted and chosen where the texts are, and what reaches the driver is the
+numbers of the chosen features of each text, 32 bits each: bounded by both limits, however long the texts are and
+however often an id is repeated. Everything else covers all rows: each text is scored whole, from a broadcast of the weights
 that are not zero, which the feature limit bounds. A text is read a slice at a time, a very long one alone.
 
 How strongly swaps are penalised (`pair`) was chosen by scoring made-up neutral texts with the terms of a group
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.memory import trimmed
+from scriptorium.llm.sampling import digest, distinct_rows, least
 from scriptorium.llm.textbytes import slices, word_hash, words
 from scriptorium.session import materialize, ship
 
@@ -131,13 +133,13 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, kept: np.ndarray) -> DataFrame:
-    """label and words with only the features of a sorted array."""
+    """label, and as words the places in a sorted array of the features that are in it, 32 bits each."""
     shared = rows.sparkSession.sparkContext.broadcast(kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = (np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column(1))
-            left = [w[np.isin(w, shared.value, assume_unique=True)].tobytes() for w in words]
+            left = [np.flatnonzero(np.isin(shared.value, w, assume_unique=True)).astype("<u4").tobytes() for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], names=["label", "words"])
 
     return rows.select("label", "words").mapInArrow(trimmed(work), "label int, words binary")
@@ -149,15 +151,12 @@ def unit(column: Column, salt: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, limits: Limits = Limits()) -> Model:
-    """Learn `label` (0 or 1) from the rows for which learn(doc_id) holds; the sampled ids, bounded by limits, are broadcast."""
+    """Learn `label` (0 or 1) from the rows for which learn(doc_id) holds."""
     one = labels.where(F.col(label).isin(0, 1) & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where(F.col("label") == F.col("_most"))
     counts = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (counts.get(0) and counts.get(1)):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    share = F.when(F.col("label") == 1, min(1.0, limits.positives / counts[1])).otherwise(min(1.0, limits.negatives / counts[0]))
-    sample = one.where(unit(F.col("doc_id"), "toxicity") < share).select(F.col("doc_id").alias("_id"), "label")
-    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    rows = materialize(distinct_words(labelled).distinct(), "labelled")  # copies would count twice
+    rows = materialize(distinct_words(sampled(docs, one, counts, limits)).distinct(), "labelled")  # copies would count twice
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     each = materialize(counted(rows), "features")
     lift = F.abs(F.col("positive") / max(1, totals.get(1, 0)) - (F.col("n") - F.col("positive")) / max(1, totals.get(0, 0)))
@@ -165,7 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, limits: Limits =
     kept = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
     kept = np.unique(np.concatenate([kept, *(term_features(word) for group in IDENTITY for word in group)]))
     unlike = sorted((r["label"], bytes(r["words"])) for r in narrowed(rows, kept).collect())
-    return train([np.frombuffer(w, np.uint64) for _, w in unlike], np.array([y for y, _ in unlike], float), limits.features)
+    return train([kept[np.frombuffer(w, "<u4")] for _, w in unlike], np.array([y for y, _ in unlike], float), limits.features)
+
+
+def sampled(docs: DataFrame, one: DataFrame, counts: dict[int, int], limits: Limits = Limits()) -> DataFrame:
+    """label, text, digest: the texts to learn from, at most `positives` and `negatives` of either label.
+
+    one: doc_id and label; counts: its rows by label. So many ids of each label are drawn by hash and broadcast; as an
+    id may have any number of texts, those of least hash are taken of what they have.
+    """
+    most = {0: limits.negatives, 1: limits.positives}
+    share = F.when(F.col("label") == 1, min(1.0, most[1] / counts[1])).otherwise(min(1.0, most[0] / counts[0]))
+    ids = one.where(unit(F.col("doc_id"), "toxicity") < share).select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("label", "text", digest("toxicity", "doc_id", "text").alias("digest"))
+    return least(rows, "label", {r["label"]: (r["n"], most[r["label"]]) for r in distinct_rows(rows, "label").collect()})
 
 
 def term_features(word: str) -> np.ndarray:
