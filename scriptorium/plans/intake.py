@@ -154,29 +154,40 @@ def tool_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presentation(slides: list[dict]) -> bytes:
-    """A minimal PPTX file, the same bytes in every run. slides: title, notes and shapes, each (kind, top, content)."""
-    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+    """A small PPTX file, the same bytes in every run. slides: title, notes and shapes, each (kind, top, content).
+
+    Parts are numbered from the last slide, so only the presentation's list tells their order; a formula stands in a group
+    that is drawn at half its inner size, as the alternative that programs with formulas choose.
+    """
+    office, kind = "http://schemas.openxmlformats.org/", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    ns = f'xmlns:a="{office}drawingml/2006/main" xmlns:p="{office}presentationml/2006/main" xmlns:m="{office}officeDocument/2006/math" xmlns:mc="{office}markup-compatibility/2006" xmlns:r="{kind}"'
     word = lambda t: f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>"
     at = lambda y: f'<a:xfrm><a:off x="0" y="{y}"/><a:ext cx="9" cy="9"/></a:xfrm>'
+    links = lambda rows: f'<Relationships xmlns="{office}package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="{kind}/{k}" Target="{t}"/>' for i, k, t in rows) + "</Relationships>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for k, s in enumerate(slides, 1):
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)
+        put("_rels/.rels", links([("rId1", "officeDocument", "ppt/presentation.xml")]))
+        put("ppt/presentation.xml", f"<p:presentation {ns}><p:sldIdLst>" + "".join(f'<p:sldId id="{256 + k}" r:id="s{k}"/>' for k in range(len(slides))) + "</p:sldIdLst></p:presentation>")
+        put("ppt/_rels/presentation.xml.rels", links([(f"s{k}", "slide", f"slides/slide{len(slides) - k}.xml") for k in range(len(slides))]))
+        for k, s in zip(range(len(slides), 0, -1), slides, strict=True):
             body = f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:spPr>{at(0)}</p:spPr><p:txBody>{word(s["title"])}</p:txBody></p:sp>' if s["title"] else ""
-            for kind, y, content in s["shapes"]:
-                if kind == "text":
+            for shape, y, content in s["shapes"]:
+                if shape == "text":
                     body += f"<p:sp><p:spPr>{at(y)}</p:spPr><p:txBody>{word(content)}</p:txBody></p:sp>"
-                elif kind == "omml_formula":
-                    body += f"<p:sp><p:spPr>{at(y)}</p:spPr><p:txBody><a:p><m:oMath><m:r><m:t>{content}</m:t></m:r></m:oMath></a:p></p:txBody></p:sp>"
-                elif kind == "table":
+                elif shape == "omml_formula":
+                    inner = f"<p:sp><p:spPr>{at(2 * y + 14)}</p:spPr><p:txBody><a:p><m:oMath><m:r><m:t>{content}</m:t></m:r></m:oMath></a:p></p:txBody></p:sp>"
+                    frame = f'<a:xfrm><a:off x="0" y="{y}"/><a:ext cx="50" cy="50"/><a:chOff x="0" y="{2 * y + 14}"/><a:chExt cx="100" cy="100"/></a:xfrm>'
+                    body += f'<p:grpSp><p:grpSpPr>{frame}</p:grpSpPr><mc:AlternateContent><mc:Choice Requires="a14">{inner}</mc:Choice><mc:Fallback><p:sp><p:txBody>{word("?")}</p:txBody></p:sp></mc:Fallback></mc:AlternateContent></p:grpSp>'
+                elif shape == "table":
                     rows = "".join("<a:tr>" + "".join(f"<a:tc><a:txBody>{word(c)}</a:txBody></a:tc>" for c in row) + "</a:tr>" for row in content)
                     body += f"<p:graphicFrame><p:xfrm><a:off x='0' y='{y}'/><a:ext cx='9' cy='9'/></p:xfrm><a:graphic><a:graphicData><a:tbl>{rows}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
                 else:
-                    body += f'<p:pic><p:blipFill><a:blip xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="rId{k}"/></p:blipFill><p:spPr>{at(y)}</p:spPr></p:pic>'
-                    z.writestr(zipfile.ZipInfo(f"ppt/media/image{k}.png"), content)
-            z.writestr(zipfile.ZipInfo(f"ppt/slides/slide{k}.xml"), f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
-            kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-            z.writestr(zipfile.ZipInfo(f"ppt/slides/_rels/slide{k}.xml.rels"), f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId{k}" Type="{kind}/image" Target="../media/image{k}.png"/><Relationship Id="n" Type="{kind}/notesSlide" Target="../notesSlides/notesSlide{k}.xml"/></Relationships>')
-            z.writestr(zipfile.ZipInfo(f"ppt/notesSlides/notesSlide{k}.xml"), f'<p:notes {ns}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody>{word(s["notes"])}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>')
+                    body += f'<p:pic><p:blipFill><a:blip r:embed="rId{k}"/></p:blipFill><p:spPr>{at(y)}</p:spPr></p:pic>'
+                    put(f"ppt/media/image{k}.png", content)
+            put(f"ppt/slides/slide{k}.xml", f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>")
+            put(f"ppt/slides/_rels/slide{k}.xml.rels", links([(f"rId{k}", "image", f"../media/image{k}.png"), ("n", "notesSlide", f"../notesSlides/notesSlide{k}.xml")]))
+            put(f"ppt/notesSlides/notesSlide{k}.xml", f'<p:notes {ns}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody>{word(s["notes"])}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>')
     return out.getvalue()
 
 

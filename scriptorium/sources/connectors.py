@@ -15,6 +15,7 @@ import re
 import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from io import BytesIO
 from xml.etree import ElementTree as ET
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
 from scriptorium.functions import formulas
@@ -129,7 +131,9 @@ def docx_text(content: bytes) -> str:
 
 A, P = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-OBJECT = "struct<obj_type:string,content:string,top:bigint,rows:array<array<string>>,image:binary>"
+COMPAT = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+#: A shape of a slide; lengths and places in the file's own units.
+OBJECT = "struct<obj_type:string,content:string,top:bigint,left:bigint,width:bigint,height:bigint,rows:array<array<string>>,latex_result:string,image:binary>"
 
 
 def _said(node: ET.Element) -> str:
@@ -139,25 +143,75 @@ def _said(node: ET.Element) -> str:
 
 
 def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
-    """Relationship id to (kind, part) of a part of a package."""
+    """Relationship id to (kind, part) of a part of a package; the package's own are those of the part ""."""
     folder, _, name = part.rpartition("/")
     try:
-        found = ET.fromstring(z.read(f"{folder}/_rels/{name}.rels"))
+        found = ET.fromstring(z.read(f"{folder}/_rels/{name}.rels".lstrip("/")))
     except KeyError:
         return {}
-    full = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+    full = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}").lstrip("/")
     return {r.get("Id"): ((r.get("Type") or "").rpartition("/")[2], full(r.get("Target") or "")) for r in found if r.get("TargetMode") != "External"}
 
 
-def _object(node: ET.Element, z: zipfile.ZipFile, related: dict) -> dict | None:
+def slide_parts(z: zipfile.ZipFile) -> list[str]:
+    """The slides' parts as the presentation lists them; by number where the package has no presentation part."""
+    names = set(z.namelist())
+    main = next((part for kind, part in _related(z, "").values() if kind == "officeDocument"), "ppt/presentation.xml")
+    if main not in names:
+        return sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int("".join(c for c in n if c.isdigit())))
+    related = _related(z, main)
+    listed = [related.get(e.get(f"{R}id"), ("", ""))[1] for e in ET.fromstring(z.read(main)).iterfind(f"{P}sldIdLst/{P}sldId")]
+    return [part for part in listed if part in names]
+
+
+@dataclass(frozen=True)
+class Place:
+    """How lengths within a group become lengths on the slide, for one axis: start + scale * (x - origin)."""
+
+    start: float = 0.0
+    scale: float = 1.0
+    origin: float = 0.0
+
+    def of(self, x: float) -> float:
+        return self.start + self.scale * (x - self.origin)
+
+    def within(self, start: float, size: float, origin: float, extent: float) -> Place:
+        """The axis of a group that stands here."""
+        return Place(self.of(start), self.scale * (size / extent if extent else 1.0), origin)
+
+
+def _pair(frame: ET.Element | None, name: str, first: str, second: str) -> tuple[float, float]:
+    node = frame.find(f"{A}{name}") if frame is not None else None
+    return (float(node.get(first) or 0), float(node.get(second) or 0)) if node is not None else (0.0, 0.0)
+
+
+def _shapes(tree: ET.Element, x: Place = Place(), y: Place = Place()) -> Iterator[tuple[ET.Element, Place, Place]]:
+    """Shapes in the order of the file, those of groups with the group's place; of alternative forms the first."""
+    for node in tree:
+        if node.tag == f"{P}grpSp":
+            frame = node.find(f"{P}grpSpPr/{A}xfrm")
+            (left, top), (width, height) = _pair(frame, "off", "x", "y"), _pair(frame, "ext", "cx", "cy")
+            (from_x, from_y), (wide, high) = _pair(frame, "chOff", "x", "y"), _pair(frame, "chExt", "cx", "cy")
+            yield from _shapes(node, x.within(left, width, from_x, wide), y.within(top, height, from_y, high))
+        elif node.tag == f"{COMPAT}AlternateContent":
+            choice = node.find(f"{COMPAT}Choice")
+            yield from _shapes(choice if choice is not None else node.find(f"{COMPAT}Fallback") or (), x, y)
+        elif node.tag in (f"{P}sp", f"{P}pic", f"{P}graphicFrame"):
+            yield node, x, y
+
+
+def _object(node: ET.Element, x: Place, y: Place, z: zipfile.ZipFile, related: dict) -> dict | None:
     """A shape as a formula, picture, table or text: what it is first of these."""
-    off = node.find(f"./{P}spPr/{A}xfrm/{A}off")
-    off = node.find(f"./{P}xfrm/{A}off") if off is None else off
-    out = {"obj_type": "text", "content": None, "top": int(off.get("y", 0)) if off is not None else 0, "rows": None, "image": None}
+    frame = node.find(f"./{P}spPr/{A}xfrm")
+    frame = node.find(f"./{P}xfrm") if frame is None else frame
+    (left, top), (width, height) = _pair(frame, "off", "x", "y"), _pair(frame, "ext", "cx", "cy")
+    at = {"top": round(y.of(top)), "left": round(x.of(left)), "width": round(width * x.scale), "height": round(height * y.scale)} if frame is not None else {"top": 0, "left": 0, "width": 0, "height": 0}
+    out = {"obj_type": "text", "content": None, **at, "rows": None, "latex_result": None, "image": None}
     formula = node.find(f".//{{{formulas.MATH}}}oMath")
     table = node.find(f".//{A}tbl")
     if formula is not None:
-        return out | {"obj_type": "omml_formula", "content": ET.tostring(formula, encoding="unicode")}
+        xml = ET.tostring(formula, encoding="unicode")
+        return out | {"obj_type": "omml_formula", "content": xml, "latex_result": formula_latex(xml)}
     if node.tag == f"{P}pic":
         blip = node.find(f".//{A}blip")
         _, part = related.get(blip.get(f"{R}embed") if blip is not None else None, ("", ""))
@@ -170,20 +224,23 @@ def _object(node: ET.Element, z: zipfile.ZipFile, related: dict) -> dict | None:
     return out | {"content": text} if text else None
 
 
+@functools.lru_cache(1 << 12)
+def formula_latex(xml: str) -> str | None:
+    return formulas.to_latex(xml)
+
+
 def read_slides(content: bytes) -> list[dict]:
-    """The slides of a PPTX file in order: slide_number, title, objects (by height on the slide, ties as stored), notes."""
+    """The slides of a PPTX file as it shows them: slide_number, title, objects (by height on the slide, ties as stored), notes."""
     out = []
     with zipfile.ZipFile(BytesIO(content)) as z:
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int("".join(c for c in n if c.isdigit())))
-        for number, name in enumerate(names, 1):
+        for number, name in enumerate(slide_parts(z), 1):
             related, title, objects, notes = _related(z, name), "", [], ""
             tree = ET.fromstring(z.read(name)).find(f"{P}cSld/{P}spTree")
-            for node in tree if tree is not None else ():
+            for node, x, y in _shapes(tree) if tree is not None else ():
                 holder = node.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
                 if holder is not None and holder.get("type") in ("title", "ctrTitle") and not title:
                     title = _said(node)
-                    continue
-                if node.tag in (f"{P}sp", f"{P}pic", f"{P}graphicFrame") and (found := _object(node, z, related)) is not None:
+                elif (found := _object(node, x, y, z, related)) is not None:
                     objects.append(found)
             for kind, part in related.values():
                 if kind == "notesSlide" and part in z.namelist():
@@ -198,34 +255,38 @@ def read_slides(content: bytes) -> list[dict]:
 def slides(files: DataFrame, content: str) -> DataFrame:
     """The other columns of files, and slide_number, title, objects and notes of each slide of their PPTX content.
 
-    Formulas come with their LaTeX, tables as tabular, pictures named by the digest of their bytes; notes that are a
-    template's prompt are empty. A content that is no PPTX file gives one row without a slide and with an error.
+    Slides come in the presentation's order, and shapes of groups at their place on the slide. Formulas come with their
+    LaTeX, tables as tabular, pictures named by the digest of their bytes (`pictures` has them once each); notes that
+    are a template's prompt are empty. A content that is no PPTX file gives one row without a slide and with an error.
+    Rows are read each by itself, repeated ones too, and nothing is shuffled.
     """
     rest = [c for c in files.columns if c != content]
     kind = f"array<struct<slide_number:int,title:string,objects:array<{OBJECT}>,notes:string>>"
+    target = to_arrow_type(DataType.fromDDL(kind))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
         for batch in batches:
-            got, errors = [], []
-            for blob in batch.column(batch.num_columns - 1).to_pylist():
+            for k in range(batch.num_rows):  # a file at a time: pictures are large
+                row = batch.slice(k, 1)
                 try:
-                    got.append(read_slides(blob))
-                    errors.append(None)
+                    got, error = read_slides(row.column(batch.num_columns - 1)[0].as_py()), None
                 except Exception as e:  # noqa: BLE001  a file that cannot be read is a result here
-                    got.append(None)
-                    errors.append(str(e)[:500])
-            target = target or pa.list_(pa.struct([("slide_number", pa.int32()), ("title", pa.string()), ("objects", pa.list_(pa.struct([("obj_type", pa.string()), ("content", pa.string()), ("top", pa.int64()), ("rows", pa.list_(pa.list_(pa.string()))), ("image", pa.binary())]))), ("notes", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, target), pa.array(errors, pa.string())], names=[*rest, "_slides", "error"])
+                    got, error = None, str(e)[:500]
+                yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([got], target), pa.array([error], pa.string())], names=[*rest, "_slides", "error"])
 
     schema = StructType([files.schema[c] for c in rest]).add("_slides", DataType.fromDDL(kind)).add("error", "string")
     d = files.select(*rest, content).mapInArrow(work, schema).select(*rest, "error", F.explode_outer("_slides").alias("s")).select(*rest, "error", "s.*")
-    each = d.select("*", F.posexplode_outer("objects").alias("_pos", "_o"))
-    named = formulas.convert(each.withColumn("_xml_of", F.when(F.col("_o.obj_type") == "omml_formula", F.col("_o.content"))), "_xml_of", "_tex")
-    shown = F.when(F.col("_o.obj_type") == "table", tabular(F.col("_o.rows"))).otherwise(F.col("_o.content"))
-    o = F.when(F.col("_o").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_o.obj_type").alias("obj_type"), shown.alias("content"), F.col("_o.top").alias("top"), F.col("_tex").alias("latex_result"), F.col("_o.image").alias("image")))
-    g = named.groupBy(*rest, "error", "slide_number", "title", "notes").agg(F.array_sort(F.collect_list(o)).alias("objects"))
-    return g.withColumn("notes", F.when(notes_placeholder(F.col("notes")), "").otherwise(F.col("notes")))
+    shown = lambda o: F.when(o.obj_type == "table", tabular(o.rows)).otherwise(o.content)
+    fields = ("top", "left", "width", "height", "latex_result", "image")
+    one = lambda o, i: F.struct(i.alias("pos"), o.obj_type.alias("obj_type"), shown(o).alias("content"), *[o.getField(f).alias(f) for f in fields])
+    d = d.withColumn("objects", F.transform(F.coalesce("objects", F.expr(f"cast(array() as array<{OBJECT}>)")), one))
+    return d.withColumn("notes", F.when(notes_placeholder(F.col("notes")), "").otherwise(F.col("notes")))
+
+
+def pictures(found: DataFrame) -> DataFrame:
+    """md5, image of each distinct picture of `slides`."""
+    each = found.select(F.explode("objects").alias("o")).where("o.obj_type = 'image'")
+    return each.groupBy(F.col("o.content").alias("md5")).agg(F.any_value("o.image").alias("image"))
 
 
 @register("pptx")
@@ -236,7 +297,7 @@ def pptx_text(content: bytes) -> str:
         shown = []
         for o in s["objects"]:
             if o["obj_type"] == "omml_formula":
-                shown.append(f"[FORMULA: {formulas.to_latex(o['content']) or ''}]")
+                shown.append(f"[FORMULA: {o['latex_result'] or ''}]")
             elif o["obj_type"] == "table":
                 shown.append("[TABELLA: " + "\n".join(" | ".join(r) for r in o["rows"]) + "]")
             elif o["obj_type"] == "text":

@@ -1,6 +1,8 @@
 import hashlib
+import io
 import json
 import re
+import zipfile
 
 import numpy as np
 import pytest
@@ -247,6 +249,72 @@ def test_slides_of_a_presentation(spark):
     assert text.startswith("--- SLIDE 1: Titolo ---\nsopra\n[FORMULA: \\pi]\n[TABELLA: a | b\nc]\nsotto") and text.endswith("--- SLIDE 2 ---")
 
 
+def package(parts):
+    """A PPTX file by hand: part names and their XML."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return bytearray(out.getvalue())
+
+
+SPACES = (
+    'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" '
+    'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" '
+    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+)
+
+
+def shape(text, y, inner=""):
+    return f'<p:sp><p:spPr><a:xfrm><a:off x="4" y="{y}"/><a:ext cx="10" cy="20"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r>{inner}</a:p></p:txBody></p:sp>'
+
+
+def slide(body):
+    return f"<p:sld {SPACES}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>"
+
+
+def relations(rows):
+    return '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="x/{k}" Target="{t}"/>' for i, k, t in rows) + "</Relationships>"
+
+
+def test_slides_in_the_presentations_order(spark):
+    """Slides moved by their author keep old part names, some are no longer listed; the same file twice is two rows."""
+    parts = {
+        "_rels/.rels": relations([("a", "officeDocument", "/deck/main.xml")]),
+        "deck/main.xml": f'<p:presentation {SPACES}><p:sldIdLst><p:sldId r:id="c"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
+        "deck/_rels/main.xml.rels": relations([("a", "slide", "slides/slide1.xml"), ("b", "slide", "slides/slide2.xml"), ("c", "slide", "slides/slide10.xml")]),
+        "deck/slides/slide1.xml": slide(shape("one", 5)),
+        "deck/slides/slide2.xml": slide(shape("gone", 5)),
+        "deck/slides/slide10.xml": slide(shape("ten", 5)),
+    }
+    d = spark.createDataFrame([(1, package(parts)), (1, package(parts)), (2, package({"ppt/slides/slide10.xml": slide(shape("b", 1)), "ppt/slides/slide9.xml": slide(shape("a", 1))}))], "k int, content binary")
+    got = sorted((r["k"], r["slide_number"], [o["content"] for o in r["objects"]]) for r in connectors.slides(d, "content").collect())
+    assert got == [(1, 1, ["ten"]), (1, 1, ["ten"]), (1, 2, ["one"]), (1, 2, ["one"]), (2, 1, ["a"]), (2, 2, ["b"])]
+    plan = connectors.slides(d, "content")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_shapes_of_groups(spark):
+    """Shapes of nested groups stand where the groups put them; formulas in groups and in alternative content are read."""
+    formula = '<m:oMath><m:r><m:t>π</m:t></m:r></m:oMath>'
+    frame = lambda y, h, cy, ch: f'<p:grpSpPr><a:xfrm><a:off x="100" y="{y}"/><a:ext cx="50" cy="{h}"/><a:chOff x="0" y="{cy}"/><a:chExt cx="100" cy="{ch}"/></a:xfrm></p:grpSpPr>'
+    inner = f"<p:grpSp>{frame(1000, 100, 0, 200)}{shape('deep', 100)}</p:grpSp>"
+    choice = f"<mc:AlternateContent><mc:Choice Requires='a14'>{shape('', 3000, formula)}</mc:Choice><mc:Fallback>{shape('picture of it', 3000)}</mc:Fallback></mc:AlternateContent>"
+    body = shape("first", 10) + f"<p:grpSp>{frame(500, 100, 1000, 1000)}{inner}{shape('late', 2000)}</p:grpSp>" + choice + shape("between", 503) + "<p:grpSp/>"
+    content = package({"ppt/slides/slide1.xml": slide(body), "ppt/slides/slide2.xml": slide(f"<p:grpSp>{shape('', 7, formula)}</p:grpSp>")})
+    rows = {r["slide_number"]: r["objects"] for r in connectors.slides(spark.createDataFrame([(1, content)], "k int, content binary"), "content").collect()}
+    assert [(o["content"] if o["obj_type"] == "text" else o["latex_result"], o["top"]) for o in rows[1]] == [("first", 10), ("between", 503), ("deep", 505), ("late", 600), (r"\pi", 3000)]
+    deep = rows[1][2]
+    assert (deep["left"], deep["width"], deep["height"], deep["pos"]) == (151, 2, 1, 2)
+    assert [o["obj_type"] for o in rows[2]] == ["omml_formula"]
+
+
+def test_pictures_once_each(spark):
+    one, two = {"title": "A", "notes": "", "shapes": [("image", 1, b"PNG")]}, {"title": "B", "notes": "", "shapes": [("image", 1, b"PNG"), ("text", 2, "t")]}
+    found = connectors.slides(spark.createDataFrame([(1, deck(one, two)), (2, deck(two))], "k int, content binary"), "content")
+    assert [(r["md5"], bytes(r["image"])) for r in connectors.pictures(found).collect()] == [(hashlib.md5(b"PNG").hexdigest(), b"PNG")]
+
+
 def test_pages_of_two_readers(spark):
     """The denser text of each page; tables follow the first reader's text; pages that one reader lacks come from the other."""
     layout = [{"page": 1, "text": "a b c", "tables": [[["x", None], ["", " "], ["y", "z"]]]}, {"page": 2, "text": "w   i   d   e", "tables": []}, {"page": 4, "text": "", "tables": []}]
