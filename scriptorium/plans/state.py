@@ -10,7 +10,6 @@ from scriptorium.operators import context, jobs, render, sequence
 from scriptorium.plans.texts import query
 from scriptorium.session import table
 from scriptorium.sources import files
-from scriptorium.streaming import streams
 
 
 @query("context_prev", """
@@ -233,15 +232,3 @@ def page_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = files.content_table(table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("content")))
     return blobs.select("md5", F.octet_length("content").cast("long").alias("n_bytes"))
-
-
-@query("stream_latest", "select user_id, max_by(event_type, (ts, event_id)) as event_type, max(event_id) filter (event_type = 'error') as last_error from events group by user_id")
-def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream into a keyed table, and that table at the end."""
-    return streams.latest_by_stream(spark, f"{sf_dir}/events.parquet")
-
-
-@query("stream_windows", "select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by day of the batch form of the streaming transformation."""
-    return streams.daily(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

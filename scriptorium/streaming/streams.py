@@ -1,15 +1,15 @@
-"""Streaming forms: keyed latest state, tailing of logs, expiry, and windows with late data."""
+"""Streaming forms: keyed latest state, expiry, and windows and sessions with late data."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from scriptorium.session import new_dir
+from scriptorium.streaming.stateful import drain
+from scriptorium.streaming.tables import KeyedTable
 
 LAG = "1 day"
 
@@ -33,71 +33,39 @@ def daily(events: DataFrame) -> DataFrame:
     return d.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_into(path: str, key: str, order: list[str]):
-    """A foreachBatch writer that keeps the last row of each key: each batch is merged into a new version of the table."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != key]
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        best = old.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s"))
-        best.select(key, *[F.col(f"s.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
-
-
 def latest_by_stream(spark: SparkSession, path: str) -> DataFrame:
     """user_id, event_type, last_error of a stream of events, once all that is there has been read."""
-    kept, log = new_dir(spark, "latest"), new_dir(spark, "stream")
     events = source(spark, path).select("user_id", "ts", "event_id", "event_type")
     errors = F.max(F.when(F.col("event_type") == "error", F.col("event_id")))
+    last = F.max(F.struct("ts", "event_id", "event_type")).alias("last")
+    told = lambda rows: rows.groupBy("user_id").agg(last, errors.alias("last_error"))
+    schema = told(spark.createDataFrame([], events.schema)).schema
+    table = KeyedTable(spark, new_dir(spark, "latest"), schema, "user_id")
+    combine = lambda rows: rows.groupBy("user_id").agg(F.max("last").alias("last"), F.max("last_error").alias("last_error"))
+    drain(events, new_dir(spark, "log"), write=lambda batch, number: table.merge(told(batch), number, combine))
+    return table.read().select("user_id", F.col("last.event_type").alias("event_type"), "last_error")
 
-    def write(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), errors.alias("last_error"))
-        if number:
-            old = s.read.schema(new.schema).parquet(f"{kept}/v{number - 1}")
-            new = old.unionByName(new).groupBy("user_id").agg(F.max("last").alias("last"), F.max("last_error").alias("last_error"))
-        new.write.mode("overwrite").parquet(f"{kept}/v{number}")
-
-    q = events.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId", -1)
-    if last < 0:
-        return spark.createDataFrame([], "user_id bigint, event_type string, last_error bigint")
-    return spark.read.parquet(f"{kept}/v{last}").select("user_id", F.col("last.event_type").alias("event_type"), "last_error")
-
-
-def tail(lines: DataFrame, job: str, text: str) -> DataFrame:
-    """Lines of logs that are not blank; where a reader stands is the query's checkpoint, in whole records."""
-    return lines.where(F.trim(text) != "").select(job, text)
-
-
-class LessonMemory(StatefulProcessor):
-    """Per course: the last version of each lesson, with how many lessons are known; state expires by its time to live."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl = ttl_ms
+def sessions(rows: DataFrame, key: str, gap: str, late: str = LAG) -> DataFrame:
+    """key, start, end, n, first, last: runs of a key's rows with less than `gap` between them.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lessons = handle.getMapState("lessons", "number long", "title string", ttlDurationMs=self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
+    As a stream, a session is given once the watermark has passed its end; a row that comes when its own session would have
+    closed is late and counted as dropped in the query's progress. Rows out of order, but in time, join the sessions that
+    they belong to, and sessions that they bridge become one. rows: key, ts, seq.
+    """
+    d = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    g = d.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "first", "last")
 
-        for part in rows:
-            for number, title in zip(part["number"], part["title"], strict=True):
-                self.lessons.updateValue((int(number),), (title,))
-        known = sorted(k[0] for k in self.lessons.keys())
-        yield pd.DataFrame({"course": [key[0]], "known": [len(known)], "last": [known[-1] if known else 0]})
 
-    def close(self) -> None:
-        pass
+def dropped(queries: list[StreamingQuery]) -> int:
+    """Rows that came after the watermark had passed them, by the progress of queries."""
+    return sum(s["numRowsDroppedByWatermark"] for q in queries for p in q.recentProgress for s in p["stateOperators"])
 
 
-def lesson_memory(lessons: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """course, known, last after each batch of a stream of (course, number, title)."""
-    return lessons.groupBy("course").transformWithStateInPandas(LessonMemory(ttl_ms), "course string, known long, last long", "Update", "ProcessingTime" if ttl_ms else "None")
+def tail(lines: DataFrame, job: str, text: str) -> DataFrame:
+    """Lines of logs that are not blank; `stateful.log_tail` also says where a reader stands and when a log ends."""
+    return lines.where(F.trim(text) != "").select(job, text)
 
 
 def expire(events: DataFrame, key: str) -> DataFrame:
