@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def write_texts(rows: DataFrame, path: str, key: str, text: str) -> None:
+def write_texts(rows: DataFrame, path: str, key: str, text: str, mode: str = "overwrite") -> None:
     """A text file below `key=<value>` for each row; Spark's committer renames finished files only."""
-    rows.select(key, text).repartition(key).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+    rows.select(key, text).repartition(key).write.mode(mode).partitionBy(key).option("lineSep", "\n").text(path)
 
 
 def write_state(state: DataFrame, path: str) -> None:
