@@ -6,9 +6,31 @@ Java's \\s, \\w and case folding cover ASCII only unless (?U) is set, and its ^
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: White space of Unicode, as (?U)\\s has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value told once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def told(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is told once for each row, however many filters and columns above name it.
+
+    The optimizer puts a column's expression in place of its name, in each filter and function that it stands in; it does not
+    do so with what a generator gives.
+    """
+    return rows.select(*[c for c in rows.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
+def visible(text: Column) -> Column:
+    """How many characters are no white space."""
+    return F.length(F.translate(text, SPACES, ""))
+
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -26,7 +48,7 @@ def lines(text: Column) -> Column:
 def text_lines(text: Column) -> Column:
     """Split at every line end; a last empty line does not count."""
     parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return once(parts, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
 
 
 def empty(kind: str = "string") -> Column:

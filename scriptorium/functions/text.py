@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.pyre import empty, lines, rstrip, strip, text_lines
+from scriptorium.functions.pyre import SPACES, empty, lines, once, rstrip, strip, text_lines, visible
 
 #: What cleaning removes, in order.
 REMOVE = (
@@ -79,10 +79,14 @@ def clean(text: Column) -> Column:
 
 
 def repair_doubled(text: Column) -> Column:
-    """Characters all written twice, by some fonts, become single where pairs are over 0.4 of what is visible."""
-    seen = F.regexp_replace(text, r"(?U)\s", "")
-    pairs = F.length(seen) - F.length(F.regexp_replace(seen, r"(?d)(.)\1", "$1"))  # each pair shrinks by one
-    return F.when((F.length(seen) > 0) & (pairs / F.length(seen) > 0.40), F.regexp_replace(text, r"(?d)(.)\1", "$1")).otherwise(text)
+    """Characters all written twice, by some fonts, become single where pairs are over 0.4 of what is visible.
+
+    So many pairs stand side by side somewhere; a text without two such pairs is not counted.
+    """
+    seen = F.translate(text, SPACES, "")
+    pair, two = r"(?d)(.)\1", r"(?d)(.)\1(.)\2"
+    counted = once(seen, lambda x: x.rlike(two) & ((F.length(x) - F.length(F.regexp_replace(x, pair, "$1"))) / F.length(x) > 0.40))  # each pair shrinks by one
+    return F.when(F.coalesce(counted, F.lit(False)), F.regexp_replace(text, pair, "$1")).otherwise(text)
 
 
 def clean_extracted(text: Column) -> Column:
@@ -111,7 +115,7 @@ def compression_mode(tokens: Column, forced: Column | None = None, dense: int =
 
 def density(text: Column) -> Column:
     """Share of visible characters (empty: 0)."""
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"(?U)\s", "")) / F.length(text)).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, visible(text) / F.length(text)).otherwise(F.lit(0.0))
 
 
 def drop_fillers(text: Column, patterns: tuple[str, ...] = FILLER) -> Column:

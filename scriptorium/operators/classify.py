@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.pyre import strip, text_lines
+from scriptorium.functions.pyre import once, strip, text_lines
 from scriptorium.functions.text import SPARSE
 
 #: Extensions by kind of source, and names that a folder scan skips.
@@ -48,11 +48,6 @@ def ratio_transcript(stamped: Column, n: Column) -> Column:
     return (n > 0) & (stamped / n >= F.when(n <= 10, 0.30).otherwise(0.10))
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with value told once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def subject_scores(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """array<struct<score, ord, subject>>: how many distinct keywords each subject has in the text, as substrings."""
 

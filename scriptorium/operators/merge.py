@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.pyre import once, told
 from scriptorium.functions.text import SPARSE, clean_extracted, density
 
 
@@ -12,8 +13,9 @@ def pick_denser(first: DataFrame, second: DataFrame, keys: list[str], text: str)
     """Of two texts of a page the one with more visible characters per length (ties: the first), cleaned; empty pages go."""
     a, b = first.select(*keys, F.col(text).alias("_a")), second.select(*keys, F.col(text).alias("_b"))
     d = a.join(b, keys, "full_outer").withColumns({"_a": F.coalesce("_a", F.lit("")), "_b": F.coalesce("_b", F.lit(""))})
-    better = density(F.regexp_replace("_a", "  +", " ")) >= density(F.col("_b"))
-    d = d.withColumn(text, clean_extracted(F.when(better, F.col("_a")).otherwise(F.col("_b"))))
+    better = once(F.regexp_replace("_a", "  +", " "), density) >= density(F.col("_b"))
+    d = told(d, "_t", F.when(better, F.col("_a")).otherwise(F.col("_b")))
+    d = told(d, text, clean_extracted(F.col("_t")))
     return d.where(F.col(text) != "").select(*keys, text, F.length(text).alias("chars_count"))
 
 

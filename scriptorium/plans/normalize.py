@@ -1,7 +1,7 @@
 """The library path: three texts of a lesson to one normalised record and its prompt.
 
 Everything is column expressions over one row for each lesson, but two steps that work on rows: deduplicating
-paragraphs and cutting into sections. Both partition by the lesson, so they share one exchange.
+paragraphs and cutting into sections. Texts are cleaned once and written, as the branches of the plan all read them.
 """
 
 from __future__ import annotations
@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.functions.pyre import strip
+from scriptorium.functions.pyre import strip, told
 from scriptorium.operators import classify, render, sequence
+from scriptorium.session import materialize
 
 
 def normalize(lessons: DataFrame, key: str, forced_mode: str | None = None) -> DataFrame:
     """lessons: key, title, transcript, slides, extra, hint, context. Adds subject, mode, tokens, sections, formulas, prompt."""
-    d = lessons.select(key, "title", "hint", "context", "transcript", "slides", T.clean(F.col("transcript")).alias("tr"), T.clean(F.col("slides")).alias("sl"), T.clean(F.col("extra")).alias("ex"))
+    names = {"transcript": "tr", "slides": "sl", "extra": "ex"}
+    d = lessons.select(key, "title", "hint", "context", *names)
+    for text, clean in names.items():
+        d = told(d, clean, F.when(F.coalesce(F.col(text), F.lit("")) != "", T.clean(F.col(text))).otherwise(F.lit("")))
     d = d.withColumn("subject", classify.subject(classify.sample(F.col("sl"), F.col("tr")), F.col("hint")))
     part = lambda tag, c: F.when(F.col(c) != "", F.concat(F.lit(f"[{tag}]\n"), F.col(c)))
     d = d.withColumn("raw", F.array_join(F.array_compact(F.array(part("SLIDE", "sl"), part("TRASCRIZIONE", "tr"), part("DOCUMENTI", "ex"))), "\n\n"))
-    d = sequence.extract_math(d.withColumn("body", F.col("raw")), "body")
+    d = materialize(sequence.extract_math(d.withColumn("body", F.col("raw")), "body"), "lessons")  # four branches read it
     paragraphs = sequence.explode_lines(d, key, "body", "\n\n").where(strip(F.col("line")) != "")
     kept = sequence.dedup_first(paragraphs, [key], "pos", "line")
-    whole = sequence.implode(kept, key, "pos", "line", "clean_text", "\n\n")
+    whole = materialize(sequence.implode(kept, key, "pos", "line", "clean_text", "\n\n"), "whole")
     rows = sequence.explode_lines(whole, key, "clean_text")
     parts = sequence.parse_sections(rows, key, "pos", "line")
     body = F.transform(F.array_sort(F.collect_list(F.struct("sid", F.coalesce("heading", F.lit("")).alias("heading"), "body"))), lambda s: F.struct(s.heading.alias("heading"), s.body.alias("body")))
