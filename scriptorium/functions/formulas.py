@@ -48,6 +48,7 @@ FUNCTION = {
 ACCENT = {"\u0302": "hat", "\u0303": "tilde", "\u0304": "bar", "\u0300": "grave", "\u0301": "acute", "\u0308": "ddot", "\u0307": "dot", "\u20d7": "vec", "\u0306": "breve", "\u030c": "check", "\u030a": "mathring"}
 #: Delimiters, as they stand after \left and \right.
 DELIMITER = {"(": "(", ")": ")", "[": "[", "]": "]", "{": r"\{", "}": r"\}", "|": "|", "‖": r"\|", "⌈": r"\lceil", "⌉": r"\rceil", "⌊": r"\lfloor", "⌋": r"\rfloor", "⟨": r"\langle", "⟩": r"\rangle", "": "."}
+#: Matrix environments by delimiters, and marks over and under groups.
 MATRIX = {("(", ")"): "pmatrix", ("[", "]"): "bmatrix", ("{", "}"): "Bmatrix", ("|", "|"): "vmatrix", ("‖", "‖"): "Vmatrix", ("", ""): "matrix"}
 GROUP = {"⏞": "overbrace", "⏟": "underbrace", "⎵": "underbrace", "‾": "overline", "_": "underline"}
 #: Elements that only describe others.
@@ -99,14 +100,17 @@ ON = ("1", "true", "on")
 
 
 def _run(f: Formula) -> str:
-    """A run's first text: bold, upright, or as it is."""
-    text = next((symbols(t.text or "") for t in f.node.findall(f"{{{MATH}}}t")), "")
-    style = f.node.find(f"{{{MATH}}}rPr")
-    if not text or style is None:
-        return text
-    if f.has("rPr", "b"):
+    """The texts of a run. Its style is plain (upright), bold, italic or both bold and italic; normal text is upright too."""
+    text = "".join(symbols(t.text or "") for t in f.node.findall(f"{{{MATH}}}t"))
+    style = f.value("", "rPr", "sty", absent="i")
+    upright = style == "p" or f.has("rPr", "nor") and f.value("1", "rPr", "nor", absent="1") in ON
+    if not text:
+        return ""
+    if style == "bi":
+        return rf"\boldsymbol{{{text}}}"
+    if style == "b" or f.has("rPr", "b"):
         return rf"\mathbf{{{text}}}"
-    return rf"\mathrm{{{text}}}" if text.isalpha() and (f"{{{MATH}}}sty", "p") in style.items() else text
+    return rf"\mathrm{{{text}}}" if upright and text.isalpha() else text
 
 
 def _fraction(f: Formula) -> str:

@@ -149,6 +149,7 @@ def clean_answer(text: Column, compat: bool = False) -> Column:
 
     compat: what follows the *first* line that ends in \\end{} or } goes, as the original rule has it.
     """
+    # must-match patterns of fences, of a chapter's first command and of its closing
     t = strip(F.regexp_replace(F.regexp_replace(text, r"(?mdU)^```(?:latex)?\s*\n", ""), r"(?mdU)\n```\s*$", ""))
     first = F.regexp_instr(t, F.lit(r"\\(?:section|chapter|subsection|begin)\s*[\[{]"))
     t = F.when(first > 1, F.substring(t, first, F.length(t))).otherwise(t)

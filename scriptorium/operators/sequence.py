@@ -121,6 +121,7 @@ def title_sections(rows: DataFrame, key: str, pos: str, line: str) -> DataFrame:
 def marked_heading(line: Column) -> Column:
     """Heading of a slide or page marker, or of a line in capitals."""
     t = strip(line)
+    # must-match patterns of markers and of headings in capitals
     mark = r"(?iU)^---\s*(?:SLIDE|PAG)\s*(\d+)\s*---\s*$"
     caps = t.rlike(r"(?U)^[A-Z][A-Z\s\-:]{8,}$") & (F.length(t) > 10)
     return F.when(t.rlike(mark), F.concat(F.lit("Slide / Pagina "), F.regexp_extract(t, mark, 1))).when(caps, title_case(t))
@@ -128,13 +129,14 @@ def marked_heading(line: Column) -> Column:
 
 def parse_sections(rows: DataFrame, key: str, pos: str, line: str) -> DataFrame:
     """Sections by markers and capitals; a time stamp before a line's text is dropped, and a line of a stamp alone."""
-    stamp = r"(?d)^\[\d{2}:\d{2}\](.*)$"
+    stamp = r"(?d)^\[\d{2}:\d{2}\](.*)$"  # a must-match pattern
     t = strip(F.col(line))
     rest = F.when(t.rlike(stamp), strip(F.regexp_extract(t, stamp, 1))).otherwise(F.col(line))
     d = rows.withColumn("_stamped", t.rlike(stamp)).withColumn("_rest", rest).where(~F.col("_stamped") | (F.col("_rest") != ""))
     return sections_by(d, key, pos, "_rest", marked_heading(F.col(line)))
 
 
+#: Must-match patterns: display formulas, environments and inline formulas.
 DISPLAY = r"\$\$[\s\S]{2,2000}?\$\$"
 ENVIRONMENT = r"\\begin\{(?:equation|align|gather|multline|cases|pmatrix|bmatrix|vmatrix|array)\*?\}[\s\S]*?\\end\{(?:equation|align|gather|multline|cases|pmatrix|bmatrix|vmatrix|array)\*?\}"
 INLINE = r"(?d)\$[^$\n]{2,120}\$"

@@ -10,7 +10,7 @@ from scriptorium.functions import text as T
 from scriptorium.functions.pyre import lines, name_title, safe_name, strip
 from scriptorium.operators import classify, render, sequence
 from scriptorium.plans.normalize import normalize
-from scriptorium.plans.texts import noise_sql, query, sql_map, subject_sql
+from scriptorium.plans.texts import sql_text, noise_sql, query, sql_map, subject_sql
 from scriptorium.session import ship, table
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -96,9 +96,23 @@ def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.wrap(F.col("text"), 40).alias("wrapped"))
 
 
-@query("clean_answer", f"select doc_id, '\\section{{{{Doc ' || doc_id || '}}}}' || chr(10) || text || chr(10) || '\\end{{{{document}}}}' as tex from documents".replace("{{", "{").replace("}}", "}"))
+#: What models put before and after a chapter, and what of the closing stays.
+ANSWERS = (
+    ("Ecco il capitolo:\n```latex\n", "\n\\end{document}\n```\nFine.", "\n\\end{document}"),
+    ("```\n", "\n\\end{itemize}\nUn saluto\n```", "\n\\end{itemize}"),
+    ("Certo! ", "\n}\n  \nSpero che sia utile.", "\n}"),
+    ("", "\n\\end{a}\n\\subsection{b} x\n\\end{c} \n\n", "\n\\end{a}\n\\subsection{b} x\n\\end{c}"),
+    ("  \n", "", ""),
+)
+
+
+@query("clean_answer", r"""
+select doc_id, regexp_replace('\section{Doc ' || doc_id || '}' || chr(10) || translate(text, '}`', '') || case doc_id % 5 """.replace(r"\\", "\\") + " ".join(f"when {k} then {sql_text(kept)}" for k, (_, _, kept) in enumerate(ANSWERS)) + r""" end, '^\s+|\s+$', '', 'g') as tex from documents""")
 def clean_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("Ecco il capitolo:\n```latex\n\\section{Doc "), F.col("doc_id").cast("string"), F.lit("}\n"), F.col("text"), F.lit("\n\\end{document}\n```\nFine."))
+    """Chapters as models give them: with and without fences, words before and after, and more than one closing."""
+    k = (F.col("doc_id") % len(ANSWERS) + 1).cast("int")
+    side = lambda i: F.element_at(F.array(*[F.lit(a[i]) for a in ANSWERS]), k)
+    said = F.concat(side(0), F.lit("\\section{Doc "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "}`", ""), side(1))
     return _documents(spark, sf_dir).select("doc_id", T.clean_answer(said).alias("tex"))
 
 
@@ -272,6 +286,10 @@ def _pr(name: str, **values: str) -> str:
 _SCRIPT = "'||case when length(p_size::varchar) = 1 then p_size::varchar else '{'||p_size||'}' end||'"
 _LINE = "'||chr(10)||'"
 #: A formula for each kind of element, with the LaTeX of it as SQL.
+def _styled(style: str, text: str) -> str:
+    return f"<m:r><m:rPr>{style}</m:rPr><m:t>{text}</m:t></m:r>"
+
+
 SHAPES = [
     (_math("sSup", _arg("x"), _math("sup", _run(SIZE))), f"x^{_SCRIPT}"),
     (_math("sSub", _arg("x"), _math("sub", _run(SIZE))), f"x_{_SCRIPT}"),
@@ -295,6 +313,11 @@ SHAPES = [
     (_run("α ≤  §…"), r"\alpha \leq §\ldots"),
     (_math("unknown", _run(SIZE), _math("f", _math("num", _run("1")), _math("den", _run(SIZE)))), r"§\frac{1}{§}"),
     (_math("rPr", _run(SIZE)), "§"),
+    (_styled('<m:sty m:val="p"/>', "ab"), r"\mathrm{ab}"),
+    (_styled('<m:nor/>', "cd") + _run(SIZE), r"\mathrm{cd}§"),
+    (_styled('<m:sty m:val="b"/>', SIZE), r"\mathbf{§}"),
+    (_styled('<m:sty m:val="bi"/>', "v"), r"\boldsymbol{v}"),
+    (_styled('<m:sty m:val="p"/>', SIZE), "§"),
 ]
 
 

@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def sql_text(text: str) -> str:
+    """A literal of SQL, line ends as chr(10)."""
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n"))
+
+
 def sql_map(table: dict[str, str]) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in table.items()) + "}"

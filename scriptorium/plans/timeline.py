@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import tables
-from scriptorium.operators import profiles, timeline
+from scriptorium.operators import pictures, profiles, timeline
 from scriptorium.plans.texts import ORACLE_SQL, query
 from scriptorium.session import new_dir, ship, table
 from scriptorium.sources import lessons, sinks, states
@@ -105,3 +105,18 @@ def lesson_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.write_texts(rows.where(part).drop("n_regionkey"), root, "n_nationkey", "text", mode="append")
         stateful.drain(spark.readStream.format("lessons").load(root).withColumn("batch", F.lit(k)), log, path=out)
     return spark.read.parquet(out).select("lesson", "kind", F.decode("content", "UTF-8").alias("text"), "batch")
+
+
+@query("pixel_threshold", """
+with p as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as x, cast(floor(l_quantity) * 5 as integer) as v from lineitem),
+t as (select l_orderkey, x, case when v > avg(v) over (partition by l_orderkey) - stddev_pop(v) over (partition by l_orderkey) * 0.5 then 255 else 0 end as v from p),
+s as (select l_orderkey, max(x) + 5 as w from p group by l_orderkey),
+f as (select l_orderkey, w, unnest(range(0, 5)) as y from s),
+g as (select l_orderkey, w, y, unnest(range(0, w)) as x from f)
+select g.l_orderkey, g.x, g.y, coalesce(t.v, 255) as v from g left join t on g.l_orderkey = t.l_orderkey and g.x = t.x + 2 and g.y = 2""")
+def pixel_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order as a line of pixels: black and white by the order's own threshold, with a frame two pixels wide."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", place.cast("long").alias("x"), F.lit(0).cast("long").alias("y"), (F.floor("l_quantity") * 5).cast("int").alias("grey"))
+    black = pictures.binarised(p, "l_orderkey", "grey", "v").select("l_orderkey", "x", "y", "v")
+    return pictures.framed(black, "l_orderkey", "x", "y", "v", border=2)

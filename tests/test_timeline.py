@@ -4,13 +4,14 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import tables
-from scriptorium.operators import profiles, sequence, timeline
+from scriptorium.operators import pictures, profiles, sequence, timeline
 from scriptorium.session import new_dir
-from scriptorium.sources import lessons, states
+from scriptorium.sources import connectors, lessons, states
 from scriptorium.streaming import stateful
 
 DAY = datetime(2024, 1, 1)
@@ -152,3 +153,21 @@ def test_offsets_of_one_moment(tmp_path, monkeypatch):
     assert stream.partitions(second, stream.latestOffset()) == []
     monkeypatch.setattr(lessons, "folders", lambda root: [])
     assert stream.latestOffset() == stream.initialOffset()
+
+
+def test_pictures_as_rows_of_pixels(spark):
+    """The rows of pixels give what the array gives."""
+    rng = np.random.default_rng(2)
+    shades = {k: rng.integers(0, 256, (3 + k, 5 + 2 * k)) for k in range(4)} | {9: np.full((1, 1), 7)}
+    rows = [(k, x, y, int(a[y, x])) for k, a in shades.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    black = pictures.binarised(spark.createDataFrame(rows, "k int, x long, y long, v int").repartition(3), "k", "v", "b")
+    out = pictures.framed(black.select("k", "x", "y", F.col("b").alias("v")), "k", "x", "y", "v").collect()
+    for k, a in shades.items():
+        want = connectors.binarised(a)
+        got = np.full(want.shape, -1)
+        for r in out:
+            if r["k"] == k:
+                got[r["y"], r["x"]] = r["v"]
+        assert (got == want).all() and sum(r["k"] == k for r in out) == want.size
+    nothing = pictures.binarised(spark.createDataFrame([(None, 1, 1, 5), (2, 0, 0, None)], "k int, x long, y long, v int"), "k", "v", "b").collect()
+    assert sorted(((r["k"], r["b"]) for r in nothing), key=repr) == [(2, None), (None, 0)]
