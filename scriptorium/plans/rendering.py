@@ -381,3 +381,37 @@ def lesson_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), t.alias("transcript"), none.alias("slides"), none.alias("extra"), none.alias("hint"), none.alias("context")).where("transcript <> ''")
     out = normalize(d, "doc_id").where("raw <> ''")
     return out.select("doc_id", "subject", "clean_text", "tokens", "mode", "prompt")
+
+
+TRANSCRIPT = noise_sql("case when timed then '[00:10] ' || one || chr(10) || '[00:20] Poi basta.' else one || chr(10) || 'Poi basta.' end")
+
+
+@query("lesson_full", f"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, trim(regexp_replace(translate(text, chr(10) || '$-', '   '), '\\s+', ' ', 'g')) as t from documents),
+r as (
+  select *, 'Prima ' || t as one, doc_id % 2 = 0 as timed, case when doc_id % 3 = 0 then 'Nota di ' || source else '' end as ex,
+    case when doc_id % 2 = 0 then '--- SLIDE 1: Titolo ' || doc_id || ' ---' || chr(10) || 'Corpo uno' || chr(10) || '--- SLIDE 2: Fine ---' || chr(10) || 'Corpo due ' || lang else '' end as sl from d where t <> ''),
+c as (select *, {TRIM.format(f"regexp_replace({TRANSCRIPT}, '[^[:^space:]]+' || chr(10), chr(10), 'g')").replace("[^[:^space:]]+", "[ " + chr(92) + "t]+")} as tr from r),
+s as (select * from ({subject_sql("select doc_id, left(sl, 3000) || ' ' || left(tr, 2000) as t from c", classify.KEYWORDS)})),
+b as (
+  select c.*, case when c.doc_id % 5 = 0 then 'fisica' else s.subject end as told,
+    case when sl <> '' then '[SLIDE]' || chr(10) || {TRIM.format("sl")} || chr(10) || chr(10) else '' end || '[TRASCRIZIONE]' || chr(10) || tr || case when ex <> '' then chr(10) || chr(10) || '[DOCUMENTI]' || chr(10) || ex else '' end as body
+  from c join s on c.doc_id = s.doc_id)
+select doc_id, told as subject, body as clean_text, greatest(1, length(body) // 3) as tokens, case when length(body) // 3 > 80000 then 'DENSE' else 'RAW_CLEAN' end as mode,
+  case when doc_id % 7 = 0 then 'CTX' || chr(10) || chr(10) else '' end || 'TIPO DI CORSO: ' || told || chr(10) || chr(10) ||
+  case when timed then '## CONTENUTO LEZIONE (slide + spiegazione orale allineate)' || chr(10) || chr(10) || chr(10) || '### Slide 1: Titolo ' || doc_id || chr(10) || '[CONTENUTO SLIDE]' || chr(10) || 'Corpo uno' || chr(10) || '[SPIEGAZIONE ORALE]' || chr(10) || one || chr(10) || chr(10) ||
+    '### Slide 2: Fine' || chr(10) || '[CONTENUTO SLIDE]' || chr(10) || trim('Corpo due ' || lang) || chr(10) || '[SPIEGAZIONE ORALE]' || chr(10) || 'Poi basta.' || chr(10)
+  else '# Doc ' || doc_id || chr(10) || chr(10) || body end as prompt from b""")
+def lesson_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library path with all inputs: stamped transcripts held against slides, or plain ones without; other documents, hints and context."""
+    key, empty_ = F.col("doc_id"), F.lit("")
+    t = F.trim(F.regexp_replace(F.translate("text", "\n$-", "   "), r"\s+", " "))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", empty_).alias("lang"), F.coalesce("source", empty_).alias("source"), t.alias("t")).where("t <> ''")
+    timed, number = key % 2 == 0, key.cast("string")
+    said = F.when(timed, F.concat(F.lit("[00:10] Prima "), "t", F.lit("\n[00:20] Poi basta."))).otherwise(F.concat(F.lit("Prima "), "t", F.lit("\nPoi basta.")))
+    deck = F.when(timed, F.concat(F.lit("--- SLIDE 1: Titolo "), number, F.lit(" ---\nCorpo uno\n--- SLIDE 2: Fine ---\nCorpo due "), "lang")).otherwise(empty_)
+    lessons = d.select(
+        "doc_id", F.concat(F.lit("Doc "), number).alias("title"), said.alias("transcript"), deck.alias("slides"), F.when(key % 3 == 0, F.concat(F.lit("Nota di "), "source")).otherwise(empty_).alias("extra"),
+        F.when(key % 5 == 0, "fisica").otherwise(empty_).alias("hint"), F.when(key % 7 == 0, "CTX").otherwise(empty_).alias("context"),
+    )
+    return normalize(lessons, "doc_id").select("doc_id", "subject", "clean_text", "tokens", "mode", "prompt")
