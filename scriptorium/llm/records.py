@@ -13,7 +13,8 @@ Texts are exchanged, not ids: ids of 16 bits take about as much room in a shuffl
 are read as streams, a group of records at a time, so neither writing nor reading holds more than some records.
 
 Defined results: a null text is empty and gives the end id alone; a null doc_id is written as the smallest
-64-bit number and comes back null, first; repeated doc_ids are kept, ordered by text; a very long text is one
+64-bit number and comes back null, first; repeated doc_ids, null ones too, are kept, ordered by a hash of the text, and
+may lie in several shards; a very long text is one
 record, held whole as Spark itself holds its row; an empty table gives no shard; columns other than doc_id and
 text are not read.
 """
@@ -122,8 +123,9 @@ def read_index(path: str) -> np.ndarray:
 def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode and write; returns the manifest, a row for each shard (its only trip to the driver).
 
-    A range partitioning by doc_id makes the shards consecutive, so a document's global start needs no more
-    than the token counts of the shards before it. A task writes under another name and renames at its end.
+    A range partitioning by doc_id, then by a hash of the text and the row's number, makes the shards consecutive, so a
+    document's global start needs no more than the token counts of the shards before it; the hash and the number cut
+    an id that very many rows share. A task writes under another name and renames at its end.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +156,10 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
                 idx.write(np.asarray(index, "<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "records": pa.array([len(index)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "first_id": pa.array([first], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(trimmed(write, keeps="encoders"), MANIFEST)
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "number"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(trimmed(write, keeps="encoders"), MANIFEST)
 
 
 def read_records(spark: SparkSession, manifest: list) -> DataFrame:
