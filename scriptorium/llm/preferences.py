@@ -10,8 +10,8 @@ that differs from it is rejected against it. The leader of a group is an aggrega
 all conversations share is no larger in any task than one that two share. `other_reply`: a conversation up to
 its last assistant turn is chosen, and the same with the last reply of the next conv_id is rejected.
 
-Whole conversations are written before they are joined: a join of a written table can be split where a third of
-all conversations meet one leader, and turns are gathered once.
+Whole conversations are written before they are joined, so turns are gathered once. Leaders go to the conversations, not
+these to them: by broadcast where a count and their length allow it, else as copies that each serve a share of the prompt.
 
 Defined results: null texts and roles are empty; turns with equal numbers go by role, then text; repeated rows
 are repeated turns; rows with null conv_id give no pairs; pairs of equal conversations are left out; a
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import materialize
 
-#: Rows that may be broadcast.
-BROADCAST_ROWS = 300_000
+#: Rows that may be broadcast, and characters of leaders' turns; conversations of a prompt that one copy of its leader serves.
+BROADCAST_ROWS, BROADCAST_BYTES, DEALT = 300_000, 16 << 20, 5_000
 #: The markup of a turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -81,11 +81,19 @@ def same_prompt(c: DataFrame) -> DataFrame:
     written = F.aggregate(F.filter("turns", lambda t: t.role == "assistant"), F.lit(0).cast("long"), lambda n, t: n + F.length(t.text))
     c = c.select("conv_id", "turns", F.sha2(F.to_json(F.slice("turns", 1, 1)), 256).alias("first"), written.alias("written"), F.sha2(F.to_json("turns"), 256).alias("whole"))
     best = F.min(F.struct((-F.col("written")).alias("w"), F.col("conv_id"), F.col("whole")))
-    leaders = c.groupBy("first").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("first", F.col("best.conv_id").alias("chosen_id"), F.col("best.whole").alias("chosen_whole"))
+    leaders = c.groupBy("first").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("first", F.col("best.conv_id").alias("chosen_id"), F.col("best.whole").alias("chosen_whole"), F.ceil(F.col("n") / DEALT).cast("int").alias("salts"))
     leaders = materialize(leaders, "leaders")
     few = leaders.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # beyond, the join shuffles and splits hot prompts
-    pairs = c.join(F.broadcast(leaders) if few else leaders, "first").where(F.col("whole") != F.col("chosen_whole")).select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
-    return pairs.join(c.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")), "chosen_id").select("chosen_id", "rejected_id", "chosen", "rejected")
+    of = F.broadcast(leaders) if few else leaders
+    chosen = materialize(c.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")).join(F.broadcast(leaders.select("chosen_id", "salts")) if few else leaders.select("chosen_id", "salts"), "chosen_id"), "chosen")
+    pairs = c.join(of, "first").where(F.col("whole") != F.col("chosen_whole")).select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"), "salts")
+    size = chosen.agg(F.sum(F.aggregate("chosen", F.lit(0).cast("long"), lambda n, t: n + F.length(t.text) + 64))).first()[0] or 0
+    if few and size <= BROADCAST_BYTES:
+        return pairs.join(F.broadcast(chosen.drop("salts")), "chosen_id").select("chosen_id", "rejected_id", "chosen", "rejected")
+    # a leader goes to as many places as its prompt has rows, so no task gets all conversations of a hot prompt
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("rejected_id"), F.col("salts")).cast("int")).drop("salts")
+    dealt = chosen.select("chosen_id", "chosen", F.explode_outer(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return pairs.join(dealt, ["chosen_id", "salt"]).select("chosen_id", "rejected_id", "chosen", "rejected")
 
 
 def other_reply(c: DataFrame) -> DataFrame:
