@@ -12,8 +12,9 @@ is read from a histogram of the logarithms of its p-values over the whole corpus
 ten, down to 1e-DECADES. So it rejects nothing that the procedure on the p-values themselves would not, and all
 that it would at a rate 4 % lower. What is collected is a bounded number of cells.
 
-Candidates are runs of CANDIDATE characters with both letters and digits: runs of letters alone are words of
-names and paths far more often than secrets, and are left to the base patterns.
+Candidates are runs of CANDIDATE characters with both letters and digits, and runs of LETTERS letters and more alone,
+which have alphabets and strata of their own. Shorter runs of letters are words far more often than secrets, and the tests
+do not tell these apart; neither they nor words with - or _ between them are candidates.
 
 Positions are code points, ends exclusive. Matches of one pattern are found by splitting the text at them, so
 a match's place is the sum of the lengths before it. A text is one row, whatever its length, and so are its matches.
@@ -33,13 +34,15 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_LEAST = 12
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+CANDIDATE, LETTERS = "[A-Za-z0-9+/_-]{20,}", "^[A-Za-z]{32,}$"
 #: Alphabets, in the order of their digits' values.
 ALPHABET = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base26": "abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
 }
 KINDS = ("assign", "access", "hex", "random")
 #: Cells of the histogram of p-values to a power of ten, and powers of ten.
@@ -87,7 +90,8 @@ def log_tail(z: Column) -> Column:
 
 
 def encoding(value: Column) -> Column:
-    return F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(value.rlike("^[A-Z2-7]+$"), "base32").when(value.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
+    letters = F.when(value.rlike("^([a-z]+|[A-Z]+)$"), "base26").when(value.rlike("^[A-Za-z]+$"), "base52")
+    return letters.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(value.rlike("^[A-Z2-7]+$"), "base32").when(value.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
 
 
 def battery(value: Column) -> Column:
@@ -99,25 +103,32 @@ def battery(value: Column) -> Column:
     def then(array: Column, f) -> Column:
         return F.transform(array, f)
 
-    def digits(v: Column) -> Column:
+    def spelt(v: Column) -> Column:
         enc = encoding(v)
-        plain = F.when(enc.isin("hex", "base36"), F.lower(v)).otherwise(F.translate(v, "-_", "+/"))
-        alphabet = F.when(enc == "hex", ALPHABET["hex"]).when(enc == "base32", ALPHABET["base32"]).when(enc == "base36", ALPHABET["base36"]).otherwise(ALPHABET["base64"])
-        x = F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - F.lit(1))
-        return F.struct(enc.alias("enc"), F.length(alphabet).alias("a"), x.alias("x"), plain.alias("s"))
+        plain = F.when(enc.isin("hex", "base36", "base26"), F.lower(v)).otherwise(F.translate(v, "-_", "+/"))
+        alphabet = F.lit(None).cast("string")
+        for name, letters in ALPHABET.items():
+            alphabet = F.when(enc == name, letters).otherwise(alphabet)
+        return F.struct(enc.alias("enc"), plain.alias("plain"), alphabet.alias("alphabet"))
 
-    def sums(d: Column) -> Column:
+    def digits(d: Column) -> Column:
+        x = F.transform(F.split(d.plain, ""), lambda c: F.position(c, d.alphabet) - F.lit(1))
+        return F.struct(d.enc.alias("enc"), F.length(d.alphabet).alias("a"), x.alias("x"))
+
+    def means(d: Column) -> Column:
         n = F.size(d.x).cast("double")
-        mean = F.aggregate(d.x, F.lit(0.0), lambda acc, v: acc + v) / n
-        squares = F.aggregate(F.array_distinct(d.x), F.lit(0.0), lambda acc, v: acc + F.pow(n - F.size(F.array_remove(d.x, v)), F.lit(2.0)))
         later = F.slice(d.x, 2, F.greatest(F.size(d.x) - 1, F.lit(1)))
-        pairs = F.zip_with(F.slice(d.x, 1, F.size(later)), later, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        pairs = F.zip_with(F.slice(d.x, 1, F.size(d.x) - 1), later, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        return F.struct(d.enc.alias("enc"), d.a.alias("a"), d.x.alias("x"), n.alias("n"), (F.aggregate(d.x, F.lit(0.0), lambda acc, v: acc + v) / n).alias("mean"), pairs.alias("pairs"))
+
+    def sums(d: Column) -> Column:
+        squares = F.aggregate(F.array_distinct(d.x), F.lit(0.0), lambda acc, v: acc + F.pow(d.n - F.size(F.array_remove(d.x, v)), F.lit(2.0)))
         high = lambda v: v * 2 >= d.a
-        turns = F.size(F.filter(pairs, lambda t: high(t.p) != high(t.q)))
+        turns = F.size(F.filter(d.pairs, lambda t: high(t.p) != high(t.q)))
         upper = F.size(F.filter(d.x, high)).cast("double")
-        cross = F.aggregate(pairs, F.lit(0.0), lambda acc, t: acc + (t.p - mean) * (t.q - mean))
-        spread = F.aggregate(d.x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-        return F.struct(d.enc.alias("enc"), d.a.cast("double").alias("a"), n.alias("n"), squares.alias("sq"), (turns + 1).alias("runs"), upper.alias("up"), cross.alias("cross"), spread.alias("spread"))
+        cross = F.aggregate(d.pairs, F.lit(0.0), lambda acc, t: acc + (t.p - d.mean) * (t.q - d.mean))
+        spread = F.aggregate(d.x, F.lit(0.0), lambda acc, v: acc + (v - d.mean) * (v - d.mean))
+        return F.struct(d.enc.alias("enc"), d.a.cast("double").alias("a"), d.n.alias("n"), squares.alias("sq"), (turns + 1).alias("runs"), upper.alias("up"), cross.alias("cross"), spread.alias("spread"))
 
     def scores(s: Column) -> Column:
         # Equal pairs: each has probability 1 / a, two of them are independent, and three only where they join three places.
@@ -144,12 +155,16 @@ def battery(value: Column) -> Column:
         band = F.when(s.n < 32, 20).when(s.n < 64, 32).when(s.n < 128, 64).otherwise(128)
         return F.struct(s.enc.alias("enc"), band.alias("band"), F.exp(p).alias("p"), cell.alias("cell"))
 
-    return F.element_at(then(then(then(then(F.array(value), digits), sums), scores), values), 1)
+    return F.element_at(then(then(then(then(then(then(F.array(value), spelt), digits), means), sums), scores), values), 1)
+
+
+def candidate(run: Column) -> Column:
+    return run.rlike(LETTERS) | run.rlike("[0-9]") & run.rlike("[A-Za-z]")
 
 
 def candidates(text: Column) -> Column:
-    """Texts of the candidate runs: those with letters and digits."""
-    return F.filter(extract(text, CANDIDATE), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    """Texts of the candidate runs."""
+    return F.filter(extract(text, CANDIDATE), candidate)
 
 
 def cuts(docs: DataFrame, q: float = 0.05) -> dict[tuple[str, int], int]:
@@ -157,7 +172,7 @@ def cuts(docs: DataFrame, q: float = 0.05) -> dict[tuple[str, int], int]:
     tested = docs.select(F.explode_outer(candidates(F.coalesce("text", F.lit("")))).alias("v")).where(F.col("v").isNotNull()).select(battery(F.col("v")).alias("t"))
     cells = tested.groupBy("t.enc", "t.band", "t.cell").agg(F.count("*").alias("n"))
     rows: dict[tuple[str, int], list] = {}
-    for r in cells.collect():  # at most PER_DECADE * DECADES + 1 cells for each of 16 strata
+    for r in cells.collect():  # at most PER_DECADE * DECADES + 1 cells for each of 24 strata
         rows.setdefault((r["enc"], r["band"]), []).append((r["cell"], r["n"]))
     return {stratum: cut for stratum, found in rows.items() if (cut := cut_of(found, q)) is not None}
 
@@ -180,8 +195,8 @@ def find_spans(docs: DataFrame, cut: dict[tuple[str, int], int]) -> DataFrame:
     d = d.withColumn("_v", secret)
     assign = F.filter(located(t, F.col("_a"), ASSIGN, "assign", F.col("_v")), lambda s: F.length(s.value) >= ASSIGN_LEAST)
     base = F.sort_array(F.concat(assign, located(t, F.col("_b"), ACCESS, "access"), located(t, F.col("_h"), HEX, "hex")))
-    mixed = F.exists(F.col("_r"), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    runs = F.when(mixed, F.filter(located(t, F.col("_r"), CANDIDATE, "random"), lambda s: s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]"))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    some = F.exists(F.col("_r"), candidate)
+    runs = F.when(some, F.filter(located(t, F.col("_r"), CANDIDATE, "random"), lambda s: candidate(s.value))).otherwise(F.expr(f"cast(array() as {SPAN})"))
     d = d.withColumns({"base": base, "_c": runs})
 
     def kept(r: Column) -> Column:
