@@ -8,9 +8,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import preferences, records, secrets
-from scriptorium.llm.tokens import default_tokenizer
-from scriptorium.session import setting
+from scriptorium.llm import preferences, secrets
 
 RUN = re.compile("[A-Za-z0-9+/_-]{20,}")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,14 +124,3 @@ def test_a_hot_prompt_goes_to_many_places(spark, monkeypatch):
     assert sorted(tuple(r) for r in preferences.preferences(d).collect()) == want
     monkeypatch.setattr(preferences, "BROADCAST_ROWS", 0)
     assert sorted(tuple(r) for r in preferences.preferences(d).collect()) == want and sum("same_prompt" in r for r in want) == 39
-
-
-def test_records_of_one_hot_id_lie_in_many_shards(spark):
-    rows = [(7, f"text {k % 50}") for k in range(900)] + [(k, "other") for k in range(40)] + [(None, "none")] * 60
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
-        out = records.tokens_to_records(d, default_tokenizer()).collect()
-    assert len(out) == 1000 and len({r["shard"] for r in out if r["doc_id"] == 7}) >= 2
-    ordered = sorted(out, key=lambda r: r["start"])
-    assert [r["doc_id"] for r in ordered] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
-    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ordered, ordered[1:], strict=False))
