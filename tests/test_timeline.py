@@ -4,12 +4,14 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import tables
 from scriptorium.operators import pictures, profiles, sequence, timeline
+from scriptorium.plans import catalogue
 from scriptorium.session import new_dir
 from scriptorium.sources import connectors, lessons, states
 from scriptorium.streaming import stateful
@@ -171,3 +173,36 @@ def test_pictures_as_rows_of_pixels(spark):
         assert (got == want).all() and sum(r["k"] == k for r in out) == want.size
     nothing = pictures.binarised(spark.createDataFrame([(None, 1, 1, 5), (2, 0, 0, None)], "k int, x long, y long, v int"), "k", "v", "b").collect()
     assert sorted(((r["k"], r["b"]) for r in nothing), key=repr) == [(2, None), (None, 0)]
+
+
+def test_pixels_at_the_threshold(spark):
+    """Four equal pixels and a lighter one have the former as threshold, exactly; no order of rows makes them white."""
+    rows = [(f"{x} {y} {at}", y if k == at else x, k == at) for x in range(1, 250, 12) for y in range(x + 1, 256, 7) for at in range(5) for k in range(5)]
+    d = spark.createDataFrame(rows, "k string, v int, lighter boolean").coalesce(1)
+    out = pictures.binarised(d, "k", "v", "b")
+    assert out.columns == ["k", "v", "lighter", "b"] and out.count() == len(rows)
+    assert out.where((F.col("b") == 255) != F.col("lighter")).collect() == []
+    shades = spark.createDataFrame([(1, 0.25), (1, 0.5), (1, None)], "k int, v double")
+    assert sorted(((r["v"], r["b"]) for r in pictures.binarised(shades, "k", "v", "b").collect()), key=repr) == [(0.25, 0), (0.5, 255), (None, None)]
+
+
+def test_pixel_query_without_quantity_or_order(spark, tmp_path):
+    """As in the SQL: a pixel without a quantity is black, and what has no order is white."""
+    rows = [(1, 1, 1, 1, 10.0), (1, 1, 1, 2, None), (1, 1, 1, 3, 40.0), (None, 1, 1, 1, 9.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalogue.QUERIES["pixel_threshold"](spark, str(tmp_path)).select("l_orderkey", "x", "y", "v").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(duck.execute(catalogue.ORACLE_SQL["pixel_threshold"]).fetchall(), key=repr)
+
+
+def test_pixel_query_at_the_threshold(spark, tmp_path):
+    """Where the threshold is a pixel's own value the SQL's rounding decides, in the order of places; rows are dealt at random here."""
+    rows = [(1000 * x + 5 * y + at, k, k, 1, float(y if k == at else x)) for x in range(1, 50, 3) for y in range(x + 1, 51) for at in range(5) for k in range(5)]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = set(duck.execute(f"select l_orderkey, x, v from ({catalogue.ORACLE_SQL['pixel_threshold']}) where y = 2").fetchall())
+    got = catalogue.QUERIES["pixel_threshold"](spark, str(tmp_path)).where("y = 2").select("l_orderkey", "x", "v").collect()
+    assert set(map(tuple, got)) == want
