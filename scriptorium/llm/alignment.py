@@ -82,6 +82,10 @@ class Pieces:
         probe = "  a  b\t c\n "
         inner = any(re.search(f"[^{SPACE}]{SPACE}", n) for n in names)
         self.cut = not inner and SPACE in names and self.model.normalize(probe) == SPACE + probe.replace(" ", SPACE)
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the memo."""
         self.chunks = Memo(self.ask)
 
     def ask(self, chunk: str) -> bytes:
@@ -129,13 +133,18 @@ def tokenized(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = tokenizer(a), tokenizer(b)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [f" {t}" if t else None for t in part.column(2).to_pylist()]
-                both = [spelt(*x) for x in zip(texts, [first] * len(texts), [second] * len(texts), first.encode(texts), second.encode(texts), strict=True)]
-                ids = [pa.array(x, pa.binary()) for x in zip(*both, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *ids], names=["row", "doc_id", "a", "b"])
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    texts = [f" {t}" if t else None for t in part.column(2).to_pylist()]
+                    both = [spelt(*x) for x in zip(texts, [first] * len(texts), [second] * len(texts), first.encode(texts), second.encode(texts), strict=True)]
+                    ids = [pa.array(x, pa.binary()) for x in zip(*both, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *ids], names=["row", "doc_id", "a", "b"])
+                pa.default_memory_pool().release_unused()
+        finally:  # an executor may hold more workers than tasks: those that wait keep no memo
+            first.forget()
+            second.forget()
 
     ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")

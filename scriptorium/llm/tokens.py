@@ -78,6 +78,10 @@ class Encoder:
         self.kind = "H" if self.width == 2 else "I"
         self.cut = cuttable(file)
         self.added = [t["content"] for t in file.get("added_tokens") or ()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the memos."""
         self.words, self.chunks = Memo(self.ask_model), Memo(self.ask)
 
     def ask(self, text: str) -> bytes:

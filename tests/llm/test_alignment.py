@@ -121,3 +121,20 @@ def test_a_long_text_and_an_empty_table(spark):
     got = {r.doc_id: r for r in alignment.token_alignment(docs, A, B).collect()}
     assert got[1].n_groups > 300_000 and got[1].n_links >= got[1].n_groups and got[2].n_groups > 0
     assert alignment.token_alignment(docs.where("doc_id = 0"), A, B).collect() == []
+
+
+def test_tasks_leave_no_memo(spark, monkeypatch):
+    """A worker that waits for its next task holds no words of the last one, whether that ended or was stopped."""
+    works = []
+    monkeypatch.setattr(alignment, "trimmed", lambda work, keeps="": works.append(work) or work)
+    monkeypatch.setattr(alignment, "materialize", lambda df, label: df)
+    alignment.tokenized(spark.createDataFrame([(1, "a")], "doc_id long, text string"), A, B)
+    batch = alignment.pa.RecordBatch.from_pydict({"row": [1, 2], "doc_id": [1, 2], "text": ["some words", "other words"]})
+    held = lambda: [m for t in (alignment.tokenizer(A), alignment.tokenizer(B)) for m in (getattr(t, "words", {}), t.chunks) if m]
+    out = works[0](iter([batch, batch]))
+    assert next(out).num_rows == 2 and held()
+    assert next(out).num_rows == 2 and list(out) == [] and not held()
+    out = works[0](iter([batch, batch]))
+    next(out)
+    out.close()
+    assert not held()
