@@ -18,6 +18,8 @@ from scriptorium.session import new_dir, ship, table
 from scriptorium.sources import connectors, files, sinks
 from scriptorium.streaming import streams
 
+#: Tasks for each core where rows are small and their work is not.
+TASKS = 4
 STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'error' then 'error' else 'done' end"
 
 
@@ -208,7 +210,9 @@ def pptx_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files_, pa.binary())], names=["p_partkey", "content"])
 
-    d = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_type", "p_size").mapInArrow(made, "p_partkey bigint, content binary")
+    # a part is a few bytes and a presentation milliseconds of work, so the table is dealt out by work, not by its bytes
+    parts = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_type", "p_size").repartition(TASKS * spark.sparkContext.defaultParallelism)
+    d = parts.mapInArrow(made, "p_partkey bigint, content binary")
     s = connectors.slides(d, "content")
     return s.select("p_partkey", F.col("slide_number").alias("n"), "title", "notes", F.transform("objects", lambda o: F.concat_ws(":", o.obj_type, F.coalesce(o.latex_result, o.content))).alias("objects"))
 

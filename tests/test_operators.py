@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.formulas import MATH, convert, to_latex
 from scriptorium.operators import context, jobs, merge, render, sequence
-from scriptorium.plans import intake, sequences, state
+from scriptorium.plans import catalogue, intake, sequences, state
 from scriptorium.plans.normalize import normalize
 from scriptorium.sources import connectors, files
 
@@ -354,3 +354,17 @@ def test_batch_tools_take_a_batch_and_fall_back_to_single_calls(spark, monkeypat
 def test_slides_that_no_tool_draws_have_placeholders():
     made = json.loads(connectors.slide_images(bytes(deck({"title": "A", "notes": "", "shapes": []}, {"title": "B & C", "notes": "", "shapes": []}))))
     assert set(made) == {"1", "2"} and all("png" in x or "svg" in x for x in made.values())
+
+
+def test_presentations_are_dealt_out_and_told_together(spark, sf, monkeypatch):
+    """A small file of parts is many presentations, which all cores read; what is told at once does not change the rows."""
+    d = catalogue.QUERIES["pptx_slides"](spark, sf)
+    assert d.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    deck = intake.presentation([{"title": "T", "notes": "", "shapes": [("image", 1, b"x" * 60)]}, {"title": "U", "notes": "n", "shapes": [("text", 1, "t")]}])
+    files = spark.createDataFrame([(k, deck if k % 5 else b"no") for k in range(50)], "k int, content binary").coalesce(1)
+    batches = []
+    for most, held in ((1, 1), (7, 1 << 20), (50, 100), (50, 1 << 20)):
+        monkeypatch.setattr(connectors, "FILES", most)
+        monkeypatch.setattr(connectors, "FILES_BYTES", held)
+        batches.append(sorted(map(repr, connectors.slides(files, "content").collect())))
+    assert len(batches[0]) == 90 and all(b == batches[0] for b in batches)
