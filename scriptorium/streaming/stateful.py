@@ -1,6 +1,6 @@
-"""Keyed state between the batches of a stream: course memory, log tails, heartbeats and the board of jobs.
+"""What streams keep by key between batches: course memory (in a keyed table), log tails, heartbeats and the board of jobs (in state).
 
-Each processor keeps what its key needs and no more, and its output does not depend on how rows are cut into batches, as
+Each keeps what its key needs and no more, and its output does not depend on how rows are cut into batches, as
 long as the rows of a key arrive in order: what a timer would say at the end of a batch is said at the key's next
 row instead, if that comes first.
 """
@@ -65,72 +65,73 @@ def schema_of(ddl: str) -> StructType:
 
 
 LESSON = "number long, version string, title string, concepts array<string>, definitions array<string>, topic string"
-COURSE = f"course long, lessons array<struct<{LESSON}>>, symbols array<struct<symbol:string,meaning:string,place:string>>, next_number long"
-
-
-class CourseMemory(StatefulProcessor):
-    """Of each course its lessons by number, its symbols, and the next number.
-
-    A lesson is replaced by one of the same number and a later version. All but the last `keep` lessons lose concepts
-    and definitions. A symbol has its last meaning, at the place of its first mention; of all but the `most` symbols of
-    last place the meaning goes and the place stays, so that a symbol that is mentioned again is not taken for a new one.
-    Rows: number, version, title, concepts, definitions, topic, symbols (symbol and meaning); versions sort as text.
-    """
-
-    def __init__(self, keep: int = KEEP_FULL, most: int = KEEP_SYMBOLS):
-        self.keep, self.most = keep, most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lessons = handle.getMapState("lessons", "number long", "version string, title string, concepts array<string>, definitions array<string>, topic string")
-        self.symbols = handle.getMapState("symbols", "symbol string", "place string, version string, meaning string")
-        self.next_number = handle.getValueState("next", "number long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        lessons = {k[0]: tuple(v) for k, v in self.lessons.iterator()}
-        symbols = {k[0]: tuple(v) for k, v in self.symbols.iterator()}
-        had = (dict(lessons), dict(symbols))
-        for r in rows:
-            if r.number is None:
-                continue
-            if r.number not in lessons or lessons[r.number][0] <= r.version:
-                lessons[r.number] = (r.version, r.title, r.concepts, r.definitions, r.topic)
-            for s in r.symbols or ():
-                place, version, meaning = symbols.get(s["symbol"], (r.version, "", None))
-                if version <= r.version:
-                    version, meaning = r.version, s["meaning"]
-                symbols[s["symbol"]] = (min(place, r.version), version, meaning)
-        for number in sorted(lessons)[: -self.keep]:
-            lessons[number] = (*lessons[number][:2], None, None, lessons[number][4])
-        for symbol, (place, version, _) in sorted(symbols.items(), key=lambda x: x[1][0])[: -self.most]:
-            symbols[symbol] = (place, version, None)
-        for state, now, before in ((self.lessons, lessons, had[0]), (self.symbols, symbols, had[1])):
-            for k, v in now.items():
-                if before.get(k) != v:
-                    state.updateValue((k,), v)
-        after = max(lessons, default=0) + 1
-        self.next_number.update((after,))
-        shown = sorted(((p, s, m) for s, (p, _, m) in symbols.items()))[-self.most :]
-        fields = ("number", "version", "title", "concepts", "definitions", "topic")
-        told = [dict(zip(fields, (n, *lessons[n]), strict=True)) for n in sorted(lessons)]
-        yield Row(course=key[0], lessons=told, symbols=[{"symbol": s, "meaning": m, "place": p} for p, s, m in shown], next_number=after)
-
-    def close(self) -> None:
-        pass
+SYMBOL = "symbol string, version string, at int, meaning string, place string"
+COURSE = f"course long, lessons array<struct<{LESSON}>>, symbols array<struct<{SYMBOL}>>, next_number long, rest array<struct<{SYMBOL}>>"
+#: Rows of one course that come together in arrays at once; beyond that lessons and symbols are summed up before.
+COURSE_ROWS = 1000
 
 
 def course_memory(lessons: DataFrame, keep: int = KEEP_FULL, most: int = KEEP_SYMBOLS) -> DataFrame:
-    """The memory of each course that a batch changes, whole. lessons: course and the columns that `CourseMemory` names."""
-    return lessons.groupBy("course").transformWithState(CourseMemory(keep, most), COURSE, "Update", "None")
+    """Of each row the memory of its course as if it were the only one, for `memory_into` to merge.
+
+    A memory has the lessons of a course by number, its symbols, and the next number. A lesson is replaced by one of the
+    same number and a later version. All but the last `keep` lessons lose concepts and definitions. A symbol has its last
+    meaning, at the place of its first mention; of all but the `most` symbols of last place (`rest`) the meaning goes and
+    the place stays, so that a symbol that is mentioned again is not taken for a new one.
+    lessons: course, number, version, title, concepts, definitions, topic, symbols (symbol and meaning); versions sort as
+    text. Rows without a number say nothing but their course; without a version a meaning is none.
+    """
+    version, known = F.col("version"), F.col("number").isNotNull()
+    lesson = F.struct("number", "version", "title", "concepts", "definitions", "topic")
+    said = lambda s, i: F.struct(s.symbol.alias("symbol"), version.alias("version"), i.alias("at"), F.when(version.isNotNull(), s.meaning).alias("meaning"), version.alias("place"))
+    return lessons.select(
+        "course", F.when(known, F.array(lesson)).alias("lessons"), F.when(known, F.transform("symbols", said)).alias("symbols"), (F.coalesce("number", F.lit(0)) + 1).alias("next_number"),
+        F.lit(None).cast(schema_of(COURSE)["rest"].dataType).alias("rest"), F.lit(keep).alias("keep"), F.lit(most).alias("most"),
+    )
+
+
+def summed(memories: DataFrame) -> DataFrame:
+    """One memory of each course, without limits: lessons and symbols are summed up by themselves, so that a course's rows need not come together."""
+    lessons = memories.select("course", F.explode("lessons").alias("x")).groupBy("course", "x.number").agg(F.max("x").alias("lesson"))
+    symbols = memories.select("course", F.explode("symbols").alias("x")).unionByName(memories.select("course", F.explode("rest").alias("x")))
+    symbols = symbols.groupBy("course", F.col("x.symbol").alias("name")).agg(F.max("x").alias("x"), F.min("x.place").alias("place"))
+    symbols = symbols.select("course", F.col("x").withField("place", F.col("place")).alias("symbol"))
+    rows = lessons.select("course", "lesson").unionByName(symbols, True).unionByName(memories.select("course").distinct(), True)
+    return rows.groupBy("course").agg(F.collect_list("lesson").alias("lessons"), F.collect_list("symbol").alias("symbols")).withColumn("rest", F.lit(None).cast(memories.schema["rest"].dataType))
+
+
+def merged(memories: DataFrame, keep: int, most: int) -> DataFrame:
+    """One memory of each course; of rows of a lesson with the same version the greatest stays."""
+    rows = memories.groupBy("course").count().agg(F.max("count")).first()[0]
+    if rows and rows > COURSE_ROWS:
+        memories = summed(memories)
+    other = lambda xs, x, i, by: ~x[by].eqNullSafe(F.get(xs, i)[by])
+    last = lambda xs, by: F.filter(xs, lambda x, i: (i == F.size(xs) - 1) | other(xs, x, i + 1, by))
+    first = lambda xs, by: F.filter(xs, lambda x, i: (i == 0) | other(xs, x, i - 1, by))
+    all_of = lambda *names: F.sort_array(F.flatten(F.concat(*[F.collect_list(c) for c in names])))
+    rows = memories.groupBy("course").agg(all_of("lessons").alias("lessons"), all_of("symbols", "rest").alias("symbols"))
+    places = F.transform("symbols", lambda x: F.struct(x.symbol.alias("symbol"), x.place.isNull().alias("none"), x.place.alias("place")))
+    rows = rows.withColumn("places", F.sort_array(places))
+    placed = lambda x, p: F.struct(p.place.alias("place"), x.withField("place", p.place).alias("x"))
+    named = F.zip_with(last(F.col("symbols"), "symbol"), first(F.col("places"), "symbol"), placed)
+    rows = rows.select("course", last(F.col("lessons"), "number").alias("lessons"), F.sort_array(named).alias("named"))
+    full, over = F.size("lessons") - keep, F.greatest(F.size("named") - most, F.lit(0))
+    cut = lambda x, i: x.withField("concepts", F.when(i >= full, x.concepts)).withField("definitions", F.when(i >= full, x.definitions))
+    return rows.select(
+        "course", F.transform("lessons", cut).alias("lessons"), F.transform(F.slice("named", over + 1, F.lit(most)), lambda n: n.x).alias("symbols"),
+        (F.coalesce(F.get("lessons", F.size("lessons") - 1)["number"], F.lit(0)) + 1).alias("next_number"),
+        F.transform(F.slice("named", F.lit(1), over), lambda n: n.x.withField("meaning", F.lit(None).cast("string"))).alias("rest"),
+    )
 
 
 def memory_into(table: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps each course's last memory: the one with the later versions."""
-    newest = F.array_max(F.transform("lessons", lambda x: x.version))
+    """A batch writer: each course's memory of all batches; the limits of a batch hold for all courses of the buckets that it touches."""
 
-    def combine(rows: DataFrame) -> DataFrame:
-        return last_of("course", ["_v"])(rows.withColumn("_v", newest)).drop("_v")
+    def write(batch: DataFrame, number: int) -> None:
+        limits = batch.select("keep", "most").first()
+        table.merge(batch, number, lambda rows: merged(rows, *limits))
 
-    return lambda batch, number: table.merge(batch, number, combine)
+    return write
 
 
 class LogTail(StatefulProcessor):

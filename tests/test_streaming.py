@@ -154,6 +154,32 @@ def test_course_memory_is_that_of_the_batch_tables(spark, parts):
         assert r["next_number"] == max(n for k, n in want if k == c) + 1
 
 
+@pytest.mark.parametrize("at_once", [1000, 5])
+def test_course_memory_is_merged_without_a_call_by_course(spark, at_once, monkeypatch):
+    """No state by key in Python; a course of many rows, one without numbers, rows without a version, and limits that change."""
+    monkeypatch.setattr(stateful, "COURSE_ROWS", at_once, raising=False)
+    row = lambda course, number, version, *symbols: (course, number, version, f"t{version}", ["c"], ["d"], "x", [(s, f"{s}{version}") for s in symbols])
+    many = [row(7, k % 5, f"{k:04d}", f"s{k % 3}") for k in range(40)]
+    rows = [row(1, 1, "0100", "a", "b"), row(1, 1, None, "a"), row(1, 2, None, "c"), row(2, None, "0100", "z"), row(1, 3, "0300", "a", "d"), row(1, 1, "0310", "b"), (3, -5, "0300", None, None, None, None, None)]
+    memory = KeyedTable(spark, new_dir(spark, "memory"), stateful.schema_of(stateful.COURSE), "course", buckets=2)
+    limits = iter([(9, 9), (2, 3)])
+
+    def run(r, log):
+        keep, most = next(limits)
+        return stateful.drain(stateful.course_memory(r, keep, most), log, write=stateful.memory_into(memory), mode="update")
+
+    early = F.coalesce("version", F.lit("0")) < "0200"
+    queries = stateful.replay(spark, spark.createDataFrame(many + rows, LESSON), [early, ~early], run)
+    assert not any(q.lastProgress["stateOperators"] for q in queries)
+    got = {r["course"]: r for r in memory.read().collect()}
+    assert [(x["number"], x["version"], x["concepts"]) for x in got[1]["lessons"]] == [(1, "0310", None), (2, None, ["c"]), (3, "0300", ["c"])]
+    assert [(x["symbol"], x["place"], x["meaning"]) for x in got[1]["symbols"]] == [("a", "0100", "a0300"), ("b", "0100", "b0310"), ("d", "0300", "d0300")]
+    assert [(x["symbol"], x["place"], x["meaning"]) for x in got[1]["rest"]] == [("c", None, None)]
+    assert (got[1]["next_number"], got[2]["next_number"], got[3]["next_number"], got[2]["lessons"], got[2]["symbols"]) == (4, 1, -4, [], [])
+    assert [(x["number"], x["version"]) for x in got[7]["lessons"]] == [(k, f"{35 + k:04d}") for k in range(5)]
+    assert [(x["symbol"], x["place"], x["meaning"]) for x in got[7]["symbols"]] == [("s0", "0000", "s00039"), ("s1", "0001", "s10037"), ("s2", "0002", "s20038")]
+
+
 def test_log_tail_marks_ends_by_timer_and_by_row(spark):
     out = new_dir(spark, "tail")
     parts = [
