@@ -17,7 +17,7 @@ ROUNDS = 60
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star over edges (u, v)."""
+    """One star over edges (u, v), which may repeat: it has no more rows than edges, or for the small star than edges and nodes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(least, "u")
@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        edges = materialize(_star(_star(edges, True), False).distinct(), "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptorium.llm.memory import trimmed
+from scriptorium.llm.memory import release, trimmed
 from scriptorium.llm.sampling import digest, distinct_rows, least
 from scriptorium.llm.textbytes import slices
 from scriptorium.session import ship
@@ -50,6 +50,8 @@ BASE = (0, 1 << 8, (1 << 8) + (1 << 16))
 SIZE = BASE[2] + (1 << BITS)
 #: Features that have weights: the most frequent ones of the sample.
 CELLS = 16_384
+#: Features of the sample that a step of the fit handles at once.
+BLOCK = 1 << 17
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -199,90 +201,113 @@ def shares(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sample:
-    """Languages of texts, and the share of each of their n-grams among those of its length: numbers of text and feature."""
+    """Languages of texts, in order, and the share of each of their n-grams among those of its length; those of text i begin at starts[i]."""
 
     langs: np.ndarray
-    row: np.ndarray
+    starts: np.ndarray
     cell: np.ndarray
     value: np.ndarray
 
 
 def gathered(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> Sample:
     """rows: language, cells, counts of each text; held in few bytes, as the driver's memory is small."""
-    langs, cells, values = [], [], []
-    for lang, cell, count in rows:
-        if not len(cell):
-            continue
-        value = count.astype(np.float32)
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: r[0])
+    starts = np.cumsum([0, *(len(cells) for _, cells, _ in rows)])
+    cell, value = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32)
+    for at, (_, cells, counts) in zip(starts, rows, strict=False):
+        cell[at : at + len(cells)], share = cells, value[at : at + len(cells)]
+        share[:] = counts
         for n in range(3):
-            mine = (cell >= BASE[n]) & (cell < (BASE[n + 1] if n < 2 else SIZE))
-            value[mine] /= max(float(value[mine].sum()), 1.0)
-        langs.append(lang)
-        cells.append(cell.astype(np.int32))
-        values.append(value)
-    row = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells])
-    none = np.zeros(0, np.int32)
-    return Sample(np.array(langs, object), row, np.concatenate([none, *cells]), np.concatenate([none.astype(np.float32), *values]))
+            mine = (cells >= BASE[n]) & (cells < (BASE[n + 1] if n < 2 else SIZE))
+            share[mine] /= max(float(share[mine].sum()), 1.0)
+    return Sample(np.array([lang for lang, _, _ in rows], object), starts, cell, value)
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Features of some texts of one language: where each text begins and how many it has, column, scaled share."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+
+def _runs(starts: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Texts a to b in runs of about BLOCK features, so that what a step makes of a run is small."""
+    while a < b:
+        end = min(b, max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK, "right")) - 1))
+        yield a, end
+        a = end
+
+
+def _texts(sample: Sample, a: int, b: int, column: np.ndarray, spread: np.ndarray) -> Texts:
+    """Texts a to b without the features that have no column, and without texts that have no others."""
+    own = slice(sample.starts[a], sample.starts[b])
+    c = column[sample.cell[own]]
+    on = c > 0
+    sizes = np.add.reduceat(on, sample.starts[a:b] - sample.starts[a], dtype=np.int64)
+    sizes, c = sizes[sizes > 0], c[on]
+    return Texts(np.cumsum(sizes) - sizes, sizes, c, sample.value[own][on] * spread.astype(np.float32)[c])
 
 
 def train(sample: Sample, steps: int = 150) -> Hierarchy:
     h = Hierarchy()
-    langs, row, cell, value = sample.langs, sample.row, sample.cell, sample.value
-    if not len(langs):
+    n = len(sample.langs)
+    if not n:
         return h
-    mean = np.bincount(cell, value, SIZE) / len(langs)
+    mean = np.zeros(SIZE)
+    for a, b in _runs(sample.starts, 0, n):
+        own = slice(sample.starts[a], sample.starts[b])
+        mean += np.bincount(sample.cell[own], sample.value[own], SIZE)
+    mean /= n
     used = np.sort(np.argsort(-mean, kind="stable")[:CELLS])
     used = used[mean[used] > 0]
     h.column[used] = np.arange(1, len(used) + 1)
     spread = np.concatenate([[0.0], 1 / np.sqrt(np.maximum(mean[used], 1e-5))])
-    on = h.column[cell] > 0
-    row, column = row[on], h.column[cell[on]]
-    value = value[on] * spread.astype(np.float32)[column]
-    names = sorted(set(langs))
-    number = np.searchsorted(names, langs).astype(np.int16)[row]
-    means = np.stack([np.bincount(column[number == i], value[number == i], len(spread)) for i in range(len(names))])
-    h.families = grouped(dict(zip(names, means, strict=True)))
-    texts = {k: Texts(row[number == i], column[number == i], value[number == i]) for i, k in enumerate(names)}
-    some = lambda members: [texts[k] for k in members]
+    names, first = np.unique(sample.langs, return_index=True)
+    texts = {k: [_texts(sample, a, b, h.column, spread) for a, b in _runs(sample.starts, x, y)] for k, x, y in zip(names, first, [*first[1:], n], strict=True)}
+    texts = {k: [t for t in own if len(t.sizes)] for k, own in texts.items()}
+    h.families = grouped({k: sum((np.bincount(t.column, t.value, len(spread)) for t in own), np.zeros(len(spread))) for k, own in texts.items()})
+    some = lambda members: [t for k in members for t in texts[k]]
     h.between = [_machine(a, b, some(h.families[a]), some(h.families[b]), spread, steps) for a, b in combinations(sorted(h.families), 2)]
     h.within = {f: [_machine(a, b, some([a]), some([b]), spread, steps) for a, b in combinations(members, 2)] for f, members in h.families.items()}
     return h
 
 
-@dataclass(frozen=True)
-class Texts:
-    """Features of the texts of one language: number of the text, column, scaled share."""
+def _machine(first: str, second: str, ours: list[Texts], theirs: list[Texts], spread: np.ndarray, steps: int) -> Machine:
+    """Squared hinge with a ridge term, by accelerated gradient steps; the features are never put together, only sums of them."""
+    both = [*ours, *theirs]
+    ends = np.cumsum([0, *(len(t.sizes) for t in both)])
+    size, n, ridge = len(spread), int(ends[-1]), 1e-4
 
-    row: np.ndarray
-    column: np.ndarray
-    value: np.ndarray
+    def by_text(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(np.add.reduceat(w[t.column] * t.value, t.starts) for t in both)])
 
+    def by_column(e: np.ndarray) -> np.ndarray:
+        total = np.zeros(size)
+        for t, x, z in zip(both, ends[:-1], ends[1:], strict=True):
+            total += np.bincount(t.column, np.repeat(e[x:z], t.sizes) * t.value, size)
+        return total
 
-def _machine(first: str, second: str, ours: list[Texts], theirs: list[Texts], spread: np.ndarray, steps: int) -> Machine:
-    """Squared hinge with a ridge term, by accelerated gradient steps."""
-    both = [*ours, *theirs]
-    c, v = (np.concatenate([getattr(t, k) for t in both]) for k in ("column", "value"))
-    every, r = np.unique(np.concatenate([t.row for t in both]), return_inverse=True)
-    y = np.where(np.isin(every, np.concatenate([t.row for t in ours])), 1.0, -1.0)
-    r, c, v = r.astype(np.intp), c.astype(np.intp), v.astype(float)  # what the sums below would make of them each time
+    y = np.where(np.arange(n) < ends[len(ours)], 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    size, n, ridge = len(spread), len(y), 1e-4
     x, norm = np.ones(size), 1.0
     for _ in range(8):
-        z = np.bincount(c, (weight * np.bincount(r, x[c] * v, n))[r] * v, size)
+        z = by_column(weight * by_text(x))
         norm = float(np.linalg.norm(z)) / max(float(np.linalg.norm(x)), 1e-12)
         x = z / max(float(np.linalg.norm(z)), 1e-12)
     rate = 1 / (2 * (norm + 1) + ridge)
     w, b, t = np.zeros(size), 0.0, 1.0
     u, ub = w, b
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (np.bincount(r, u[c] * v, n) + ub))
+        slack = np.maximum(0, 1 - y * (by_text(u) + ub))
         e = -2 * weight * y * slack
-        nw, nb = u - rate * (np.bincount(c, e[r] * v, size) + ridge * u), ub - rate * e.sum()
+        nw, nb = u - rate * (by_column(e) + ridge * u), ub - rate * e.sum()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         u, ub = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = nw, nb, t2
-    apart = np.abs(np.bincount(r, w[c] * v, n) + b)
+    apart = np.abs(by_text(w) + b)
     return Machine(first, second, (w * spread).astype(np.float32), float(b), max(float(np.median(apart)), 1e-9))
 
 
@@ -304,7 +329,10 @@ def fit(docs: DataFrame, limits: Limits = Limits()) -> Hierarchy:
     found = sorted({(r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in shares(sampled(docs, limits)).collect()})
     parts = gathered((a, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for a, c, n in found)
     del found
-    return train(parts)
+    model = train(parts)
+    del parts
+    release()  # the driver's Python lives on beside its JVM
+    return model
 
 
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:

@@ -217,8 +217,8 @@ def bloom(df: DataFrame, column: str):
 
     out = np.zeros(BLOOM_BITS // 64, np.int64)
     rows = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(trimmed(cells), "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    for r in rows.collect():
-        out[r["w"]] = r["bits"]
+    found = rows.toArrow()
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
     return df.sparkSession.sparkContext.broadcast(out)
 
 

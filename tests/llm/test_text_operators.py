@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -336,6 +337,22 @@ def test_many_languages_of_no_known_family():
     assert ((score > 0) & (score <= 1)).all()
 
 
+def test_the_fit_takes_few_bytes():
+    """The driver has little memory beside its JVM: what a fit takes is a small multiple of its sample."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(1200):
+        cells, counts = np.unique(rng.zipf(1.2, 3000) % langid.SIZE, return_counts=True)
+        rows.append(("de en es fr".split()[k % 4], cells.astype(np.uint32), counts.astype(np.uint32)))
+    size = sum(len(cells) for _, cells, _ in rows)
+    tracemalloc.start()
+    h = langid.train(langid.gathered(rows), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h.between) == 1 and size > 500_000
+    assert peak < 20 * size + (16 << 20)
+
+
 def slow_prediction(h, text):
     """One text, one n-gram at a time."""
     data = np.frombuffer(text.encode(), np.uint8)
