@@ -1,4 +1,4 @@
-"""What streams keep by key between batches: course memory (in a keyed table), log tails, heartbeats and the board of jobs (in state).
+"""What streams keep by key between batches: course memory and the board of jobs (in keyed tables), log tails and heartbeats (in state).
 
 Each keeps what its key needs and no more, and its output does not depend on how rows are cut into batches, as
 long as the rows of a key arrive in order: what a timer would say at the end of a batch is said at the key's next
@@ -17,7 +17,7 @@ from pyspark.sql.types import DataType, StructType
 
 from scriptorium.operators.context import KEEP_FULL, KEEP_SYMBOLS
 from scriptorium.operators.jobs import CAP, FINISHED, HEARTBEAT_CAP
-from scriptorium.session import new_dir, setting
+from scriptorium.session import discard, materialize, new_dir, setting
 from scriptorium.streaming.tables import KeyedTable, last_of
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -249,87 +249,66 @@ def heartbeats(steps: DataFrame, every: int = 15, estimate: float = 600.0, limit
 BOARD = "job long, status string, created long, kept boolean, said long"
 
 
-class JobBoard(StatefulProcessor):
-    """The jobs of a shard that may have to be shown: active ones, and the `cap` finished ones created last.
+def job_board(jobs: DataFrame, cap: int = CAP, age: int | None = None, shards: int = 64, late: str = "0 seconds") -> DataFrame:
+    """A stream of (job, ts, status) with the limits of its board, for `board_into` to hold against the board's table.
 
-    Says what changes, numbered: jobs that come or take another status, and those that go, as `cap` finished ones are
-    newer or as they are `age` milliseconds behind the watermark (a timer of the oldest says when). So state has `cap`
-    finished jobs at most, and no batch looks at a job that it does not change. Rows: job, status, ms.
+    age: seconds that a finished job stays, counted to the watermark. shards has no effect any more: jobs are dealt as
+    Spark deals the groups of an aggregate.
     """
+    lag = F.expr(f"unix_millis(timestamp_seconds(0) + interval '{late}')")
+    limits = [F.lit(cap).alias("cap"), F.lit(None if age is None else age * 1000).cast("long").alias("age"), lag.alias("late")]
+    return timed(jobs, late).select("job", "status", "ts", "ms", *limits)
 
-    def __init__(self, cap: int, age: int | None):
-        self.cap, self.age = cap, age
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.active = handle.getMapState("active", "job long", "ms long")
-        self.finished = handle.getMapState("finished", "job long", "ms long, status string")
-        self.head = handle.getValueState("head", "said long, due long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        finished = {k[0]: tuple(v) for k, v in self.finished.iterator()}
-        said, due = self.head.get() or (0, None)
-        came = sorted(rows, key=lambda r: (r.ms, r.job))
-        for r in came:
-            if r.status in FINISHED:
-                finished[r.job] = (r.ms, r.status)
-                self.active.removeKey((r.job,))
-                self.finished.updateValue((r.job,), finished[r.job])
-            else:
-                if finished.pop(r.job, None):
-                    self.finished.removeKey((r.job,))
-                self.active.updateValue((r.job,), (r.ms,))
-            said += 1
-            yield Row(job=r.job, status=r.status, created=r.ms, kept=True, said=said)
-        for j in sorted(finished, key=lambda j: (finished[j][0], j))[: max(0, len(finished) - self.cap)]:
-            said += 1
-            yield self.gone(j, finished.pop(j), said)
-        self.head.update((said, self.wake(finished, due)))
-
-    def gone(self, job: int, row: tuple, said: int) -> Row:
-        self.finished.removeKey((job,))
-        return Row(job=job, status=row[1], created=row[0], kept=False, said=said)
-
-    def wake(self, finished: dict, before: int | None) -> int | None:
-        """Have one timer, for the oldest finished job."""
-        if self.age is None:
-            return None
-        due = min(finished.values())[0] + self.age + 1 if finished else None
-        if due != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            if due is not None:
-                self.handle.registerTimer(due)
-        return due
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        finished = {k[0]: tuple(v) for k, v in self.finished.iterator()}
-        said, _ = self.head.get()
-        for j in sorted(j for j, (t, _) in finished.items() if t < timerValues.getCurrentWatermarkInMs() - self.age):
-            said += 1
-            yield self.gone(j, finished.pop(j), said)
-        self.head.update((said, self.wake(finished, None)))
+def is_finished() -> Column:
+    return F.coalesce(F.col("status").isin(*FINISHED), F.lit(False))
 
-    def close(self) -> None:
-        pass
 
+def board_into(table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """A batch writer: the table has the jobs that may have to be shown, active ones and the `cap` finished ones created last.
 
-def job_board(jobs: DataFrame, cap: int = CAP, age: int | None = None, shards: int = 64, late: str = "0 seconds") -> DataFrame:
-    """Changes of a stream of (job, ts, status); each shard of jobs by hash has its own state. age: seconds that a finished job stays."""
-    shard = F.pmod(F.xxhash64("job"), F.lit(shards)).alias("shard")
-    rows = timed(jobs, late).select(shard, "job", "status", "ts", "ms").groupBy("shard")
-    return rows.transformWithState(JobBoard(cap, None if age is None else age * 1000), BOARD, "Update", "None" if age is None else "EventTime")
+    The last row of a job by time counts (a finished one of those at one time). Where finished jobs age, those too far
+    behind the watermark go, and rows at it or behind it are left out; it is `late` behind the last row of the board and
+    the batch. The times of a batch are summed up by job, as numbers alone; only jobs that stay are looked up for their
+    status, and only those that change, or go, are merged.
+    """
 
+    def write(batch: DataFrame, number: int) -> None:
+        limits = batch.select("cap", "age", "late").first()
+        if limits is None:
+            return
+        cap, age, late = limits
+        old = table.read().select("job", "status", "created")
+        before = None if age is None else old.agg(F.max("created")).first()[0]
+        if before is not None:
+            batch = batch.where(F.col("ts") > F.timestamp_millis(F.lit(before - late)))
+        rows = batch.select("job", "status", "ts").unionByName(old.select("job", "status", F.timestamp_millis("created").alias("ts")))
+        times = rows.groupBy("job").agg(F.max(F.when(is_finished(), F.col("ts"))).alias("end"), F.max(F.when(~is_finished(), F.col("ts"))).alias("begin"))
+        ended, created = F.coalesce(F.col("end") >= F.col("begin"), F.col("begin").isNull()), F.unix_millis("ts")
+        last = times.select("job", ended.alias("ended"), F.greatest("end", "begin").alias("ts"))
+        if age is not None:
+            reached = max(t for t in (before, batch.agg(F.max("ms")).first()[0]) if t is not None)
+            last = last.where(~F.col("ended") | (created >= reached - late - age))
+        last = materialize(last, "last")
+        newest = last.where("ended").orderBy(created.desc(), F.col("job").desc()).limit(cap)
+        stays = materialize(last.where("not ended").unionByName(newest), "stays")
+        of = F.col("s.job").eqNullSafe(F.col("r.job")) & (F.col("s.ts") == F.col("r.ts"))
+        found = stays.alias("s").join(rows.withColumn("ended", is_finished()).alias("r"), of & (F.col("s.ended") == F.col("r.ended")))
+        now = found.groupBy(F.col("s.job").alias("job"), F.unix_millis("s.ts").alias("created")).agg(F.max("r.status").alias("status"))
+        now = materialize(now.select("job", "status", "created"), "shown")
+        here = F.col("n.job").eqNullSafe(F.col("o.job"))
+        same = here & F.col("n.status").eqNullSafe(F.col("o.status")) & (F.col("n.created") == F.col("o.created"))
+        comes = now.alias("n").join(old.alias("o"), same, "left_anti").withColumn("kept", F.lit(True))
+        goes = old.alias("o").join(now.alias("n"), here, "left_anti").withColumn("kept", F.lit(False))
+        table.merge(comes.unionByName(goes).withColumn("said", F.lit(number).cast("long")), number, lambda r: last_of("job", ["said"])(r).where("kept"))
+        discard(last, stays, now)
 
-def board_into(table: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """A batch writer: the last word on each job, and no row of those that have gone."""
-    last = last_of("job", ["said"])
-    return lambda batch, number: table.merge(last(batch), number, lambda rows: last(rows).where("kept"))
+    return write
 
 
 def board(table: KeyedTable, cap: int = CAP) -> DataFrame:
-    """What is shown: all active jobs, and the newest finished ones that they leave room for (each shard has its newest there)."""
+    """What is shown: all active jobs, and the newest finished ones that they leave room for."""
     rows = table.read()
-    finished = F.col("status").isin(*FINISHED)
+    finished = is_finished()
     room = max(0, cap - rows.where(~finished).count())
     return rows.where(~finished).unionByName(rows.where(finished).orderBy(F.col("created").desc(), F.col("job").desc()).limit(room)).select("job", "status", "created")

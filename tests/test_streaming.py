@@ -227,3 +227,27 @@ def test_the_board_is_that_of_the_batch_after_every_part(spark):
     arrive(spark, parts, "job long, t long, status string", lambda r, log: stateful.drain(stateful.job_board(r, cap=500, age=400, shards=3), log, write=stateful.board_into(aged), mode="update"))
     last = {j: (t, s) for j, t, s in rows}
     assert sorted((r["job"], r["status"]) for r in aged.read().collect()) == sorted((j, s) for j, (t, s) in last.items() if s in ("queued", "running") or t >= 2990 - 400)
+
+
+def test_the_board_takes_a_batch_by_aggregates(spark):
+    """No row of a batch goes through a Python state operator; what no batch brings ages as the watermark moves; equal and late rows; a job of no id."""
+    parts = [
+        [(1, 0, "running"), (2, 5, "done"), (3, 6, "error"), (4, 6, "queued"), (None, 7, "running"), (5, 8, None), (1, 9, "running"), (1, 9, "done")],
+        [(4, 50, "done"), (2, 8, "error"), (6, 60, "running")],  # 2 comes late
+        [(6, 200, "running")],  # nothing of what goes is in this batch
+    ]
+    table = KeyedTable(spark, new_dir(spark, "board"), stateful.schema_of(stateful.BOARD), "job", buckets=8)
+    after = []
+
+    def run(r, log):
+        q = stateful.drain(stateful.job_board(r, cap=3, age=100, shards=3), log, write=stateful.board_into(table), mode="update")
+        assert q.lastProgress["stateOperators"] == []
+        after.append({x["job"]: (x["status"], x["created"] // 1000 - START, x["said"]) for x in table.read().collect()})
+        return q
+
+    arrive(spark, parts, "job long, t long, status string", run)
+    active = {None: ("running", 7, 0), 5: (None, 8, 0)}
+    assert after[0] == active | {1: ("done", 9, 0), 2: ("done", 5, 0), 3: ("error", 6, 0), 4: ("queued", 6, 0)}
+    assert after[1] == active | {1: ("done", 9, 0), 3: ("error", 6, 0), 4: ("done", 50, 1), 6: ("running", 60, 1)}  # only changes are told
+    assert after[2] == active | {6: ("running", 200, 2)}
+    assert {x["job"] for x in stateful.board(table, 3).collect()} == {None, 5, 6}
