@@ -65,7 +65,6 @@ N = 5
 SKETCH_BITS = 18
 CHUNK = 4096
 SIG_WORDS = 8
-BLOOM_BITS = 1 << 23
 BROADCAST_ROWS = 300_000
 #: Leaders that a class is verified against first, and sets on either side of a comparison in one bucket.
 LEADERS = 2
@@ -78,7 +77,6 @@ WANTED = ("block", "bucket", "side", "node", "comp")
 GAP = np.zeros(256, bool)
 GAP[[32, *range(9, 14)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = np.arange(1, 3, dtype=np.uint64) * _MIX
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -94,7 +92,8 @@ def shingle_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
             h = np.zeros(0, np.uint64)
         for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
             if b - a >= n:
-                yield np.unique(h[a : b - n + 1])
+                s = np.sort(h[a : b - n + 1])  # np.unique hashes, which takes several times as long
+                yield s[np.append(True, s[1:] != s[:-1])]
             elif b > a:
                 one = w[a : a + 1] + np.uint64(b - a)
                 for k in range(a + 1, b):
@@ -196,47 +195,14 @@ def _sketch(nodes: DataFrame) -> np.ndarray:
     return np.clip(16 * np.log2(np.maximum(total / mean, 1.0)), 0, 255).astype(np.uint64)
 
 
-def _places(x: np.ndarray) -> list[np.ndarray]:
-    """The two places of each 64-bit number in a Bloom filter."""
-    x = np.ascontiguousarray(x).view(np.uint64)
-    return [(splitmix(x + salt) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for salt in _SALTS]
-
-
-def bloom(df: DataFrame, column: str):
-    """A broadcast Bloom filter of a column: fixed size, made by an aggregate of at most BLOOM_BITS / 64 rows.
-
-    It only spares shuffling what a join would drop; when it fills up, more rows pass and results stay the same.
-    """
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.unique(np.concatenate(_places(batch.column(0).to_numpy())))
-            bits = np.left_shift(np.int64(1), p & 63)
-            w, first = np.unique(p >> 6, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.bitwise_or.reduceat(bits, first) if len(w) else bits)], names=["w", "bits"])
-
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    rows = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(trimmed(cells), "w bigint, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    found = rows.toArrow()
-    out[found["w"].to_numpy()] = found["bits"].to_numpy()
-    return df.sparkSession.sparkContext.broadcast(out)
-
-
-def _passes(have: np.ndarray, x: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(x), bool)
-    for p in _places(x):
-        ok &= ((have[p >> 6] >> (p & 63)) & 1).astype(bool)
-    return ok
-
-
-def _postings(docs: DataFrame, sketch, salt: int, only=None) -> DataFrame:
-    """token, node, n, pos of every prefix; with a Bloom filter only the tokens that it lets through."""
+def _postings(docs: DataFrame, sketch, salt: int) -> DataFrame:
+    """token, node, pos of every prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, count = [], [], []
             for s in shingle_sets(batch.column(0)):
                 if len(s):
                     d = digest(s, salt)[0]
@@ -248,21 +214,17 @@ def _postings(docs: DataFrame, sketch, salt: int, only=None) -> DataFrame:
                     p = _prefix(len(s))
                     tokens.append(coded(s, levels)[:p])
                     nodes.append(d)
-                    sizes.append((len(s), p))
+                    count.append(p)
             if not tokens:
                 continue
-            count = np.array([p for _, p in sizes])
-            flat = np.concatenate(tokens).view(np.int64)
+            flat, count = np.concatenate(tokens).view(np.int64), np.array(count)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-            columns = [flat, np.repeat(np.array(nodes, np.int64), count), np.repeat(np.array([x for x, _ in sizes], np.int32), count), pos.astype(np.int32)]
-            if only is not None:
-                ok = _passes(only.value, flat)
-                columns = [c[ok] for c in columns]
-            out = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "pos"])
+            columns = [flat, np.repeat(np.array(nodes, np.int64), count), pos.astype(np.int32)]
+            out = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "pos"])
             for at in range(0, out.num_rows, 65_536):
                 yield out.slice(at, 65_536)
 
-    return docs.select("text").mapInArrow(trimmed(work), "token bigint, node bigint, n int, pos int")
+    return docs.select("text").mapInArrow(trimmed(work), "token bigint, node bigint, pos int")
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -462,10 +424,13 @@ def _prepared(docs: DataFrame) -> Prepared:
     # 1. N-grams in the prefixes of two classes or more, and two leaders of each: the least and the greatest class
     # under one of four orders, so that the n-grams of one large group do not all name the same leaders.
     order = F.xxhash64(F.lit("order"), F.pmod("token", F.lit(4)))
-    size = _postings(docs, sketch, salt).select("token", F.col("node").bitwiseXOR(order).alias("z")).groupBy("token").agg(F.min("z").alias("low"), F.max("z").alias("high"))
-    size = materialize(size.where("low <> high").select("token", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high")), "tokens")
-    shared = materialize(_postings(docs, sketch, salt, bloom(size, "token")).join(size, "token"), "shared")
-    discard(size)
+    # The postings are dealt by token once, for the aggregate and the join alike: k, a count of them, has both read all
+    # columns, so that they are the same exchange and texts are cut into n-grams once. The aggregate's side of the join has at
+    # most half as many rows as the postings, of fixed size, and most often few, so it is hashed and nothing is sorted.
+    found = _postings(docs, sketch, salt).repartition("token")
+    size = found.groupBy("token").agg(F.min(F.col("node").bitwiseXOR(order)).alias("low"), F.max(F.col("node").bitwiseXOR(order)).alias("high"), F.count("pos").alias("k"))
+    size = size.where("low <> high").select("token", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high"), "k")
+    shared = materialize(found.join(size.hint("shuffle_hash"), "token"), "shared")
     return Prepared(docs, nodes.select("doc_id", "key", "node", "n"), classes, shared, sketch, written)
 
 
@@ -508,9 +473,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pass the bounds, as its result may: copies are one class, but k unlike near copies have k (k - 1) / 2 links.
     """
     p = _prepared(docs)
-    members = p.shared.select("token", "node", "pos")
-    many = members.groupBy("token").agg((F.count("*") >= BLOCK).alias("many"))
-    members = materialize(members.join(many, "token"), "members")
+    members = p.shared.select("token", "node", "pos", (F.col("k") >= BLOCK).alias("many"))
     few = members.where("not many").select("token", "node", "pos").join(p.classes.drop("bits", "at"), "node")
     a, b = few.alias("a"), few.alias("b")
     cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & bounded("a", "b", True))
@@ -518,7 +481,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = members.where("many").select(F.col("token").alias("block"), "node")
     found = _verified(p.docs, p.classes, _stars(cross).unionByName(_dealt(block, block)), None, p.sketch, every=True)
     links = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    discard(p.shared, members, cross, found, p.written)
+    discard(p.shared, cross, found, p.written)
     return p.nodes.select("doc_id", "node", "n"), links
 
 
@@ -581,13 +544,15 @@ def _verified(docs: DataFrame, classes: DataFrame, rows: DataFrame, comp: DataFr
     """Links (u, v) between components, or every link, that the rows (block, bucket, side, node) find.
 
     One document of each class is read again, and its set goes where it is wanted. What is wanted is broadcast to
-    the documents if a count has shown it small, else texts and lists are shuffled.
+    the documents if a count has shown it small; else texts and lists are shuffled, of the wanted documents alone where these are few enough to be broadcast by id.
     """
     rows = rows.withColumn("comp", F.col("node")) if comp is None else _with_comp(rows, comp)
     wanted = rows.join(classes.select("node", "at"), "node").groupBy("at").agg(F.collect_list(F.struct(*WANTED)).alias("wanted"))
     wanted = materialize(wanted.select(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"), "wanted"), "wanted")
-    few = wanted.select(F.sum(F.size("wanted"))).first()[0] or 0
+    read, few = wanted.select(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    if read <= BROADCAST_ROWS < few:
+        docs = docs.join(F.broadcast(wanted.select("_id", "_key")), here, "left_semi")
     sets = _shipped(docs.join(F.broadcast(wanted) if few <= BROADCAST_ROWS else wanted, here), sketch)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = sets.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket", "side", "node")

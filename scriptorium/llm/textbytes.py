@@ -56,13 +56,13 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, prefixes: tupl
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.arange(len(data), dtype=np.int64)
-    number = np.cumsum(first) - 1
-    place = at - starts[np.maximum(number, 0)]
-    lower = _LOWER[data]
+    place = np.arange(len(data), dtype=np.int64)
+    place[: starts[0]] = 0
+    place[starts[0] :] -= np.repeat(starts, np.diff(starts, append=len(data)))
     powers = np.cumprod(np.full(int(place.max()) + 1, _STEP | np.uint64(1)))
-    value = _BYTE[lower] * powers[place]
-    value[~inside] = 0
+    value = _LOWER_BYTE[data]
+    value *= powers[place]
+    value *= inside
     before = np.searchsorted(starts, offsets)
     if not prefixes:
         return splitmix(np.add.reduceat(value, starts)), before
@@ -76,6 +76,7 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, prefixes: tupl
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_BYTE = _BYTE[_LOWER]
 
 
 def word_hash(word: str) -> int:

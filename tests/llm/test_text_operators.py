@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components, decontaminate, langid, ngram_join, secrets, toxicity
+from scriptorium.llm import components, decontaminate, langid, ngram_join, secrets, textbytes, toxicity
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -108,6 +108,49 @@ def test_rows_that_repeat_an_id_with_other_texts_ship_their_own_sets(spark):
     assert ngram_join.keep_one(d).count() == len({c for _, _, c in want}) < len(rows)
 
 
+def test_texts_are_cut_into_postings_once(spark, monkeypatch):
+    """The aggregate of the postings and the join with it read one exchange."""
+    rows = near_copies(5, [(40, 6), (90, 4), (30, 1)])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cut, real = spark.sparkContext.accumulator(0), ngram_join._postings
+
+    def counted(docs, *args):
+        def work(batches):
+            for batch in batches:
+                cut.add(batch.num_rows)
+                yield batch
+
+        return real(docs.select("text").mapInArrow(work, "text string"), *args)
+
+    monkeypatch.setattr(ngram_join, "_postings", counted)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(d).collect()) == brute_components(rows)
+    assert cut.value == len(rows)
+
+
+def test_only_wanted_texts_are_shuffled(spark, monkeypatch):
+    """Where too much is wanted for a broadcast, the ids of the wanted documents still cut the texts down."""
+    rows = near_copies(6, [(40, 30), (90, 25), *[(60, 1)] * 40])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 20)  # 19 documents are wanted first, in 30 places
+    plans, real = [], ngram_join._shipped
+
+    def seen(joined, sketch):
+        plans.append(joined._jdf.queryExecution().optimizedPlan().toString())
+        return real(joined, sketch)
+
+    monkeypatch.setattr(ngram_join, "_shipped", seen)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(d).collect()) == brute_components(rows)
+    assert "LeftSemi" in plans[0] and "Join Inner" in plans[0]
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    data = np.frombuffer(b" \t ab AB  x\nab", np.uint8)
+    for parts in (np.array([0, len(data)]), np.array([0, 2, 5, 9, len(data)])):
+        found, before = textbytes.words(data, parts, ngram_join.GAP)
+        assert [int(x) for x in found] == [textbytes.word_hash(w) for w in ("ab", "ab", "x", "ab")] and before[-1] == 4
+    assert not len(textbytes.words(data[:3], np.array([0, 3]), ngram_join.GAP)[0])
+
+
 def test_classes_that_share_a_name_are_named_anew(spark, monkeypatch):
     real = ngram_join.digest
     monkeypatch.setattr(ngram_join, "digest", lambda s, salt=0: (7, real(s)[1]) if salt == 0 else real(s, salt))
